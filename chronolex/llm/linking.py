@@ -60,16 +60,23 @@ def run_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sets, f"id {docs.schema[id_col].dataType.simpleString()}, runs binary")
 
 
-@F.pandas_udf(T.DoubleType())
-def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaccard similarity of two run sets; 0 where either is empty or null."""
-    out = np.zeros(len(a))
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        if x and y:
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out[i] = both / (len(x) + len(y) - both)
-    return pd.Series(out)
+def jaccard_of(kind: type):
+    """The Jaccard similarity of two sorted sets, given as bytes of numbers; 0 where either is empty or null."""
+
+    @F.pandas_udf(T.DoubleType())
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.zeros(len(a))
+        for i, (x, y) in enumerate(zip(a, b, strict=True)):
+            if x and y:
+                x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out[i] = both / (len(x) + len(y) - both)
+        return pd.Series(out)
+
+    return jaccard
+
+
+jaccard = jaccard_of(np.uint64)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
