@@ -304,15 +304,18 @@ class Labeller:
 def train(docs: DataFrame, text_col: str = "text", url_col: str = "url", title_col: str = "title", sample: int = SAMPLE) -> bytes:
     """Parameters of a labeller, fitted in one task to at most `sample` documents taken by the hash of their text."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "text"])
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [p for p in parts if len(p)]
+        if not parts:
+            return
+        pdf = pd.concat(parts).sort_values(["h", "text"])
         labels = np.concatenate([np.array(weak_labels(t, title)) for t, title in zip(pdf["text"], pdf["title"], strict=True)])
         model = Labeller().fit(Leaves(pdf["text"].tolist(), pdf["url"].tolist()), labels)
-        return pd.DataFrame({"model": [model.dump()]})
+        yield pd.DataFrame({"model": [model.dump()]})
 
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(url_col).alias("url"), F.col(title_col).alias("title"), F.xxhash64(text_col).alias("h"))
     chosen = rows.where(F.length("text") < 200_000).orderBy("h", "text").limit(sample)
-    found = chosen.groupBy(F.lit(0)).applyInPandas(fit, "model binary").collect()
+    found = chosen.coalesce(1).mapInPandas(fit, "model binary").collect()
     return bytes(found[0].model) if found else Labeller().dump()
 
 

@@ -182,12 +182,15 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], sample: int =
     votes = known.groupBy("doc_id", "subject").count().groupBy("doc_id").agg(F.max_by("subject", F.struct("count", "subject")).alias("subject"))
     rows = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("h")).join(votes, "doc_id").where(F.length("text") < 200_000)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id"])
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [p for p in parts if len(p)]
+        if not parts:
+            return
+        pdf = pd.concat(parts).sort_values(["h", "doc_id"])
         model = SubjectModel.fit(pdf["text"].tolist(), pdf["subject"].map(subjects.index).to_numpy(), len(subjects))
-        return pd.DataFrame({"model": [model.dump()]})
+        yield pd.DataFrame({"model": [model.dump()]})
 
-    found = rows.orderBy("h", "doc_id").limit(sample).groupBy(F.lit(0)).applyInPandas(fit, "model binary").collect()
+    found = rows.orderBy("h", "doc_id").limit(sample).coalesce(1).mapInPandas(fit, "model binary").collect()
     return bytes(found[0].model) if found else SubjectModel.fit([], np.zeros(0, np.int64), len(subjects)).dump()
 
 
