@@ -95,7 +95,7 @@ class History:
         wanted = pairs.select(F.col("b").alias("ref")).distinct()
         right = right.join(wanted, "ref", "left_semi")
         both = pairs.join(left.select(F.col("ref").alias("a"), F.col("runs").alias("x")), "a").join(right.select(F.col("ref").alias("b"), F.col("runs").alias("y")), "b")
-        return both.where(jaccard32("x", "y") >= self.threshold).select("a", "b")
+        return both.where(linking.jaccard("x", "y") >= self.threshold).select("a", "b")
 
     def rejected(self, batch: DataFrame, accept: bool = True) -> DataFrame:
         """(ref) of the batch's rows that aren't to be accepted; the others join the index if accept.
@@ -164,9 +164,6 @@ class History:
         return gone
 
 
-jaccard32 = linking.jaccard_of(np.uint32)
-
-
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """The arrivals of all batches, in order of arrival_id, that aren't to be accepted; the index starts from documents."""
     docs, incoming = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "incoming"))

@@ -46,18 +46,20 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, min_runs:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").mapInArrow(sketch, f"id {docs.schema[id_col].dataType.simpleString()}, n long, set_hash long, bands array<long>")
 
 
-def run_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, runs): the sorted 54-bit hashes of each text's runs of words, eight bytes each."""
+def _run_sets(rows: DataFrame, words: int) -> DataFrame:
+    """rows with their last column, a text, replaced by `runs`: the sorted hashes of its runs of words, four bytes each."""
+    keys = rows.columns[:-1]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(len(keys)).to_pylist()
             for lo, hi in textvec.slices(texts):
                 h, doc = textvec.run_sets(texts[lo:hi], words)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["id", "runs"])
+                short = (h >> np.uint64(22)).astype("<u4")
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), pa.array([short[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], [*keys, "runs"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sets, f"id {docs.schema[id_col].dataType.simpleString()}, runs binary")
+    return rows.mapInArrow(sets, ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), "runs binary"]))
 
 
 def jaccard_of(kind: type):
@@ -76,11 +78,20 @@ def jaccard_of(kind: type):
     return jaccard
 
 
-jaccard = jaccard_of(np.uint64)
+jaccard = jaccard_of(np.uint32)
+
+#: pairs whose ids may be broadcast; more are joined by shuffle
+BROADCAST = 1_000_000
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts have a similarity of at least the threshold; only texts in a pair are read in full."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = run_sets(docs.join(wanted.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, words)
-    return pairs.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("runs").alias("y")), "b").where(jaccard("x", "y") >= threshold).select("a", "b")
+    """The pairs (a, b) whose texts have a similarity of at least the threshold; pairs must be written already.
+
+    Only texts of a pair are cut into runs. Up to BROADCAST pairs travel to the texts, so that only the sets of
+    the a side are shuffled; beyond it the texts are.
+    """
+    few = F.broadcast if pairs.count() <= BROADCAST else lambda df: df
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    left = _run_sets(texts.join(few(pairs), F.col("_id") == F.col("a")).select("a", "b", "text"), words).withColumnRenamed("runs", "x")
+    right = _run_sets(texts.join(few(pairs.select("b").distinct()), F.col("_id") == F.col("b")).select("b", "text"), words).withColumnRenamed("runs", "y")
+    return left.join(right, "b").where(jaccard("x", "y") >= threshold).select("a", "b")

@@ -30,20 +30,20 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     member = sk.select("id", "set_hash", "n").join(sets, ["set_hash", "n"]).select("id", "rep")
     copies = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = sk.join(sets.select(F.col("rep").alias("id")), "id", "left_semi")
-    rows = reps.select("id", "n", F.explode("bands").alias("key"))
+    rows = reps.select("id", F.explode("bands").alias("key"))
     lead = rows.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1").select("key", "leader")
-    shared = scratch.written(rows.join(lead, "key").select("key", "id", "n", "leader"), "buckets")
+    shared = scratch.written(rows.join(lead, "key").select("key", "id", "leader"), "buckets")
     star = scratch.written(shared.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("shared")), "star")
 
     check = lambda pairs: scratch.written(linking.verified(pairs, docs, id_col, text_col, words, threshold), "links")
-    first = star.groupBy("id").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
+    first = scratch.written(star.groupBy("id").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader")), "first")
     links = check(first.select(F.col("id").alias("a"), F.col("leader").alias("b")))
     comp = scratch.written(connected_components(links), "classes")
     side = lambda df, c, name: df.join(comp.select(F.col("id").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, F.col(c)))
     # what is left: members of one bucket whose components differ and that weren't compared yet
     placed = side(shared, "id", "c")
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    open_ = placed.join(mixed, "key", "left_semi").select("key", "id", "n", "c")
+    open_ = placed.join(mixed, "key", "left_semi").join(sk.select("id", "n"), "id").select("key", "id", "n", "c")
     x, y = (open_.select("key", *[F.col(k).alias(k + s) for k in ("id", "n", "c")]) for s in ("_x", "_y"))
     near = (F.col("id_x") < F.col("id_y")) & (F.col("c_x") != F.col("c_y")) & (F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y"))
     rest = x.join(y, "key").where(near).select(F.col("id_x").alias("leader"), F.col("id_y").alias("id")).distinct().join(first, ["id", "leader"], "left_anti").select(F.col("leader").alias("a"), F.col("id").alias("b"))
