@@ -1,11 +1,12 @@
 """All queries of the core library by name, and the SQL that says the same."""
 
 from chronolex.operators import timestamps
+from chronolex.plans import base, store  # noqa: F401  (the plans register themselves)
 
 
 def queries() -> dict:
-    return {"p3_found": timestamps.p3_found}
+    return base.QUERIES | {"p3_found": timestamps.p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
