@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import textvec
+from chronolex.llm import sampling, textvec
 from chronolex.llm.textvec import U
 
 WORD_BUCKETS, WORD_DIM, HIDDEN = 4096, 24, 24
@@ -301,20 +301,20 @@ class Labeller:
         return Labeller(dict(np.load(io.BytesIO(data))))
 
 
-def train(docs: DataFrame, text_col: str = "text", url_col: str = "url", title_col: str = "title", sample: int = SAMPLE) -> bytes:
-    """Parameters of a labeller, fitted in one task to at most `sample` documents taken by the hash of their text."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", url_col: str = "url", title_col: str = "title", sample: int = SAMPLE) -> bytes:
+    """Parameters of a labeller, fitted in one task to at most `sample` documents taken by hash."""
 
     def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [p for p in parts if len(p)]
         if not parts:
             return
-        pdf = pd.concat(parts).sort_values(["h", "text"])
+        pdf = pd.concat(parts).sort_values("doc_id")
         labels = np.concatenate([np.array(weak_labels(t, title)) for t, title in zip(pdf["text"], pdf["title"], strict=True)])
         model = Labeller().fit(Leaves(pdf["text"].tolist(), pdf["url"].tolist()), labels)
         yield pd.DataFrame({"model": [model.dump()]})
 
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(url_col).alias("url"), F.col(title_col).alias("title"), F.xxhash64(text_col).alias("h"))
-    chosen = rows.where(F.length("text") < 200_000).orderBy("h", "text").limit(sample)
+    rows = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) < 200_000)).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(url_col).alias("url"), F.col(title_col).alias("title"))
+    chosen = sampling.bounded(rows, sample, "doc_id")
     found = chosen.coalesce(1).mapInPandas(fit, "model binary").collect()
     return bytes(found[0].model) if found else Labeller().dump()
 

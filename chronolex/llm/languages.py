@@ -1,14 +1,15 @@
 """Problem 5: languages of documents and of their lines, by naive Bayes over hashed character n-grams."""
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import textvec
+from chronolex import scratch
+from chronolex.llm import sampling, textvec
 
 #: fixed values: how labels name the languages
 NAMES = {"en": "en eng english", "fr": "fr fra fre french", "de": "de deu ger german", "es": "es spa spanish", "pt": "pt por portuguese"}
@@ -122,16 +123,15 @@ def _counter(languages: tuple[str, ...], table: np.ndarray | None):
     return count
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", languages: tuple[str, ...] = tuple(NAMES), sample: int = SAMPLE, rounds: int = 2) -> np.ndarray:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", languages: tuple[str, ...] = tuple(NAMES), sample: int = SAMPLE, rounds: int = 2) -> np.ndarray:
     """The log-probability matrix (languages x FEATURES), from labelled documents.
 
-    At most `sample` documents of each language, taken by the hash of their text. Labels may be wrong: after
+    At most `sample` documents of each language, taken by hash. Labels may be wrong: after
     the first round only the lines count that the model so far gives the language of their document.
     """
-    rows = labelled(docs, label_col, languages).where(F.col("language").isNotNull() & F.col(text_col).isNotNull())
-    ranked = rows.select("language", F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    keys = ranked.select("language", "h", F.length("text").alias("size")).withColumn("at", F.row_number().over(Window.partitionBy("language").orderBy("h", "size"))).where(F.col("at") <= sample).select("language", "h").distinct()
-    chosen = ranked.join(keys, ["language", "h"], "left_semi").select("language", "text")
+    rows = labelled(docs, label_col, languages).where(F.col("language").isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), "language", F.col(text_col).alias("text"))
+    parts = [sampling.bounded(rows.where(F.col("language") == code), sample, "doc_id").select("language", "text") for code in languages]
+    chosen = scratch.written(reduce(DataFrame.unionByName, parts), "sample")
     table = None
     for _ in range(rounds):
         found = chosen.mapInArrow(_counter(languages, table), "language long, feature long, n long").groupBy("language", "feature").agg(F.sum("n").alias("n")).toPandas()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import textvec
+from chronolex.llm import sampling, textvec
 
 #: fitting takes at most so many labelled documents
 SAMPLE = 3000
@@ -173,24 +173,24 @@ class SubjectModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, subjects: list[str], sample: int = SAMPLE) -> bytes:
-    """A model fitted in one task to at most `sample` labelled documents, taken by the hash of their text.
+    """A model fitted in one task to at most `sample` labelled documents, taken by hash.
 
     Labels are compared in lower case; unknown and null ones don't count, and a document labelled more than
     once has its most frequent label (the first in order if equally frequent). Labels may be wrong.
     """
     known = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(subjects))
     votes = known.groupBy("doc_id", "subject").count().groupBy("doc_id").agg(F.max_by("subject", F.struct("count", "subject")).alias("subject"))
-    rows = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("h")).join(votes, "doc_id").where(F.length("text") < 200_000)
+    rows = docs.where("text is not null").select("doc_id", "text").join(votes, "doc_id").where(F.length("text") < 200_000)
 
     def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [p for p in parts if len(p)]
         if not parts:
             return
-        pdf = pd.concat(parts).sort_values(["h", "doc_id"])
+        pdf = pd.concat(parts).sort_values("doc_id")
         model = SubjectModel.fit(pdf["text"].tolist(), pdf["subject"].map(subjects.index).to_numpy(), len(subjects))
         yield pd.DataFrame({"model": [model.dump()]})
 
-    found = rows.orderBy("h", "doc_id").limit(sample).coalesce(1).mapInPandas(fit, "model binary").collect()
+    found = sampling.bounded(rows, sample, "doc_id").coalesce(1).mapInPandas(fit, "model binary").collect()
     return bytes(found[0].model) if found else SubjectModel.fit([], np.zeros(0, np.int64), len(subjects)).dump()
 
 
