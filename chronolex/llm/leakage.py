@@ -156,7 +156,8 @@ def leaked_items(index: DataFrame, items: DataFrame, item_id: str = "item_id", i
         term, item, start = _item_words(block, words)
         spark = index.sparkSession
         wanted = spark.createDataFrame(pa.table({"term": pa.array(np.unique(term).view(np.int64))}).to_pandas(), "term long")
-        lists = index.join(F.broadcast(wanted), "term", "left_semi").unionByName(index.where("n < 0"))
+        # one scan: a segment's number is that of its task, so it can't be put together from two
+        lists = index.join(F.broadcast(wanted.withColumn("asked", F.lit(True))), "term", "left").where("asked or n < 0").drop("asked")
         pairs = lists.groupBy("segment").applyInArrow(_matcher(term, item, start, words, slop), "item_id long, doc_id long")
         out = pairs if out is None else out.unionByName(pairs)
     return out.distinct()

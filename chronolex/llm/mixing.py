@@ -91,7 +91,7 @@ def mixed_usage(counts: DataFrame, targets: DataFrame, total_tokens: int | None
     shares: (source, target_share, max_repeats, tokens, tokens_used, actual_share), one row per target.
     """
     spark = counts.sparkSession
-    counts = scratch.written(counts, "tokens")
+    counts = scratch.written(counts.withColumn("source", F.lower(F.trim("source"))), "tokens")
     goal = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").dropDuplicates(["source"])
     size = counts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     plan = [r.asDict() for r in goal.join(size, "source", "left").orderBy("source").collect()]  # a row per target
