@@ -54,6 +54,13 @@ def rank_fusion(placements: DataFrame, bonus: DataFrame, k: int = 10) -> DataFra
     return ranked(fused, k)
 
 
+def blocks(df: DataFrame, name: str, block: int) -> DataFrame:
+    """Arrays {name}_{column} of about `block` rows each; rows without id or vector are left out."""
+    n = max(1, -(-df.count() // block))
+    g = df.where("id is not null and vec is not null").groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("_block")).agg(F.collect_list(F.struct(*df.columns)).alias("r"))
+    return g.select(*[F.col(f"r.{c}").alias(f"{name}_{c}") for c in df.columns])
+
+
 _HITS = T.ArrayType(T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())]))
 
 
@@ -78,10 +85,6 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int =
             out.append(rows)
         return pd.Series(out)
 
-    def blocks(df, name):
-        n = max(1, -(-df.count() // block))
-        return df.where("id is not null and vec is not null").groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "vec")).alias(name)).select(F.col(f"{name}.id").alias(f"{name}_id"), F.col(f"{name}.vec").alias(f"{name}_vec"))
-
-    q, d = blocks(queries, "q"), blocks(vectors, "d")
+    q, d = blocks(queries.select("id", "vec"), "q", block), blocks(vectors.select("id", "vec"), "d", block)
     hits = q.join(d, F.lit(True)).select(F.explode(best("q_id", "q_vec", "d_id", "d_vec")).alias("h")).select("h.*")
     return ranked(hits, k)

@@ -65,3 +65,9 @@ def stable_id(*parts: str) -> Column:
     zero = F.unhex(F.lit("00"))
     pieces = [x for p in parts for x in (F.encode(F.col(p), "utf-8"), zero)]
     return F.substring(F.sha2(F.concat(*pieces), 256), 1, 32)
+
+
+def top_per(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """The first n rows of every key in order, with their `place` from 1. Spark cuts each key to n rows before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= n)
