@@ -32,7 +32,7 @@ def ablation_values(grades: DataFrame) -> DataFrame:
     alternative, which is closed alone where there is no decoy (null, never 0); null without closed or source.
     internalised: known without the source (0.6 or more) and not hedged.
     """
-    s = F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))
+    s = F.when(F.col("score").isNotNull(), F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
     at = lambda c: F.avg(F.when(F.col("condition") == c, s)).alias(c)
     hedged = F.coalesce(F.bool_or(F.when(F.col("condition") == "closed", F.col("hedged"))), F.lit(False))
     g = grades.groupBy("claim_id").agg(at("closed"), at("source"), at("decoy"), hedged.alias("h"))

@@ -72,7 +72,7 @@ def summary(curve: DataFrame, windows: list = WINDOWS, pre: int = PRE, least: in
     g = firm.groupBy("claim_id").agg((total("n_expressing") / total("n_topical")).alias("baseline"), F.max(F.when(~before, F.col("p"))).alias("peak"), F.collect_list(F.when(~before & (F.col("n_expressing") >= 2), F.struct("win", "p"))).alias("after"))
     rising = F.filter("after", lambda w: w["p"] >= F.greatest(2 * F.col("baseline"), F.lit(0.02)))
     middle = F.array(*[F.lit((a + b) // 2) for a, b in windows])
-    lead = F.when(F.size(rising) > 0, F.get(middle, F.array_min(F.transform(rising, lambda w: w["win"]))))
+    lead = F.when(F.col("baseline").isNotNull() & (F.size(rising) > 0), F.get(middle, F.array_min(F.transform(rising, lambda w: w["win"]))))
     return g.select("claim_id", "baseline", "peak", (F.col("peak") - F.col("baseline")).alias("adoption"), (1 - F.col("baseline")).alias("surprisal"), lead.alias("lead_days"))
 
 

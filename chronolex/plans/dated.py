@@ -32,7 +32,7 @@ def prevalence_curve(spark, sf):
     return prevalence.curve(*_vectors(Tables(spark, sf)), topical=TOPICAL, express=EXPRESS)
 
 
-MIDDLE = "CASE min(win) FILTER (WHERE win >= 2 AND n_expressing >= 2 AND p >= greatest(2 * baseline, 0.02)) " + " ".join(f"WHEN {i} THEN {(a + b) // 2}" for i, (a, b) in enumerate(prevalence.WINDOWS)) + " END"
+MIDDLE = "CASE min(win) FILTER (WHERE baseline IS NOT NULL AND win >= 2 AND n_expressing >= 2 AND p >= greatest(2 * baseline, 0.02)) " + " ".join(f"WHEN {i} THEN {(a + b) // 2}" for i, (a, b) in enumerate(prevalence.WINDOWS)) + " END"
 
 
 @query(f"WITH {CURVE}, x AS (SELECT *, n_expressing / n_topical AS p, sum(n_expressing) FILTER (WHERE win < 2) OVER (PARTITION BY claim_id) / sum(n_topical) FILTER (WHERE win < 2) OVER (PARTITION BY claim_id) AS baseline FROM cur WHERE n_topical >= 8), y AS (SELECT claim_id, any_value(baseline) AS b, max(p) FILTER (WHERE win >= 2) AS peak, {MIDDLE} AS lead_days FROM x GROUP BY claim_id) SELECT claim_id, round(b, 6) AS baseline, round(peak, 6) AS peak, round(peak - b, 6) AS adoption, round(1 - b, 6) AS surprisal, lead_days FROM y")
