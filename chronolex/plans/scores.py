@@ -51,9 +51,9 @@ def best_prior_receipt(spark, sf):
     return scoring.best_prior(Tables(spark, sf).verdicts).select("claim_id", *SIX("strength"), "doc_id")
 
 
-@query(f"WITH {LAG}, {JUDGED} SELECT claim_id, win, n, round(expressed, 6) AS expressed, round(support, 6) AS support, round(refute, 6) AS refute FROM jw")
+@query(f"WITH {LAG}, {JUDGED} SELECT claim_id, win, n, round(expressed + 1e-10, 6) AS expressed, round(support + 1e-10, 6) AS support, round(refute + 1e-10, 6) AS refute FROM jw")
 def judged_windows(spark, sf):
-    return scoring.judged_windows(_lagged(Tables(spark, sf))).select("claim_id", "win", "n", *SIX("expressed", "support", "refute"))
+    return scoring.judged_windows(_lagged(Tables(spark, sf))).select("claim_id", "win", "n", *SIX("expressed", "support", "refute", plus=1e-10))
 
 
 @query(f"WITH {LAG}, {JUDGED}, {BEST}, {PV} SELECT claim_id, round(surprisal + 1e-10, 6) AS surprisal, round(baseline + 1e-10, 6) AS baseline, round(peak + 1e-10, 6) AS peak, round(adoption + 1e-10, 6) AS adoption, round(vindication + 1e-10, 6) AS vindication, round(surprisal * CASE WHEN adoption IS NOT NULL THEN greatest(0.0, adoption) END * coalesce((1 + vindication) / 2, 1.0) + 1e-10, 6) AS pv FROM pv")
