@@ -37,13 +37,20 @@ def tidy(text: Column) -> Column:
     return F.regexp_replace(t, r"^\s+|\s+\z", "")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def main_text(html: Column) -> Column:
     """The text of <article>, else <main>, else <body>, else the page, a line per block; without the DROPPED elements."""
-    h = F.coalesce(html, F.lit(""))
-    for tag in DROPPED:
-        h = F.regexp_replace(h, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
-    inner = [F.regexp_extract(h, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1) for tag in ("article", "main", "body")]
-    h = F.coalesce(*[F.when(F.trim(x) != "", x) for x in inner], h)
+    h = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?is)<({'|'.join(DROPPED)})\b.*?</\1\s*>", " ")
+
+    def body(page: Column) -> Column:
+        inner = [_once(F.trim(F.regexp_extract(page, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1)), lambda x: F.when(x != "", x)) for tag in ("article", "main", "body")]
+        return F.coalesce(*inner, page)
+
+    h = _once(h, body)
     h = F.regexp_replace(F.regexp_replace(h, r"(?s)<!--.*?-->", " "), r"[ \t\r\n]+", " ")
     h = F.regexp_replace(h, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
     return F.regexp_replace(tidy(unescaped(F.regexp_replace(h, "<[^>]*>", " "))), "\n{2,}", "\n")
@@ -53,7 +60,7 @@ def _attribute(html: Column, tag: str, key: str, value: str, wanted: str) -> Col
     """The attribute `wanted` of the first tag whose attribute `key` has the value; null without it."""
     inside = rf"""(?is)(<{tag}\b(?=[^>]*\b(?:{key})\s*=\s*["']{value}["'])[^>]*>)"""
     found = F.regexp_extract(F.regexp_extract(html, inside, 1), rf"""(?is)\b{wanted}\s*=\s*(["'])(.*?)\1""", 2)
-    return F.when(F.trim(found) != "", unescaped(found))
+    return _once(F.trim(found), lambda x: F.when(x != "", unescaped(x)))
 
 
 def title(html: Column) -> Column:
@@ -73,7 +80,7 @@ def date(html: Column, url: Column) -> Column:
     """struct(value, confidence, provenance): the page's date as written, from JSON-LD, else meta keys, else <time>, else the path of the url; null without."""
 
     def some(value: Column, confidence: str, provenance: str) -> Column:
-        return F.when(F.trim(value) != "", F.struct(F.trim(value).alias("value"), F.lit(confidence).alias("confidence"), F.lit(provenance).alias("provenance")))
+        return _once(F.trim(value), lambda x: F.when(x != "", F.struct(x.alias("value"), F.lit(confidence).alias("confidence"), F.lit(provenance).alias("provenance"))))
 
     ld = F.regexp_extract(html, r'(?is)<script\b[^>]*application/ld\+json[^>]*>.*?"datePublished"\s*:\s*"([^"]+)"', 1)
     metas = [some(_attribute(html, "meta", "property|name|itemprop", key.replace(".", r"\."), "content"), sure, f"meta:{key}") for key, sure in META_DATES.items()]
