@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronolex.functions import stemming
+
 K1, B = 1.2, 0.75
 RRF_K, FINGERPRINT_BONUS = 60, 0.5
 
@@ -15,14 +17,16 @@ def tokens(text: str):
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, stem: bool = False) -> DataFrame:
     """(query_id, doc_id, score, place): the k best documents of each query by BM25 over the OR of its first 40 tokens.
 
     queries: (query_id, text, before); docs: (doc_id, text, ts). Statistics are those of all documents; only
     documents strictly before `before` (if not null) are ranked. Queries are the small side of the join on terms.
+    stem: words meet by their stems, at the price of one pass through Python; else the plan stays in the JVM.
     """
-    q = queries.select("query_id", "before", F.explode(F.array_distinct(F.slice(tokens("text"), 1, 40))).alias("term"))
-    t = docs.select("doc_id", "ts", tokens("text").alias("w"))
+    words = (lambda c: stemming.stems(tokens(c))) if stem else tokens
+    q = queries.select("query_id", "before", F.explode(F.array_distinct(F.slice(words("text"), 1, 40))).alias("term"))
+    t = docs.select("doc_id", "ts", words("text").alias("w"))
     wanted = q.select("term").distinct()
     post = t.select("doc_id", "ts", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "ts", "dl").agg(F.count("*").alias("tf"))
     stats = t.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))

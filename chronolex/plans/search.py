@@ -25,6 +25,13 @@ def bm25_search(spark, sf):
     return search.bm25(_items(t), t.dated)
 
 
+@query()
+def porter_bm25(spark, sf):
+    """As bm25_search, with words met by their stems."""
+    t = Tables(spark, sf)
+    return search.bm25(_items(t), t.dated, stem=True)
+
+
 @query(f"WITH {DATED}, {TOK}, {PHRASE} SELECT query_id, doc_id FROM ph")
 def phrase_search(spark, sf):
     t = Tables(spark, sf)
