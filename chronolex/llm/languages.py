@@ -19,6 +19,8 @@ FEATURES = 1 << 16
 SAMPLE = 1500
 #: log odds are divided by this for the confidence, as neighbouring n-grams aren't independent
 TEMPERATURE = 12.0
+#: a cell of so many words, two of them no names by their case, is prose and not a cell of a table
+PROSE = 5
 
 
 @lru_cache(1)
@@ -80,7 +82,6 @@ class _Text:
     def wordless(self) -> np.ndarray:
         """Lines that have no language: rows of tables, program code, lists of names."""
         raw = self.raw
-        bars = self.count((raw == 124) | (raw == 9))
         signs = self.count(np.isin(raw, np.frombuffer("_{}=<>()[];#*/\\".encode("utf-32-le"), np.uint32)))
         first = np.concatenate(([True], self.low[:-1] == 32)) & (self.low != 32)
         words = self.count(first)
@@ -88,7 +89,28 @@ class _Text:
         capital = self.count(first & upper)
         caps = self.count(upper & (self.low != 32))
         names = (capital > 0.75 * words) & (caps < 0.6 * self.letters)
-        return (bars >= 2) | (signs > 0.06 * np.maximum(self.letters, 1)) & (signs >= 3) | names & (words >= 3)
+        # in lines of capitals, case tells nothing
+        loud = np.repeat(caps >= 0.6 * self.letters, self.end - self.start + 1)
+        return self.rows(first, first & (~upper | loud)) | (signs > 0.06 * np.maximum(self.letters, 1)) & (signs >= 3) | names & (words >= 3)
+
+    def rows(self, first: np.ndarray, small: np.ndarray) -> np.ndarray:
+        """Rows of tables: lines with two bars or tabs that begin and end with a bar, or none of whose cells is prose.
+
+        first: where words begin; small: where those do whose case makes them no names.
+        """
+        raw = self.raw
+        cell = np.flatnonzero((raw == 124) | (raw == 9) | (raw == 10))
+        line = np.searchsorted(self.end, cell)
+        within = lambda mask: np.diff(np.cumsum(mask)[cell], prepend=0)
+        prose = np.zeros(len(self.end), bool)
+        prose[line[(within(first) >= PROSE) & (within(small) >= 2)]] = True
+        ink = np.flatnonzero((raw != 32) & (raw != 10) & (raw != 13))
+        at = np.searchsorted(ink, self.start), np.searchsorted(ink, self.end) - 1
+        some = at[0] <= at[1]
+        framed = np.zeros(len(self.end), bool)
+        framed[some] = (raw[ink[at[0][some]]] == 124) & (raw[ink[at[1][some]]] == 124)
+        bars = np.bincount(line, minlength=len(self.end)) - 1
+        return (bars >= 2) & (framed | ~prose)
 
 
 def labelled(docs: DataFrame, label_col: str, languages: tuple[str, ...]) -> DataFrame:

@@ -136,6 +136,17 @@ def test_languages_on_held_out_documents(spark):
     assert n > 100 and right / n > 0.9  # some labels are wrong
 
 
+def test_lines_with_bars_are_prose_or_rows(spark):
+    lines = ["Signal is published weekly by a small office in the old port. | Imprint | Sitemap", "Tasbren Union | 15 | 52 | New Velden", "| the first cell holds a long note | and the second one too |", "Home\tArts\tArchive", "", "a | plain line of words with one bar", "||", "\t\t\n  | x |  ", "THE SIGNAL IS PUBLISHED WEEKLY IN PORT VELDEN. | IMPRINT | SITEMAP"]
+    t = languages._Text(["\n".join(lines[:4]), None, "\n".join(lines[4:])])
+    assert t.wordless().tolist() == [False, True, True, True, False, False, False, True, True, True, False]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table = languages.train(docs, sample=200)
+    body = "\n".join(["Die Stadt hat gestern beschlossen, dass die neue Brücke über den Fluss im nächsten Jahr gebaut wird."] * 5)
+    got = languages.language_lines(spark.createDataFrame([(1, f"{body}\n{lines[0]}\n{lines[2]}")], "doc_id long, text string"), table).collect()
+    assert {(r.line_no, r.lang) for r in got} == {(-1, "de"), (5, "en")}
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 17, 1000):
         assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 5, np.uint64))) == list(range(n))
