@@ -1,6 +1,6 @@
 """Problem 9: subject areas of documents, by leaves of a bisecting k-means over passages.
 
-A document is cut into passages (its longer lines), each a small document of its own, so that a document on two
+A document is cut into passages (lines joined until they are long enough), each a small document of its own, so that a document on two
 areas doesn't blur them. Normalised term vectors of a bounded sample's passages are clustered by bisecting
 k-means; a leaf gets the subject that its discriminative terms stand for in the labelled documents, or none.
 Every document of the corpus is then a mixture of leaves.
@@ -20,14 +20,17 @@ from chronolex.llm import sampling, textvec
 #: fitting takes at most so many labelled documents
 SAMPLE = 3000
 LEAVES, LEAST = 160, 12
-#: letters that a passage has at least, and the least share of an area beside another one
+#: letters from which a passage is complete, and the least share of an area beside another one
 PASSAGE, SHARE = 80, 0.22
 #: log odds by which a term has to tell a subject
 TELLING = 0.7
 
 
 class _Passages:
-    """The longer lines of some texts and their words."""
+    """The passages of some texts and their words: lines joined until they have PASSAGE letters.
+
+    What is left at a text's end joins its last passage, or is one by itself, so that every letter lies in one.
+    """
 
     def __init__(self, texts: list):
         w = textvec.Words([t or "" for t in texts])
@@ -36,14 +39,18 @@ class _Passages:
         total = np.zeros(len(w.cp) + 1, np.int64)
         np.cumsum(w.kind == textvec.LETTER, out=total[1:])
         letters = total[end] - total[start]
-        keep = letters >= PASSAGE
-        place = np.cumsum(keep) - 1
-        line = np.searchsorted(end, w.start)
-        on = keep[line]
-        self.hash, self.line = w.hash[on], place[line[on]]
-        self.letters = letters[keep]
-        bounds = np.searchsorted(start, w.starts[:-1])
-        self.doc = (np.searchsorted(bounds, np.flatnonzero(keep), side="right") - 1) if len(bounds) else np.zeros(0, np.int64)
+        bounds = np.searchsorted(start, w.starts)
+        doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        rest = total[w.starts[doc + 1]] - total[start] if len(doc) else letters
+        opens, have, last = np.zeros(len(doc), bool), 0, -1
+        for i, (d, n, r) in enumerate(zip(doc.tolist(), letters.tolist(), rest.tolist(), strict=True)):
+            if d != last or have >= PASSAGE <= r:
+                opens[i], have, last = True, 0, d
+            have += n
+        place = np.cumsum(opens) - 1
+        self.hash, self.line = w.hash, place[np.searchsorted(end, w.start)]
+        self.letters = np.bincount(place, weights=letters, minlength=int(opens.sum())).astype(np.int64)
+        self.doc = doc[opens]
 
     def terms(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Passage and term index of each word of the vocabulary."""
@@ -197,8 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], sample: int =
 def document_subjects(docs: DataFrame, model: bytes, subjects: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, subject, share): the one or two areas of each document, and their shares of its passages.
 
-    An area counts if it has the largest share, or a share of at least SHARE beside a larger one. Null, empty
-    and short texts and documents whose leaves stand for no subject have no rows. The model (vocabulary x
+    An area counts if it has the largest share, or a share of at least SHARE beside a larger one. Null and empty
+    texts and documents whose leaves stand for no subject have no rows. The model (vocabulary x
     leaves) is the only broadcast; one pass without a shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from chronolex import scratch
 from chronolex.llm import dart_minhash, history, languages, leakage, mixing, near_duplicates, repeated_lines, textvec
-from chronolex.llm.subjects import SubjectModel
+from chronolex.llm.subjects import PASSAGE, SubjectModel, _Passages
 
 DOC = "doc_id long, source_id string, url string, text_hash string, text string, id string, n long"
 
@@ -171,3 +171,19 @@ def test_subject_leaves():
     model = SubjectModel.load(SubjectModel.fit(texts, np.arange(240) % 3, 3, leaves=12, least=8).dump())
     share, _ = model.shares([para(0) + "\n" + para(2), para(1), "", None], 3)
     assert share[0][0] > 0.3 and share[0][2] > 0.3 and share[1].argmax() == 1 and share[2].sum() == 0
+
+
+def test_passages_hold_every_letter():
+    rng = random.Random(2)
+    topics = [[f"{c}{i:02d}term" for i in range(25)] for c in "abc"]
+    line = lambda k, n: " ".join(rng.choice(topics[k]) for _ in range(n))
+    texts = ["\n".join(rng.choice(["", line(0, 1), line(1, 8), line(2, 40)]) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", None, "\n\n", "short"]
+    p = _Passages(texts)
+    count = [sum(c.isalpha() for c in t or "") for t in texts]
+    assert np.bincount(p.doc, weights=p.letters, minlength=len(texts)).tolist() == count
+    assert all(n >= PASSAGE or n == count[d] for d, n in zip(p.doc, p.letters, strict=True))
+    assert [p.doc[i] for i in p.line] == [d for d, t in enumerate(texts) for _ in words(t)]
+    model = SubjectModel.fit([line(i % 3, 30) for i in range(240)], np.arange(240) % 3, 3, leaves=12, least=8)
+    wrapped = "\n".join([line(0, 8) for _ in range(6)] + [""] + [line(2, 8) for _ in range(6)])
+    share, _ = model.shares([wrapped, line(1, 9)], 3)
+    assert share[0][0] > 0.3 and share[0][2] > 0.3 and share[1][1] == 1
