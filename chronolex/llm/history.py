@@ -12,6 +12,10 @@ from chronolex.llm import dart_minhash, linking, textvec
 
 #: keys of the index lie in so many folders by hash
 BUCKETS = 16
+#: up to so many pairs of rows that share a band are written at once; more are first thinned round by round
+PAIRS = 5_000_000
+#: thinning ends after so many rounds without a tenth fewer pairs
+IDLE = 8
 #: fixed values: query parameters that only track the visitor
 TRACKING = "utm_[a-z_]+|gclid|fbclid|dclid|gbraid|wbraid|msclkid|yclid|twclid|igshid|mc_cid|mc_eid|_ga|_gl|_hsenc|_hsmi|mkt_tok|spm|vero_id|oly_anon_id|oly_enc_id|wickedid"
 
@@ -59,7 +63,7 @@ def _sketch(words: int, min_runs: int):
 class History:
     """An index, in a folder, of what was accepted: exact keys, band keys and run sets by row.
 
-    keys: (bucket, key, exact, ref), in folders by hash of the key; sets: (ref, runs). A batch's rows meet
+    keys: (bucket, key, exact, ref), in folders by hash of the key; sets: (ref, set_hash, runs). A batch's rows meet
     only index rows of the same key; no text of the history is read again.
     """
 
@@ -82,13 +86,13 @@ class History:
     def append(self, prepared: DataFrame) -> None:
         """Adds accepted rows to the index."""
         self._keys(prepared).write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/keys")
-        prepared.where("runs is not null").select("ref", "runs").write.mode("append").parquet(f"{self.path}/sets")
+        prepared.where("runs is not null").select("ref", "set_hash", "runs").write.mode("append").parquet(f"{self.path}/sets")
 
     def keys(self) -> DataFrame:
         return self.spark.read.schema("key long, exact boolean, ref long, bucket int").parquet(f"{self.path}/keys")
 
     def sets(self) -> DataFrame:
-        return self.spark.read.schema("ref long, runs binary").parquet(f"{self.path}/sets")
+        return self.spark.read.schema("ref long, set_hash long, runs binary").parquet(f"{self.path}/sets")
 
     def _linked(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
         """The pairs (a, b) whose run sets are similar enough."""
@@ -97,6 +101,19 @@ class History:
         both = pairs.join(left.select(F.col("ref").alias("a"), F.col("runs").alias("x")), "a").join(right.select(F.col("ref").alias("b"), F.col("runs").alias("y")), "b")
         return both.where(linking.jaccard("x", "y") >= self.threshold).select("a", "b")
 
+    def _slices(self, left: DataFrame, met: DataFrame) -> list[DataFrame]:
+        """The rows of met, all at once if they make few pairs with left, else in parts that grow: what links to one part needn't meet the next."""
+        by = ["bucket", "key"]
+        n = left.groupBy(*by).agg(F.count("*").alias("n")).join(met.groupBy(*by).agg(F.count("*").alias("m")), by).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+        if n <= PAIRS:
+            return [met]
+        # rows of one set link alike
+        kinds = self.sets().select(F.col("ref").alias("b"), F.coalesce("set_hash", "ref").alias("set_hash")).join(met.select("b").distinct(), "b", "left_semi")
+        met = scratch.written(met.join(kinds, "b").groupBy(*by, "set_hash").agg(F.min("b").alias("b")).select(*by, "b"), "met")
+        part = lambda k: F.pmod(F.xxhash64("b"), F.lit(k)) == 0
+        steps = [4096, 512, 64, 8, 1]
+        return [met.where(part(k) if i == 0 else part(k) & ~part(steps[i - 1])) for i, k in enumerate(steps)]
+
     def rejected(self, batch: DataFrame, accept: bool = True) -> DataFrame:
         """(ref) of the batch's rows that aren't to be accepted; the others join the index if accept.
 
@@ -118,10 +135,14 @@ class History:
         first = scratch.written(left.join(lead, by).select(F.col("ref").alias("a"), "b").distinct(), "first")
         near = scratch.written(self._linked(first, p, self.sets()).select(F.col("a").alias("ref")).distinct(), "near")
         left = left.join(near, "ref", "left_anti")
-        more = scratch.written(left.join(met, by).select(F.col("ref").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti"), "more")
         gone = gone.unionByName(near)
-        if not more.isEmpty():
-            gone = scratch.written(gone.unionByName(self._linked(more, p, self.sets()).select(F.col("a").alias("ref"))).distinct(), "against-history")
+        for part in self._slices(left, met):
+            more = left.join(part, by).select(F.col("ref").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
+            more = scratch.written(more, "more")
+            if not more.isEmpty():
+                near = scratch.written(self._linked(more, p, self.sets()).select(F.col("a").alias("ref")).distinct(), "near")
+                gone, left = gone.unionByName(near), left.join(near, "ref", "left_anti")
+        gone = scratch.written(gone.distinct(), "against-history")
         # among the batch itself
         rest = scratch.written(own.join(gone, "ref", "left_anti"), "rest")
         gone = gone.unionByName(self._among(p, rest))
@@ -135,17 +156,29 @@ class History:
         by = ["bucket", "key"]
         lead = keys.groupBy(*by).agg(F.min("ref").alias("b"), F.count("*").alias("size")).where("size > 1").select(*by, "b")
         shared = scratch.written(keys.join(lead, by), "shared")
-        late = shared.where("ref <> b").select("ref").distinct()
-        # the least of all its buckets has nothing earlier to agree with: it is accepted
-        sure = shared.where("ref = b").select("ref").distinct().join(late, "ref", "left_anti")
-        pairs = shared.where("ref <> b").join(sure.withColumnRenamed("ref", "b"), "b", "left_semi")
-        equal = pairs.where("exact").select("ref").distinct()
-        first = scratch.written(pairs.where("not exact").join(equal, "ref", "left_anti").select(F.col("ref").alias("a"), "b").distinct(), "pairs")
-        gone = scratch.written(equal.unionByName(self._linked(first, p, p).select(F.col("a").alias("ref"))).distinct(), "copies")
-        open_ = scratch.written(shared.select(*by, "exact", "ref").join(gone, "ref", "left_anti"), "open")
+        gone, open_, before, idle = None, shared.select(*by, "exact", "ref"), None, 0
+        while True:
+            # the least of all its buckets has nothing earlier to agree with: it is accepted, and what agrees with it rejected
+            late = shared.where("ref <> b").select("ref").distinct()
+            sure = scratch.written(shared.where("ref = b").select("ref").distinct().join(late, "ref", "left_anti"), "sure")
+            pairs = shared.where("ref <> b").join(sure.withColumnRenamed("ref", "b"), "b", "left_semi")
+            equal = pairs.where("exact").select("ref").distinct()
+            first = scratch.written(pairs.where("not exact").join(equal, "ref", "left_anti").select(F.col("ref").alias("a"), "b").distinct(), "pairs")
+            hit = scratch.written(equal.unionByName(self._linked(first, p, p).select(F.col("a").alias("ref"))).distinct(), "copies")
+            gone = hit if gone is None else gone.unionByName(hit)
+            open_ = scratch.written(open_.join(hit.unionByName(sure), "ref", "left_anti"), "open")
+            size = open_.where("not exact").groupBy(*by).agg(F.count("*").alias("n"))
+            left = size.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+            idle = 0 if before is None or left < 0.9 * before else idle + 1
+            before = left if not idle else before
+            if left <= PAIRS or idle == IDLE:
+                break
+            # who kept out a bucket's next row may be decided now
+            lead = open_.groupBy(*by).agg(F.min("ref").alias("b"))
+            shared = scratch.written(open_.join(lead, by), "shared")
         bands = open_.where("not exact")
         x, y = bands.select(*by, F.col("ref").alias("b")), bands.select(*by, F.col("ref").alias("a"))
-        links = scratch.written(self._linked(x.join(y, by).where("b < a").select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), p, p), "links")
+        links = scratch.written(self._linked(x.join(y, by).where("b < a").select("a", "b").distinct(), p, p), "links")
         exact = open_.where("exact").select("key", "ref").distinct()
         undecided = scratch.written(links.select(F.col("a").alias("ref")).unionByName(links.select(F.col("b").alias("ref"))).unionByName(exact.select("ref")).distinct(), "undecided")
         accepted = None

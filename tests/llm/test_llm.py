@@ -103,6 +103,38 @@ def test_batches_one_by_one_are_as_all_at_once(spark, corpus):
         assert got == want
 
 
+def test_a_hot_group_costs_a_check_per_row(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    story = [word() for _ in range(120)]
+    edited = lambda n: " ".join([*story[:n], *(word() for _ in range(2)), *story[n:]])
+    # the first arrival is like the story's first copy, but not enough to be linked
+    texts = [" ".join(story[:68] + [word() for _ in range(40)])] + [edited(k + 2) for k in range(50)] + [edited(3)] * 20
+    rows = [(10 + i, None, None, t) for i, t in enumerate(texts)]
+    accepted = []
+    for r in rows:
+        if not any(similar(r[3], a[3], 3, 20, 0.5) for a in accepted):
+            accepted.append(r)
+    want = {r[0] for r in rows} - {a[0] for a in accepted}
+    assert {10, 11} == {a[0] for a in accepted}
+    seen, linked = [], history.History._linked
+
+    def counted(self, pairs, left, right):
+        seen.append(pairs.count())
+        return linked(self, pairs, left, right)
+
+    monkeypatch.setattr(history.History, "_linked", counted)
+    monkeypatch.setattr(history, "PAIRS", 0, raising=False)
+    schema = "ref long, url string, text_hash string, text string"
+    other = " ".join(word() for _ in range(60))
+    for known, most in (([(1, None, None, other)], 4), ([(1, None, None, texts[0]), *((k, None, None, texts[1]) for k in range(2, 9)), (9, None, None, other)], 4)):
+        seen.clear()
+        h = history.History(spark, scratch.new_path(spark, "test-history"), words=3, threshold=0.5, min_runs=20)
+        h.append(h.prepared(spark.createDataFrame(known, schema)))
+        got = {r.ref for r in h.rejected(spark.createDataFrame(rows, schema), accept=False).collect()}
+        assert got == (want if len(known) == 1 else {r[0] for r in rows}) and sum(seen) < most * len(rows)
+
+
 def test_repeated_lines(spark):
     rows = [(i, "s" if i else None, None, None, t, "x", 1) for i, t in enumerate([None, "Share THIS!\nbody one\n", "share this\nshare, this", "12\n--", "» Share this", "", None])]
     docs = spark.createDataFrame(rows, DOC)
