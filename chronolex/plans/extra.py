@@ -40,7 +40,7 @@ def _stream(spark, sf):
 
 @query()
 def stream_tumbling(spark, sf):
-    return streams.drained(streams.tumbling_counts(_stream(spark, sf)), "tumbling")
+    return streams.drained(streams.tumbling_counts(_stream(spark, sf)), "tumbling", ["window_start", "event_type"])
 
 
 @query("SELECT event_id, event_type FROM events")

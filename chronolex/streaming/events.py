@@ -16,9 +16,19 @@ def once_each(events: DataFrame, key: str = "event_id", late: str = "1 day") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """What a stream holds now, written to the shared folder in append mode and read again."""
+def drained(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream holds now, written to the shared folder and read again.
+
+    Without keys in append mode, which leaves out groups that the watermark hasn't closed. With keys (those of
+    the stream's groups) in update mode: the last row of each key counts, so open groups come too.
+    """
     spark: SparkSession = stream.sparkSession
     path, state = scratch.new_path(spark, name), scratch.new_path(spark, f"{name}-state")
+    if keys:
+        put = lambda rows, n: rows.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/part={n}")
+        stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.schema(f"{stream.schema.toDDL()}, _batch long").parquet(f"{path}/part=*")
+        rest = [c for c in stream.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_row")).select(*keys, "_row.*").select(*stream.columns)
     stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

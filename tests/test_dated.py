@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolex.functions import pages
 from chronolex.operators import anchors, excerpts, minhash, prevalence, store, syndication
+from chronolex.plans import extra
 from chronolex.sources import feeds, snapshots
 
 HEAD = "<html><head><title>Plain &amp; simple</title></head>"
@@ -180,3 +181,11 @@ def test_ablation_is_never_zero_without_decoy(spark):
 def test_top_per_breaks_ties_by_order(spark):
     df = spark.createDataFrame([("k", 1, 5), ("k", 1, 4), (None, 2, 1)], "k string, v int, i int")
     assert {(r.k, r.i, r.place) for r in store.top_per(df, ["k"], [F.desc("v"), "i"], 1).collect()} == {("k", 4, 1), (None, 1, 1)}
+
+
+def test_stream_has_its_open_windows(spark):
+    sf = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = {(r.s, r.event_type): (r.n, round(r.total, 4)) for r in e.groupBy(F.date_trunc("hour", "ts").alias("s"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).collect()}
+    rows = extra.stream_tumbling(spark, sf).collect()
+    assert len(rows) == len(want) and {(r.window_start, r.event_type): (r.n, round(r.total, 4)) for r in rows} == want
