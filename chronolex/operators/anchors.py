@@ -1,28 +1,26 @@
 """Whether a claim is its author's first use of it, and what the source adds to what was known without it."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolex.operators.store import DEFEATS
 
-SURE, LEAST_QUOTE, QUOTE_HEAD, MOST = 0.6, 12, 60, 6
+SURE, LEAST_QUOTE, QUOTE_HEAD = 0.6, 12, 60
 
 
-def first_use(lagged: DataFrame, docs: DataFrame, most: int = MOST) -> DataFrame:
-    """(claim_id, doc_id, first_ts, moved_days): the author's earliest own document that already says the claim.
+def first_use(lagged: DataFrame, docs: DataFrame) -> DataFrame:
+    """(claim_id, doc_id, first_ts, statements, moved_days): the author's earliest own document that already says the claim.
 
-    lagged: verdicts with ts, anchor_ts, source_id, own_source. Of a claim's `most` earliest prior verdicts on other documents of its
-    own source those count whose relation takes novelty away with confidence SURE or more and whose quote,
-    LEAST_QUOTE characters or longer, stands in the document by its first QUOTE_HEAD characters. Claims without one have no row.
-    Spark limits each claim's rows to `most` before they are shuffled.
+    lagged: verdicts with lag, ts, anchor_ts, source_id, own_source, own_doc. Of a claim's prior verdicts on other documents of its own source
+    those count whose relation takes novelty away with confidence SURE or more and whose quote, LEAST_QUOTE characters or longer,
+    stands in the document by its first QUOTE_HEAD characters; `statements` of them. Claims without one have no row. No cap
+    on candidates: a single-machine tool caps them to save model calls, and there are none here.
     """
-    own = lagged.where("direction = 'prior' and source_id = own_source and ts < anchor_ts")
-    nth = F.row_number().over(Window.partitionBy("claim_id").orderBy("ts", "doc_id"))
-    first = own.select("claim_id", "doc_id", "ts", "anchor_ts", "relation", "conf", "quote").withColumn("nth", nth).where(F.col("nth") <= most)
-    rows = first.where(F.col("relation").isin(DEFEATS) & (F.col("conf") >= SURE) & (F.length("quote") >= LEAST_QUOTE))
+    own = lagged.where("direction = 'prior' and source_id = own_source and doc_id <> own_doc and lag < 0")
+    rows = own.where(F.col("relation").isin(DEFEATS) & (F.col("conf") >= SURE) & (F.length("quote") >= LEAST_QUOTE)).select("claim_id", "doc_id", "ts", "anchor_ts", "quote")
     said = rows.join(docs.select("doc_id", F.lower("text").alias("_text")), "doc_id").where(F.contains("_text", F.substring(F.lower("quote"), 1, QUOTE_HEAD)))
-    g = said.groupBy("claim_id").agg(F.min(F.struct("ts", "doc_id")).alias("f"), F.first("anchor_ts").alias("anchor_ts"))
-    return g.select("claim_id", F.col("f.doc_id").alias("doc_id"), F.col("f.ts").alias("first_ts"), F.floor((F.col("anchor_ts") - F.col("f.ts")) / 86400).alias("moved_days"))
+    g = said.groupBy("claim_id").agg(F.min(F.struct("ts", "doc_id")).alias("f"), F.first("anchor_ts").alias("anchor_ts"), F.count("*").alias("statements"))
+    return g.select("claim_id", F.col("f.doc_id").alias("doc_id"), F.col("f.ts").alias("first_ts"), "statements", F.floor((F.col("anchor_ts") - F.col("f.ts")) / 86400).alias("moved_days"))
 
 
 def ablation_values(grades: DataFrame) -> DataFrame:

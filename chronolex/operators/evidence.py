@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolex.operators import store
+
 
 def normal(text: str | Column) -> Column:
     """Lower case with single blanks; empty for null."""
@@ -29,8 +31,13 @@ def checked(verdicts: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def downgraded(rows: DataFrame) -> DataFrame:
-    """Unsupported verdicts lose their claim: prior ones become topical, later ones orthogonal, confidence at most 0.3."""
+    """Unsupported verdicts lose their claim and their quote: prior ones become topical, later ones orthogonal, confidence at most 0.3."""
     prior = (F.col("direction") == "prior") & F.col("relation").isin("identical", "paraphrase", "subsumes", "partial")
     later = (F.col("direction") == "later") & (F.col("relation") != "orthogonal")
     fall = ~F.col("ok") & (prior | later)
-    return rows.withColumn("conf", F.when(fall, F.least("conf", F.lit(0.3))).otherwise(F.col("conf"))).withColumn("relation", F.when(fall & prior, "topical").when(fall & later, "orthogonal").otherwise(F.col("relation")))
+    told = {
+        "conf": F.when(fall, F.least("conf", F.lit(0.3))).otherwise(F.col("conf")),
+        "relation": F.when(fall & prior, "topical").when(fall & later, "orthogonal").otherwise(F.col("relation")),
+        "quote": F.when(fall, "").otherwise(F.col("quote")),
+    }
+    return rows.withColumns(told).withColumn("weight", store.weight_of(F.col("direction"), F.col("relation")))

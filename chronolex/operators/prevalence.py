@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.operators.search import blocks
+from chronolex.operators.search import BUCKET, blocks
 
 DAY = 86400
 #: fixed values: windows in days around a claim, [from, to), the first two before it
@@ -30,8 +30,13 @@ def _pairs(q: tuple, d: tuple):
     return sims, days
 
 
-def _joined(claims: DataFrame, docs: DataFrame, block: int) -> DataFrame:
-    return blocks(claims.select("id", "vec", F.col("anchor_ts").alias("ts")).where("ts is not null"), "q", block).join(blocks(docs.select("id", "vec", "ts").where("ts is not null"), "d", block), F.lit(True))
+def _joined(claims: DataFrame, docs: DataFrame, block: int, windows: list) -> DataFrame:
+    """Pairs of blocks: documents are gathered by quarter of a year, and meet only claims with a window that reaches it."""
+    at = lambda days: F.floor((F.col("ts") + days * DAY) / BUCKET)
+    q = claims.select("id", "vec", F.col("anchor_ts").alias("ts")).where("ts is not null").withColumn("from", at(min(a for a, _ in windows))).withColumn("to", at(max(b for _, b in windows)))
+    q = blocks(q, "q", block, "from", "to").withColumn("tb", F.explode(F.sequence("from", "to")))
+    d = docs.where("ts is not null").withColumn("tb", F.floor(F.col("ts") / BUCKET))
+    return q.join(blocks(d, "d", block, "tb"), "tb")
 
 
 _SIX = ("q_id", "q_vec", "q_ts", "d_id", "d_vec", "d_ts")
@@ -56,7 +61,7 @@ def curve(claims: DataFrame, docs: DataFrame, windows: list = WINDOWS, topical:
             out.append(rows)
         return pd.Series(out)
 
-    rows = _joined(claims, docs, block).select(F.inline(count(*_SIX)))
+    rows = _joined(claims, docs, block, windows).select(F.inline(count(*_SIX)))
     return rows.groupBy("claim_id", "win").agg(F.sum("n_topical").alias("n_topical"), F.sum("n_expressing").alias("n_expressing"))
 
 
@@ -76,36 +81,45 @@ def summary(curve: DataFrame, windows: list = WINDOWS, pre: int = PRE, least: in
     return g.select("claim_id", "baseline", "peak", (F.col("peak") - F.col("baseline")).alias("adoption"), (1 - F.col("baseline")).alias("surprisal"), lead.alias("lead_days"))
 
 
-def candidates(claims: DataFrame, docs: DataFrame, windows: list = WINDOWS, topical: float = TOPICAL, pool: int = POOL, block: int = 512) -> DataFrame:
-    """(claim_id, win, doc_id, score, place): per claim and window the `pool` most similar documents on the topic; ties fall to the lesser id."""
+def candidates(claims: DataFrame, docs: DataFrame, canonical: DataFrame, windows: list = WINDOWS, topical: float = TOPICAL, pool: int = POOL, block: int = 512) -> DataFrame:
+    """(claim_id, win, doc_id, score, place, n_topical): per claim and window the `pool` most similar stories on the topic; ties fall to the greater id.
 
-    @F.pandas_udf("array<struct<claim_id: bigint, win: int, doc_id: bigint, score: double>>")
-    def best(qi: pd.Series, qv: pd.Series, qt: pd.Series, di: pd.Series, dv: pd.Series, dt: pd.Series) -> pd.Series:
+    canonical: (doc_id, canonical), by which documents tell one story; a story stands in a window with its most similar document,
+    and takes one place of the pool in however many copies. n_topical: all documents on the topic in the window, copies too.
+    """
+    told = docs.join(canonical.select(F.col("doc_id").alias("id"), F.col("canonical").alias("_c")), "id", "left").select("id", "vec", "ts", F.coalesce("_c", "id").alias("story"))
+
+    @F.pandas_udf("array<struct<claim_id: bigint, win: int, story: bigint, doc_id: bigint, score: double, n: bigint>>")
+    def best(qi: pd.Series, qv: pd.Series, qt: pd.Series, di: pd.Series, dv: pd.Series, dt: pd.Series, ds: pd.Series) -> pd.Series:
         out = []
-        for a, x, s, b, y, t in zip(qi, qv, qt, di, dv, dt, strict=True):
+        for a, x, s, b, y, t, z in zip(qi, qv, qt, di, dv, dt, ds, strict=True):
             sims, days = _pairs((a, x, s), (b, y, t))
-            b, rows = np.asarray(b), []
+            b, z, rows = np.asarray(b), np.asarray(z), []
             for w, (lo, hi) in enumerate(windows):
                 ok = (days >= lo) & (days < hi) & (sims >= topical)
                 for i in np.flatnonzero(ok.any(1)):
                     c = np.flatnonzero(ok[i])
-                    rows += [(int(a[i]), w, int(b[k]), float(sims[i, k])) for k in c[np.lexsort((b[c], -sims[i, c]))][:pool]]
+                    c = c[np.lexsort((-b[c], -sims[i, c]))]
+                    top = c[np.sort(np.unique(z[c], return_index=True)[1])[:pool]]
+                    # the first row of a block carries how many documents there were
+                    rows += [(int(a[i]), w, int(z[k]), int(b[k]), float(sims[i, k]), len(c) if k == top[0] else 0) for k in top]
             out.append(rows)
         return pd.Series(out)
 
-    rows = _joined(claims, docs, block).select(F.inline(best(*_SIX)))
-    w = Window.partitionBy("claim_id", "win").orderBy(F.desc("score"), "doc_id")
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= pool)
+    rows = _joined(claims, told, block, windows).select(F.inline(best(*_SIX, "d_story")))
+    g = rows.groupBy("claim_id", "win", "story").agg(F.max(F.struct("score", "doc_id")).alias("b"), F.sum("n").alias("n"))
+    total = g.groupBy("claim_id", "win").agg(F.sum("n").alias("n_topical"))
+    by = Window.partitionBy("claim_id", "win").orderBy(F.desc("b.score"), F.desc("b.doc_id"))
+    cut = g.withColumn("place", F.row_number().over(by)).where(F.col("place") <= pool)
+    return cut.join(total, ["claim_id", "win"]).select("claim_id", "win", F.col("b.doc_id").alias("doc_id"), F.col("b.score").alias("score"), "place", "n_topical")
 
 
-def chosen(candidates: DataFrame, canonical: DataFrame, trail: int = TRAIL, sample: int = SAMPLE) -> DataFrame:
-    """(claim_id, win, doc_id, in_trail, in_sample): what a judge should read of the candidates, copies left out.
+def chosen(candidates: DataFrame, trail: int = TRAIL, sample: int = SAMPLE) -> DataFrame:
+    """(claim_id, win, doc_id, in_trail, in_sample, n_topical): what a judge should read of the candidates.
 
-    canonical: (doc_id, canonical); documents it doesn't name stand for themselves, copies whose canonical is another
-    document are dropped. The trail is the most similar `trail`, the sample the first `sample` in the order of an MD5 of claim, window and
+    The trail is the most similar `trail`, the sample the first `sample` in the order of an MD5 of claim, window and
     document: uniform, and the same in every run. A claim and window have at most the pool's rows.
     """
-    c = candidates.join(canonical.select("doc_id", "canonical"), "doc_id", "left").where("canonical is null or canonical = doc_id").drop("canonical", "place")
-    by = lambda *order: F.row_number().over(Window.partitionBy("claim_id", "win").orderBy(*order))
-    c = c.withColumn("near", by(F.desc("score"), "doc_id")).withColumn("drawn", by(F.md5(F.concat_ws("|", "claim_id", "win", "doc_id"))))
-    return c.where((F.col("near") <= trail) | (F.col("drawn") <= sample)).select("claim_id", "win", "doc_id", (F.col("near") <= trail).alias("in_trail"), (F.col("drawn") <= sample).alias("in_sample"))
+    drawn = F.row_number().over(Window.partitionBy("claim_id", "win").orderBy(F.md5(F.concat_ws("|", "claim_id", "win", "doc_id"))))
+    c = candidates.withColumn("drawn", drawn)
+    return c.where((F.col("place") <= trail) | (F.col("drawn") <= sample)).select("claim_id", "win", "doc_id", (F.col("place") <= trail).alias("in_trail"), (F.col("drawn") <= sample).alias("in_sample"), "n_topical")

@@ -1,8 +1,14 @@
-"""Retrieval: tokens, BM25, phrases, vectors and rank fusion. Ties fall to the lesser document id."""
+"""Retrieval in slices of time: tokens, BM25, phrases, vectors and rank fusion. Ties fall to the lesser document id.
+
+A query has (query_id, text, before, after, exclude_source, exclude_doc); each bound but the text may be null. Slices are strict on
+both sides, documents without a source stay unless excluded by id. Statistics are those of all documents, whatever the slice.
+"""
+
+import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,85 +16,182 @@ from chronolex.functions import stemming
 
 K1, B = 1.2, 0.75
 RRF_K, FINGERPRINT_BONUS = 60, 0.5
+#: tokens of a query that take part, and the least length of one
+MOST, SHORT = 40, 3
+#: vectors of one time bucket lie in one block or more
+BUCKET = 91 * 86400
+
+
+def _fold_table() -> tuple[str, str]:
+    """Accented letters and their plain ones; combining marks have none and so fall out."""
+    pairs = [(chr(c), d[0]) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if (d := unicodedata.normalize("NFD", chr(c))) != chr(c) and d[0].isascii() and chr(c).islower()]
+    return "".join(a for a, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
+
+
+def folded(text: str | Column) -> Column:
+    """Lower case without diacritics; empty for null."""
+    return F.translate(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), *_fold_table())
+
+
+def tokens(text: str | Column) -> Column:
+    """Runs of letters and digits of the folded text; none for null."""
+    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def tokens(text: str):
-    """Runs of ASCII letters and digits of the lower-case text, longer than two characters; none for null."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
+def _words(stem: bool):
+    return (lambda c: stemming.stems(tokens(c))) if stem else tokens
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, stem: bool = False) -> DataFrame:
-    """(query_id, doc_id, score, place): the k best documents of each query by BM25 over the OR of its first 40 tokens.
+def postings(docs: DataFrame, stem: bool = False) -> DataFrame:
+    """(doc_id, dl, term, tf): how often each word stands in title and text of a document, and the words it has in all.
 
-    queries: (query_id, text, before); docs: (doc_id, text, ts). Statistics are those of all documents; only
-    documents strictly before `before` (if not null) are ranked. Queries are the small side of the join on terms.
-    stem: words meet by their stems, at the price of one pass through Python; else the plan stays in the JVM.
+    A document without words has one row with null term, so that it counts. One pass; the count is combined map-side.
     """
-    words = (lambda c: stemming.stems(tokens(c))) if stem else tokens
-    q = queries.select("query_id", "before", F.explode(F.array_distinct(F.slice(words("text"), 1, 40))).alias("term"))
-    t = docs.select("doc_id", "ts", words("text").alias("w"))
-    wanted = q.select("term").distinct()
-    post = t.select("doc_id", "ts", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "ts", "dl").agg(F.count("*").alias("tf"))
-    stats = t.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    w = docs.select("doc_id", _words(stem)(F.concat_ws(" ", "title", "text")).alias("w"))
+    return w.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+
+
+def lengths(index: DataFrame) -> DataFrame:
+    """(n, avgdl) of an index: its documents and their mean length."""
+    return index.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def in_slice(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """hits (query_id, doc_id, before, after, exclude_source, exclude_doc, ...) whose document lies in the query's slice."""
+    rows = hits.join(docs.select("doc_id", "ts", "source_id"), "doc_id")
+    for out in (F.col("ts") >= F.col("before"), F.col("ts") <= F.col("after"), F.col("source_id") == F.col("exclude_source"), F.col("doc_id") == F.col("exclude_doc")):
+        rows = rows.where(~F.coalesce(out, F.lit(False)))
+    return rows.drop("ts", "source_id")
+
+
+def _bm25(tf: Column, df: Column) -> Column:
+    idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+SLICE = ["before", "after", "exclude_source", "exclude_doc"]
+
+
+def bm25(queries: DataFrame, index: DataFrame, docs: DataFrame, k: int = 10, stem: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, place): the k best documents of each query by BM25 over the OR of its first words of SHORT letters or more.
+
+    index: postings() with the same stem; docs: (doc_id, ts, source_id). Only the lists of words that some query has are read on;
+    a word in very many lists is split by the adaptive skew join, and each task cuts a query to k rows before the last shuffle.
+    """
+    words = F.array_distinct(F.slice(F.filter(_words(stem)("text"), lambda w: F.length(w) >= SHORT), 1, MOST))
+    q = queries.select("query_id", *SLICE, F.explode(words).alias("term"))
+    post = index.join(q.select("term").distinct(), "term", "left_semi")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    rows = post.join(df, "term").join(F.broadcast(stats), F.lit(True))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = rows.select("term", "doc_id", "ts", part.alias("part")).join(q, "term").where(F.col("before").isNull() | (F.col("ts") < F.col("before")))
-    return ranked(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), k)
+    rows = post.join(df, "term").join(F.broadcast(lengths(index)), F.lit(True)).select("term", "doc_id", _bm25(F.col("tf"), F.col("df")).alias("part"))
+    scored = rows.join(q.select("query_id", "term"), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return ranked(in_slice(scored.join(queries.select("query_id", *SLICE), "query_id"), docs).drop(*SLICE), k)
 
 
-def ranked(scored: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+def ranked(scored: DataFrame, k: int, *keys: str) -> DataFrame:
+    w = Window.partitionBy("query_id", *keys).orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def phrase_hits(phrases: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
-    """(query_id, doc_id): documents that have a phrase of `words` tokens, by an equi-join on runs of tokens."""
-    p = phrases.select("query_id", F.array_join(F.slice(tokens("text"), 1, words), " ").alias("phrase"), F.size(tokens("text")).alias("n")).where(F.col("n") >= words).drop("n")
-    w = docs.select("doc_id", tokens("text").alias("w"))
-    runs = w.select("doc_id", F.posexplode("w").alias("at", "x"), "w").where(F.col("at") + words <= F.size("w")).select("doc_id", F.array_join(F.slice("w", F.col("at") + 1, words), " ").alias("phrase"))
-    return runs.join(p, "phrase").select("query_id", "doc_id").distinct()
+def phrase_search(phrases: DataFrame, docs: DataFrame, texts: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, phrase, doc_id, score, place): the k best documents that have a whole phrase, word for word, by BM25 of the phrase.
 
-
-def rank_fusion(placements: DataFrame, bonus: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, doc_id, score, best_rank, place): sum of 1 / (60 + place) over placements (query_id, doc_id, place), and 0.5 once for a bonus hit."""
-    rows = placements.select("query_id", "doc_id", "place", F.lit(0).alias("hit")).unionByName(bonus.select("query_id", "doc_id", F.lit(None).cast("int").alias("place"), F.lit(1).alias("hit")))
-    fused = rows.groupBy("query_id", "doc_id").agg(F.round(F.coalesce(F.sum(1.0 / (RRF_K + F.col("place"))), F.lit(0.0)) + FINGERPRINT_BONUS * F.max("hit"), 6).alias("score"), F.min("place").alias("best_rank"))
-    return ranked(fused, k)
+    phrases: (query_id, phrase, *SLICE), of which those of two words or more count; texts: (doc_id, title, text). A document is a candidate
+    if a hashed pair of its neighbouring words begins a phrase (the phrases are the small side, broadcast by the planner if they are);
+    only candidates are searched for the whole phrase. Occurrences are counted without overlap.
+    """
+    spaced = lambda w: F.array_join(F.transform(w, lambda x: F.concat(F.lit(" "), x, F.lit(" "))), "")
+    pair = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1))
+    p = phrases.withColumn("_w", tokens("phrase")).where(F.size("_w") >= 2).withColumn("_p", spaced(F.col("_w"))).withColumn("_h", pair(F.col("_w"), F.lit(0))).drop("_w").distinct()
+    d = texts.select("doc_id", tokens(F.concat_ws(" ", "title", "text")).alias("_w"))
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 2, F.lit(0))), lambda i: pair(F.col("_w"), i)))
+    heads = d.where(F.size("_w") >= 2).select("doc_id", F.explode(pairs).alias("_h"))
+    met = heads.join(p.select("_h", "_p").distinct(), "_h").select("doc_id", "_p")
+    found = met.join(d.select("doc_id", F.size("_w").alias("dl"), spaced(F.col("_w")).alias("_t")), "doc_id").where(F.contains("_t", "_p"))
+    found = found.select("_p", "doc_id", "dl", ((F.length("_t") - F.length(F.replace("_t", "_p", F.lit("")))) / F.length("_p")).alias("tf"))
+    df = found.groupBy("_p").agg(F.count("*").alias("df"))
+    rows = found.join(df, "_p").join(F.broadcast(lengths(index)), F.lit(True)).select("_p", "doc_id", F.round(_bm25(F.col("tf"), F.col("df")), 6).alias("score"))
+    hits = in_slice(rows.join(p.drop("_h"), "_p"), docs).select("query_id", "phrase", "doc_id", "score")
+    return ranked(hits, k, "phrase")
+
+
+def rank_fusion(placements: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, doc_id, score, best_rank, retrievers, hits, place): reciprocal ranks of all placements, summed.
+
+    placements: (query_id, doc_id, place from 1, retriever, hit): one row per retriever and asked text; hit is the fingerprint that was
+    found, else null. Each placement gives 1 / (60 + place), a document with any hit 0.5 once. retrievers and hits are sorted.
+    """
+    g = placements.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (RRF_K + F.col("place"))).alias("s"), F.min("place").alias("best_rank"), F.sort_array(F.collect_set("retriever")).alias("retrievers"), F.sort_array(F.collect_set("hit")).alias("hits"))
+    return ranked(g.select("query_id", "doc_id", F.round(F.col("s") + F.when(F.size("hits") > 0, FINGERPRINT_BONUS).otherwise(0.0), 6).alias("score"), "best_rank", "retrievers", "hits"), k)
 
 
-def blocks(df: DataFrame, name: str, block: int) -> DataFrame:
-    """Arrays {name}_{column} of about `block` rows each; rows without id or vector are left out."""
-    n = max(1, -(-df.count() // block))
-    g = df.where("id is not null and vec is not null").groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("_block")).agg(F.collect_list(F.struct(*df.columns)).alias("r"))
-    return g.select(*[F.col(f"r.{c}").alias(f"{name}_{c}") for c in df.columns])
+def blocks(df: DataFrame, name: str, block: int, *by: str) -> DataFrame:
+    """(*by, {name}_{column}...): arrays of about `block` rows that agree in `by`; rows without id or vector are left out."""
+    df = df.where("id is not null and vec is not null")
+    n = df.groupBy(*by).agg(F.ceil(F.count("*") / block).alias("_n"))
+    rest = [c for c in df.columns if c not in by]
+    with_n = df.join(F.broadcast(n), list(by)) if by else df.join(F.broadcast(n), F.lit(True))
+    g = with_n.groupBy(*by, F.pmod(F.xxhash64("id"), "_n").alias("_block")).agg(F.collect_list(F.struct(*rest)).alias("r"))
+    return g.select(*by, *[F.col(f"r.{c}").alias(f"{name}_{c}") for c in rest])
 
 
 _HITS = T.ArrayType(T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())]))
+_EVER = 2**53
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
-    """(query_id, doc_id, score, place): the k vectors of largest dot product with each query, itself aside.
+    """(query_id, doc_id, score, place): of each query the k vectors of its slice with the largest dot product, itself aside.
 
-    queries, vectors: (id, vec). Both are gathered into blocks of about `block` rows; a task multiplies two blocks
-    and keeps k rows per query, so all rows are compared but never written out pair by pair.
+    queries: (id, vec) and, where they are to be sliced, before, after, exclude_source; vectors: (id, vec) and then ts, source_id.
+    Vectors are gathered in blocks of a quarter of a year, and meet only the blocks of queries whose slice reaches it; a
+    task multiplies two blocks and keeps k rows per query, so pairs are never written out.
     """
+    sliced = "ts" in vectors.columns
+    never = lambda c: F.lit(None).cast(c)
+    v = vectors.select("id", "vec", *(["ts", F.xxhash64("source_id").alias("src")] if sliced else [F.lit(0).cast("long").alias("ts"), never("long").alias("src")])).where("ts is not null")
+    v = v.withColumn("tb", F.floor(F.col("ts") / BUCKET))
+    has = lambda c: F.col(c).cast("long") if sliced and c in queries.columns else never("long")
+    src = F.when(F.col("exclude_source").isNotNull(), F.xxhash64("exclude_source")) if sliced and "exclude_source" in queries.columns else never("long")
+    q = queries.select("id", "vec", F.coalesce(has("after"), F.lit(-_EVER)).alias("lo"), F.coalesce(has("before"), F.lit(_EVER)).alias("hi"), src.alias("src"))
+    span = v.agg(F.min("tb").alias("first"), F.max("tb").alias("last"))
+    q = q.join(F.broadcast(span), F.lit(True)).withColumn("from", F.greatest(F.floor(F.col("lo") / BUCKET), "first")).withColumn("to", F.least(F.floor(F.col("hi") / BUCKET), "last")).where(F.col("from") <= F.col("to")).drop("first", "last")
 
     @F.pandas_udf(_HITS)
-    def best(qi: pd.Series, qv: pd.Series, di: pd.Series, dv: pd.Series) -> pd.Series:
+    def best(qi: pd.Series, qv: pd.Series, lo: pd.Series, hi: pd.Series, qs: pd.Series, di: pd.Series, dv: pd.Series, dt: pd.Series, ds: pd.Series) -> pd.Series:
         out = []
-        for a, x, b, y in zip(qi, qv, di, dv, strict=True):
-            b = np.asarray(b)
+        for a, x, l, h, s1, b, y, t, s2 in zip(qi, qv, lo, hi, qs, di, dv, dt, ds, strict=True):
+            a, b, t = np.asarray(a), np.asarray(b), np.asarray(t)
+            own = [np.array([None if z is None or z != z else int(z) for z in s], object) for s in (s1, s2)]
             sims = np.stack(x).astype(np.float64) @ np.stack(y).astype(np.float64).T
-            sims[np.asarray(a)[:, None] == b[None, :]] = -np.inf
+            bad = (a[:, None] == b[None, :]) | (t[None, :] <= np.asarray(l)[:, None]) | (t[None, :] >= np.asarray(h)[:, None])
+            told = np.array([z is not None for z in own[0]])
+            bad |= told[:, None] & (own[0][:, None] == own[1][None, :]).astype(bool)
+            sims[bad] = -np.inf
             rows = []
-            for q, s in zip(a, sims, strict=True):
+            for i, s in zip(a, sims, strict=True):
                 top = np.lexsort((b, -s))[:k] if len(s) <= 4 * k else (c := np.flatnonzero(s >= np.partition(s, -k)[-k]))[np.lexsort((b[c], -s[c]))][:k]
-                rows += [(int(q), int(b[i]), float(s[i])) for i in top if np.isfinite(s[i])]
+                rows += [(int(i), int(b[j]), float(s[j])) for j in top if np.isfinite(s[j])]
             out.append(rows)
         return pd.Series(out)
 
-    q, d = blocks(queries.select("id", "vec"), "q", block), blocks(vectors.select("id", "vec"), "d", block)
-    hits = q.join(d, F.lit(True)).select(F.explode(best("q_id", "q_vec", "d_id", "d_vec")).alias("h")).select("h.*")
+    qb = blocks(q, "q", block, "from", "to").withColumn("tb", F.explode(F.sequence("from", "to")))
+    hits = qb.join(blocks(v, "d", block, "tb"), "tb").select(F.explode(best("q_id", "q_vec", "q_lo", "q_hi", "q_src", "d_id", "d_vec", "d_ts", "d_src")).alias("h")).select("h.*")
     return ranked(hits, k)
+
+
+def distinct_queries(texts: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, n, text): the first `most` different texts of each query in order, letter case aside, from 0; the claim itself comes first.
+
+    texts: (query_id, pos, text); blank and null texts fall out.
+    """
+    first = texts.where(F.trim("text") != "").groupBy("query_id", F.lower(F.trim("text")).alias("_k")).agg(F.min(F.struct("pos", "text")).alias("f"))
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy("f.pos", "_k")) - 1
+    return first.select("query_id", n.alias("n"), F.trim("f.text").alias("text")).where(F.col("n") < most)
+
+
+def best_over_windows(fused: DataFrame, most: int = 14) -> DataFrame:
+    """(query_id, doc_id, score, win, place): of each document its greatest fused score over a query's windows, the `most` best documents.
+
+    fused: (query_id, win, doc_id, score); of equal scores the earlier window counts.
+    """
+    best = fused.groupBy("query_id", "doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "win")).alias("b"))
+    return ranked(best.select("query_id", "doc_id", (-F.col("b.s")).alias("score"), F.col("b.win").alias("win")), most)

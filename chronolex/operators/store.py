@@ -6,19 +6,24 @@ Nulls: a null key never conflicts and is kept; null times fall out of slices. Em
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolex.operators import timestamps
+
 #: fixed values: weights of relations, for evidence before a claim and after it
 PRIOR_WEIGHTS = {"identical": 1.0, "paraphrase": 0.95, "subsumes": 0.85, "partial": 0.45, "topical": 0.05, "unrelated": 0.0}
 LATER_WEIGHTS = {"states": 1.0, "entails": 0.9, "anticipates_directionally": 0.5, "partially_anticipates": 0.3, "orthogonal": 0.0, "contradicts": -1.0}
 #: fixed values: relations that take a claim's novelty away
 DEFEATS = ["identical", "paraphrase", "subsumes"]
 
-_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|\+00:00)\z"
 
+def dated(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """docs with `ts`, the published instant, or that of retrieval where published_at fixes none, and `told`, whether it does.
 
-def dated(docs: DataFrame) -> DataFrame:
-    """docs with `ts`: the published instant where it is written in plain UTC form, else that of retrieval."""
-    told = F.try_to_timestamp(F.substring("published_at", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    return docs.withColumn("ts", F.coalesce(F.when(F.col("published_at").rlike(_ISO), F.unix_timestamp(told)), F.unix_timestamp("retrieved_at")))
+    Only queries that ask for a time pay for reading it; other columns pass by. Sources are joined by id.
+    """
+    ts = timestamps.instants(docs.sparkSession)("published_at", "date_provenance", "_tz", "_order")
+    known = timestamps.known_clocks(sources)
+    d = docs.join(known, F.col("source_id") == F.col("_source"), "left").withColumn("_utc", ts)
+    return d.withColumn("ts", F.coalesce("_utc", F.unix_timestamp("retrieved_at"))).withColumn("told", F.col("_utc").isNotNull()).drop("_utc", "_source", "_tz", "_order")
 
 
 def time_slice(docs: DataFrame, before: Column | int | None = None, after: Column | int | None = None, ts: str = "ts", exclude_source: str | None = None) -> DataFrame:
@@ -48,16 +53,27 @@ def merged_sources(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min_by("kind", F.struct("seen_at", "name")).alias("kind"), at("name").alias("name"), at("domain").alias("domain"))
 
 
-def first_verdicts(judgements: DataFrame) -> DataFrame:
-    """The first known verdict of each (claim_id, doc_id, direction): relation, weight, conf in 0..1, quote, attributes_source."""
+def weight_of(direction: Column, relation: Column) -> Column:
+    """The weight of a relation; null for one that its direction doesn't know."""
     weight = F.lit(None).cast("double")
-    for direction, table in (("prior", PRIOR_WEIGHTS), ("later", LATER_WEIGHTS)):
-        for relation, w in table.items():
-            weight = F.when((F.col("direction") == direction) & (F.col("relation") == relation), F.lit(w)).otherwise(weight)
+    for name, table in (("prior", PRIOR_WEIGHTS), ("later", LATER_WEIGHTS)):
+        for known, w in table.items():
+            weight = F.when((direction == name) & (relation == known), F.lit(w)).otherwise(weight)
+    return weight
+
+
+def first_verdicts(judgements: DataFrame) -> DataFrame:
+    """The first verdict of each (claim_id, doc_id, direction): relation, weight, conf in 0..1, quote, attributes_source.
+
+    Unknown relations (letter case counts) are read as unrelated before a claim and as orthogonal after it, a missing
+    confidence as 0.5. Rows of another direction fall out.
+    """
     order = F.struct("judged_at", "relation", F.coalesce("confidence", F.lit(-1.0)), F.coalesce("quote", F.lit("")))
-    first = judgements.groupBy("claim_id", "doc_id", "direction").agg(F.min_by(F.struct("relation", "confidence", "quote", "attributes_source"), order).alias("r")).select("claim_id", "doc_id", "direction", "r.*")
-    conf = F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    return first.withColumn("weight", weight).where("weight is not null").select("claim_id", "doc_id", "direction", "relation", "weight", conf.alias("conf"), "quote", "attributes_source")
+    first = judgements.where("direction in ('prior', 'later')").groupBy("claim_id", "doc_id", "direction").agg(F.min_by(F.struct("relation", "confidence", "quote", "attributes_source"), order).alias("r")).select("claim_id", "doc_id", "direction", "r.*")
+    none = F.when(F.col("direction") == "prior", "unrelated").otherwise("orthogonal")
+    first = first.withColumn("relation", F.when(weight_of(F.col("direction"), F.col("relation")).isNull(), none).otherwise(F.col("relation")))
+    conf = F.least(F.greatest(F.coalesce("confidence", F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
+    return first.select("claim_id", "doc_id", "direction", "relation", weight_of(F.col("direction"), F.col("relation")).alias("weight"), conf.alias("conf"), "quote", "attributes_source")
 
 
 def stable_id(*parts: str) -> Column:

@@ -7,11 +7,10 @@ half of the day, zone, anything else), looked up once per distinct word.
 """
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,29 +249,57 @@ def _convert_plan(plan, codes, words, rows, named, provenance, tz, order, out, f
         out[rows[at]], fixed[rows[at]] = u, ok[at] & settled
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ts, fixed = _convert(*(c.to_pylist() for c in batch.columns[1:5]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ts, mask=~fixed)], ["id", "published_ts"])
+def instants(spark: SparkSession):
+    """A column function of (value, provenance, tz, date_order) that gives epoch seconds, for use in any projection.
+
+    The zone files of the driver are sent along, so all tasks follow one release of the zone rules.
+    """
+    sent = spark.sparkContext.broadcast(zones.rules()[1])
+
+    @F.pandas_udf("long")
+    def instant(value: pd.Series, provenance: pd.Series, tz: pd.Series, order: pd.Series) -> pd.Series:
+        zones.use(sent.value)
+        lists = [x.astype(object).where(x.notna(), None).tolist() for x in (value, provenance, tz, order)]
+        ts, fixed = _convert(*lists)
+        return pd.Series(pd.array(ts, dtype="Int64")).where(pd.Series(fixed), pd.NA)
+
+    return instant
 
 
-def normalised_timestamps(docs: DataFrame, sources: DataFrame, id_col: str = "doc_id", value_col: str = "published_at", provenance_col: str = "date_provenance", source_col: str = "source_id") -> DataFrame:
-    """(id_col, published_ts): epoch seconds in UTC of each row's value, null where it doesn't fix one instant.
+def known_clocks(sources: DataFrame) -> DataFrame:
+    """(_source, _tz, _order) by source: the metadata of repeated ids count once, the largest value if they differ."""
+    return sources.where("id is not null").groupBy(F.col("id").alias("_source")).agg(F.max(F.col("metadata")["tz"]).alias("_tz"), F.max(F.col("metadata")["date_order"]).alias("_order"))
+
+
+def normalised_timestamps(docs: DataFrame, sources: DataFrame, id_col: str = "doc_id", value_col: str = "published_at", provenance_col: str = "date_provenance", source_col: str = "source_id", confidence_col: str | None = None) -> DataFrame:
+    """(id_col, published_ts, precision, zone_rules): epoch seconds in UTC of each row's value, null where it doesn't fix one instant.
 
     An offset, zone name or abbreviation in the value holds; else UTC for the provenance wp:date_gmt;
     else the `tz` of the source's metadata; else UTC. All-numeric dates whose year doesn't lead follow the
     source's `date_order`; where that is unknown, only dates with one reading count. Dates without a
     time are the start of their day. Null, partial and impossible values, and clock times that their
     zone skips or has twice, give null. Every row gives a row, repeated ids included; the metadata of
-    repeated sources count once (the largest value if they differ). Zone rules: zones.version().
+    repeated sources count once (the largest value if they differ).
+
+    precision: `day` for values without a time of day, else `second`, null without an instant. zone_rules: the
+    release of the zone data. With confidence_col a fifth column, `confidence`, has the stated confidence
+    corrected to what the value bears: null without an instant, `day` instead of `exact` for a bare date.
+    Sources are joined by id (the adaptive planner broadcasts them when small); nothing else is shuffled.
     """
-    known = sources.groupBy(F.col("id").alias("_source")).agg(F.max(F.col("metadata")["tz"]).alias("_tz"), F.max(F.col("metadata")["date_order"]).alias("_order"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(value_col).alias("value"), F.col(provenance_col).alias("provenance"), F.col(source_col).alias("_source"))
-    joined = rows.join(known, "_source", "left").select("id", "value", "provenance", "_tz", "_order")
-    return joined.mapInArrow(_batches, f"id {docs.schema[id_col].dataType.simpleString()}, published_ts long").withColumnRenamed("id", id_col)
+    spark = docs.sparkSession
+    told = [F.lower(F.trim(confidence_col)).alias("_told")] if confidence_col else []
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(value_col).alias("_value"), F.col(provenance_col).alias("_provenance"), F.col(source_col).alias("_source"), *told)
+    ts = instants(spark)("_value", "_provenance", "_tz", "_order")
+    clock = F.col("_value").rlike(r"[0-9]:[0-9]{2}|[0-9]h[0-9]{2}|[0-9]T[0-9]|^\s*[0-9.]{9,}Z?\s*$")
+    out = rows.join(known_clocks(sources), "_source", "left").select("_id", ts.alias("published_ts"), clock.alias("_clock"), *(["_told"] if told else []))
+    has = F.col("published_ts").isNotNull()
+    columns = [F.col("_id").alias(id_col), "published_ts", F.when(has, F.when(F.col("_clock"), "second").otherwise("day")).alias("precision"), F.lit(zones.rules()[0]).alias("zone_rules")]
+    if told:
+        columns.append(F.when(has, F.when((F.col("_told") == "exact") & ~F.col("_clock"), "day").otherwise(F.col("_told"))).alias("confidence"))
+    return out.select(*columns)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "published_at", "date_provenance", "source_id")
     plain = F.col("published_at").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|\+00:00)\z")
-    return normalised_timestamps(docs.where("published_at is not null").where(~plain), spark.read.parquet(f"{sf}/sources.parquet")).where("published_ts is not null")
+    return normalised_timestamps(docs.where("published_at is not null").where(~plain), spark.read.parquet(f"{sf}/sources.parquet")).where("published_ts is not null").select("doc_id", "published_ts")

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from chronolex.operators import anchors, prevalence, syndication
-from chronolex.plans.base import CLAIMS, DATED, VERDICTS, Tables, query
-from chronolex.plans.scores import LAG, SIX, _lagged
+from chronolex.operators import anchors, prevalence, scoring, syndication
+from chronolex.plans.base import CANON, CANONICAL, DATED, Tables, query
+from chronolex.plans.scores import FOLLOW, LAG, SIX, _lagged
 
 #: the vectors of the tables are nearly orthogonal, so floors lie lower than for real ones
 TOPICAL, EXPRESS = 0.2, 0.3
@@ -12,16 +12,10 @@ TOPICAL, EXPRESS = 0.2, 0.3
 
 def _vectors(t):
     """Documents' vectors with their times, and those of every twentieth as claims."""
-    v = t.embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec")).join(t.dated.select(F.col("doc_id").alias("id"), "ts"), "id")
+    v = t.embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec")).join(t.times.select(F.col("doc_id").alias("id"), "ts"), "id")
     return v.where("id % 20 = 0").withColumnRenamed("ts", "anchor_ts"), v
 
 
-def _copies(t):
-    """Documents of one text_hash, letter case aside, stand for their least id."""
-    h = t.documents.where("text_hash is not null").select("doc_id", F.lower("text_hash").alias("h"))
-    return h.join(h.groupBy("h").agg(F.min("doc_id").alias("canonical")), "h").select("doc_id", "canonical")
-
-
 SPAN = "CASE " + " ".join(f"WHEN days >= {a} AND days < {b} THEN {i}" for i, (a, b) in enumerate(prevalence.WINDOWS)) + " END"
 CURVE = f"""{DATED}, vec AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, ts FROM embeddings JOIN d ON doc_id = vec_id), sim AS (SELECT a.id AS claim_id, b.id AS doc_id, list_inner_product(a.v, b.v) AS score, floor((b.ts - a.ts) / 86400.0) AS days FROM vec a, vec b WHERE a.id % 20 = 0 AND a.id <> b.id),
 near AS (SELECT * FROM (SELECT *, {SPAN} AS win FROM sim WHERE score >= {TOPICAL}) WHERE win IS NOT NULL), cur AS (SELECT claim_id, win, count(*) AS n_topical, count(*) FILTER (WHERE score >= {EXPRESS}) AS n_expressing FROM near GROUP BY 1, 2)"""
@@ -41,44 +35,40 @@ def lead_days(spark, sf):
     return prevalence.summary(c).select("claim_id", *SIX("baseline", "peak", "adoption", "surprisal"), "lead_days")
 
 
-@query(f"WITH {CURVE}, pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, win ORDER BY score DESC, doc_id) AS place FROM near) WHERE place <= 60), h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(text_hash)) AS canonical FROM documents WHERE text_hash IS NOT NULL), k AS (SELECT pool.*, row_number() OVER (PARTITION BY claim_id, win ORDER BY score DESC, doc_id) AS near, row_number() OVER (PARTITION BY claim_id, win ORDER BY md5(claim_id || '|' || win || '|' || doc_id)) AS drawn FROM pool LEFT JOIN h USING (doc_id) WHERE canonical IS NULL OR canonical = doc_id) SELECT claim_id, win, doc_id, near <= 10 AS in_trail, drawn <= 10 AS in_sample FROM k WHERE near <= 10 OR drawn <= 10")
+@query(f"WITH RECURSIVE {CURVE}, {CANONICAL}, st AS (SELECT near.*, coalesce(canonical, near.doc_id) AS story FROM near LEFT JOIN canon ON canon.doc_id = near.doc_id), one AS (SELECT claim_id, win, story, max(score) AS score, arg_max(doc_id, (score, doc_id)) AS doc_id, count(*) AS n FROM st GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY claim_id, win ORDER BY score DESC, doc_id DESC) AS place, CAST(sum(n) OVER (PARTITION BY claim_id, win) AS BIGINT) AS n_topical FROM one), x AS (SELECT *, row_number() OVER (PARTITION BY claim_id, win ORDER BY md5(claim_id || '|' || win || '|' || doc_id)) AS drawn FROM k WHERE place <= 60) SELECT claim_id, win, doc_id, place <= 10 AS in_trail, drawn <= 10 AS in_sample, n_topical FROM x WHERE place <= 10 OR drawn <= 10")
 def topical_candidates(spark, sf):
     t = Tables(spark, sf)
-    return prevalence.chosen(prevalence.candidates(*_vectors(t), topical=TOPICAL), _copies(t))
-
+    return prevalence.chosen(prevalence.candidates(*_vectors(t), t.canonical, topical=TOPICAL))
 
-def _canonical(t):
-    return syndication.canonicals(t.dated.select("doc_id", "ts"), syndication.classes(t.documents))
 
-
-@query()
+@query(f"WITH RECURSIVE {CANON} SELECT doc_id, class_id FROM cls")
 def near_dup_components(spark, sf):
     return syndication.classes(Tables(spark, sf).documents)
 
 
-@query()
+@query(f"WITH RECURSIVE {DATED}, {CANONICAL} SELECT doc_id, ts FROM d WHERE doc_id NOT IN (SELECT doc_id FROM canon WHERE canonical <> doc_id)")
 def keep_canonical(spark, sf):
     """Documents without the copies of an earlier one."""
     t = Tables(spark, sf)
-    return t.dated.select("doc_id", "ts").join(_canonical(t).where("doc_id <> canonical"), "doc_id", "left_anti")
+    return t.times.select("doc_id", "ts").join(t.canonical.where("doc_id <> canonical"), "doc_id", "left_anti")
 
 
-@query()
+@query(f"WITH RECURSIVE {DATED}, {CANONICAL} SELECT source_id, count(*) AS collapsed FROM d JOIN canon USING (doc_id) WHERE canonical <> doc_id GROUP BY 1")
 def syndicated_collapsed(spark, sf):
     """How many documents of each source are copies of an earlier one."""
     t = Tables(spark, sf)
-    c = _canonical(t).where("doc_id <> canonical")
+    c = t.canonical.where("doc_id <> canonical")
     return t.documents.select("doc_id", "source_id").join(c, "doc_id").groupBy("source_id").agg(F.count("*").alias("collapsed"))
 
 
-@query()
+@query(f"WITH RECURSIVE {LAG}, {CANONICAL}, {FOLLOW}, e AS (SELECT fo.claim_id, fo.source_id, row_number() OVER (PARTITION BY fo.claim_id, coalesce(canonical, fo.doc_id) ORDER BY fo.ts, fo.doc_id) AS nth FROM fo LEFT JOIN canon ON canon.doc_id = fo.doc_id WHERE fo.up) SELECT claim_id, count(DISTINCT source_id) FILTER (WHERE nth = 1) AS sources FROM e GROUP BY 1")
 def independent_sources(spark, sf):
     t = Tables(spark, sf)
-    later = _lagged(t).where("direction = 'later' and weight > 0").select("claim_id", "doc_id", "source_id", "ts")
-    return syndication.independent_sources(later, _canonical(t))
+    up = scoring.followers(_lagged(t)).where("up").select("claim_id", "doc_id", "source_id", "ts")
+    return syndication.independent_sources(up, t.canonical)
 
 
-@query(f"WITH {LAG}, own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY ts, doc_id) AS nth FROM l WHERE direction = 'prior' AND source_id = own_source AND ts < anchor_ts) WHERE nth <= 6), s AS (SELECT own.* FROM own JOIN documents t USING (doc_id) WHERE relation IN ('identical','paraphrase','subsumes') AND conf >= 0.6 AND length(quote) >= 12 AND contains(lower(t.text), substr(lower(quote), 1, 60))) SELECT claim_id, arg_min(doc_id, (ts, doc_id)) AS doc_id, min(ts) AS first_ts, CAST(floor((any_value(anchor_ts) - min(ts)) / 86400.0) AS BIGINT) AS moved_days FROM s GROUP BY claim_id")
+@query(f"WITH {LAG}, s AS (SELECT l.claim_id, l.doc_id, l.ts, l.anchor_ts FROM l JOIN documents t ON t.doc_id = l.doc_id WHERE direction = 'prior' AND l.source_id = own_source AND l.doc_id <> own_doc AND lag < 0 AND relation IN ('identical','paraphrase','subsumes') AND conf >= 0.6 AND length(quote) >= 12 AND contains(lower(t.text), substr(lower(quote), 1, 60))) SELECT claim_id, arg_min(doc_id, (ts, doc_id)) AS doc_id, min(ts) AS first_ts, count(*) AS statements, CAST(floor((any_value(anchor_ts) - min(ts)) / 86400.0) AS BIGINT) AS moved_days FROM s GROUP BY claim_id")
 def first_use_anchor(spark, sf):
     t = Tables(spark, sf)
     return anchors.first_use(_lagged(t), t.documents)
@@ -110,27 +100,3 @@ def ablation_rollup(spark, sf):
     r = anchors.ablation_values(_grades(t)).join(t.anchored.select("claim_id", F.coalesce("own_source", F.lit("")).alias("source_id")), "claim_id")
     rate = F.avg(F.when(F.col("internalised"), 1.0).otherwise(0.0))
     return r.groupBy("source_id").agg(F.count("*").alias("claims"), F.round(F.avg("value"), 6).alias("value"), F.round(F.avg(F.when(F.col("decoy_controlled"), F.col("value"))), 6).alias("controlled_value"), F.round(rate, 6).alias("internalised_rate"))
-
-
-@query(f"WITH {CLAIMS}, {VERDICTS}, x AS (SELECT claim_id, 1 - coalesce(max(weight * conf), 0) AS hi FROM c LEFT JOIN (SELECT * FROM v WHERE direction = 'prior') USING (claim_id) GROUP BY 1), m AS (SELECT count(*) AS n, round(avg(hi), 6) AS base, round(max(hi) - min(hi), 6) AS spread FROM x) SELECT n, base, 1.0::DOUBLE AS blind, spread, abs(base - 1.0) > 0.05 OR 0.0 < greatest(0.05, 0.5 * spread) AS passed FROM m")
-def no_retrieval_control(spark, sf):
-    """Without anything retrieved every claim is new; passes if that moves the mean by 0.05, or if the spread collapses."""
-    t = Tables(spark, sf)
-    best = t.verdicts.where("direction = 'prior'").groupBy("claim_id").agg(F.max(F.col("weight") * F.col("conf")).alias("p"))
-    hi = 1 - F.coalesce("p", F.lit(0.0))
-    m = t.claim_rows.select(F.col("id").alias("claim_id")).join(best, "claim_id", "left").agg(F.count("*").alias("n"), F.round(F.avg(hi), 6).alias("base"), F.round(F.max(hi) - F.min(hi), 6).alias("spread"))
-    blind = F.lit(1.0)
-    return m.select("n", "base", blind.alias("blind"), "spread", ((F.abs(F.col("base") - blind) > 0.05) | (F.lit(0.0) < F.greatest(F.lit(0.05), 0.5 * F.col("spread")))).alias("passed"))
-
-
-@query("WITH x AS (SELECT id, any_value(doc_id) AS doc_id, any_value(fingerprints) AS f FROM claims WHERE len(fingerprints) > 0 GROUP BY id), e AS (SELECT min(doc_id) + max(doc_id) AS turn FROM documents), s AS (SELECT len(list_filter(f, lambda p: contains(lower(coalesce(o.text, '')), lower(p)))) / len(f) AS own, len(list_filter(f, lambda p: contains(lower(coalesce(m.text, '')), lower(p)))) / len(f) AS other FROM x, e JOIN documents o ON o.doc_id = x.doc_id JOIN documents m ON m.doc_id = turn - x.doc_id WHERE turn <> 2 * x.doc_id), g AS (SELECT count(*) AS n, round(avg(own), 6) AS base, round(avg(other), 6) AS shuffled FROM s) SELECT *, CASE WHEN n >= 3 AND base > 0.02 THEN shuffled < base END AS passed FROM g")
-def shuffled_control(spark, sf):
-    """Claims set against another document's text must be found there less; documents are swapped end for end, by one equi-join."""
-    t = Tables(spark, sf)
-    low = t.documents.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    turn = F.broadcast(t.documents.agg((F.min("doc_id") + F.max("doc_id")).alias("turn")))
-    c = t.claim_rows.where(F.size("fingerprints") > 0).select("doc_id", "fingerprints").join(turn, F.lit(True)).where("turn <> 2 * doc_id").withColumn("other_id", F.col("turn") - F.col("doc_id"))
-    share = lambda text: F.size(F.filter("fingerprints", lambda p: F.contains(F.col(text), F.lower(p)))) / F.size("fingerprints")
-    c = c.join(low.withColumnRenamed("low", "own"), "doc_id").join(low.select(F.col("doc_id").alias("other_id"), F.col("low").alias("other")), "other_id")
-    m = c.agg(F.count("*").alias("n"), F.round(F.avg(share("own")), 6).alias("base"), F.round(F.avg(share("other")), 6).alias("shuffled"))
-    return m.withColumn("passed", F.when((F.col("n") >= 3) & (F.col("base") > 0.02), F.col("shuffled") < F.col("base")))

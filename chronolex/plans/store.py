@@ -45,7 +45,7 @@ def find_source_ci(spark, sf):
 @query(f"WITH {DATED} SELECT source_id, doc_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, doc_id) AS rn FROM d WHERE source_id IS NOT NULL) WHERE rn <= 5")
 def docs_newest_per_source(spark, sf):
     w = Window.partitionBy("source_id").orderBy(F.desc("ts"), "doc_id")
-    d = Tables(spark, sf).dated.where("source_id is not null").select("source_id", "doc_id", "ts")
+    d = Tables(spark, sf).times.where("source_id is not null").select("source_id", "doc_id", "ts")
     return d.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
 
 

@@ -1,12 +1,21 @@
-"""Tables written to the shared folder that the session names, to cut lineage and survive lost executors."""
+"""Tables written to the shared folder that the session names, to cut lineage and survive lost executors.
+
+Only paths that this module itself has made in this process are ever deleted, each by its exact name.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: paths of this process's tables that still stand
+_made: set[str] = set()
+_local = threading.local()
+
 
 def folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; one of our own only where none is set and the master is local."""
@@ -20,7 +29,12 @@ def folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/chronolex/{name}-{uuid.uuid4().hex}"
+    """A path below the folder that nothing has yet; it may be deleted by delete()."""
+    path = f"{folder(spark)}/chronolex/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    for made in getattr(_local, "open", []):
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
@@ -28,15 +42,60 @@ def written(df: DataFrame, name: str = "table", partition_by: list[str] | None =
     path = new_path(df.sparkSession, name)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._scratch_path = path
+    return back
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a path that new_path() made; any other path is left alone."""
+    if path in _made:
+        _made.discard(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop(df: DataFrame) -> None:
-    """Deletes a table made by written() that is needed no more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        at = file.find("/chronolex/")
-        if at > 0:
-            root = file[: at + len("/chronolex/")] + file[at + len("/chronolex/") :].split("/")[0]
-            path = spark._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes a table made by written() that is needed no more; does nothing for other frames."""
+    path = df.__dict__.get("_scratch_path")
+    if path:
+        delete(df.sparkSession, path)
+
+
+def settled(build: Callable[[], DataFrame], name: str = "result", keep: tuple[str, ...] = ()) -> DataFrame:
+    """What build() returns, written; the tables that were written on the way are deleted, but for the paths in keep."""
+    made: list[str] = []
+    _local.open = [*getattr(_local, "open", []), made]
+    try:
+        out = written(build(), name)
+    finally:
+        _local.open = _local.open[:-1]
+    for path in made:
+        if path != out._scratch_path and path not in keep:
+            delete(out.sparkSession, path)
+    return out
+
+
+_kept: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that several queries of a session read, built at its first use; built anew once its files are gone."""
+    key = (spark.sparkContext.applicationId, *key)
+    have = _kept.get(key)
+    if have is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(have._scratch_path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return have
+    outer, _local.open = getattr(_local, "open", []), []
+    try:
+        _kept[key] = settled(build, str(key[1]))
+    finally:
+        _local.open = outer
+    return _kept[key]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of this process that still stand; results that were not copied elsewhere go with them."""
+    for path in list(_made):
+        delete(spark, path)

@@ -7,10 +7,10 @@ from chronolex.operators import store
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """(name, rows, first_ts, last_ts): the size of every table, and the span of documents."""
+    """(name, rows, first_ts, last_ts): the size of every table, and the span of documents, whose clocks `sources` tells."""
     out = None
     for name, df in tables.items():
-        d = store.dated(df) if name == "documents" else df.withColumn("ts", F.lit(None).cast("long"))
+        d = store.dated(df, tables["sources"]) if name == "documents" else df.withColumn("ts", F.lit(None).cast("long"))
         row = d.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
         out = row if out is None else out.unionByName(row)
     return out

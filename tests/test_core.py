@@ -88,15 +88,20 @@ def test_quotes(spark):
     assert got == {1: ("identical", 0.9), 2: ("topical", 0.3), 3: ("orthogonal", 0.3), 4: ("orthogonal", 0.2)}
 
 
-def test_dense_and_fusion(spark):
-    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (None, [1.0, 0.0]), (4, None)], "id long, vec array<double>")
-    got = [(r.query_id, r.doc_id, r.place) for r in search.dense_topk(v.where("id = 1"), v, k=2, block=1).orderBy("place").collect()]
-    assert got == [(1, 2, 1), (1, 3, 2)]
-    f = search.rank_fusion(spark.createDataFrame([(1, 5, 1), (1, 6, 1), (1, 6, 3)], "query_id long, doc_id long, place int"), spark.createDataFrame([(1, 5)], "query_id long, doc_id long"))
-    assert [r.doc_id for r in f.orderBy("place").collect()] == [5, 6]
-
-
-def test_undecided_stays_null(spark):
-    judged = spark.createDataFrame([("c", 3, 2, 0.5, 1.0, 0.0)], "claim_id string, win int, n long, expressed double, support double, refute double")
-    r = scoring.predictive_value(judged, spark.createDataFrame([], "claim_id string, strength double, doc_id long")).first()
-    assert (r.surprisal, r.adoption, r.pv, r.vindication) == (1.0, None, None, 1.0)
+def test_zone_rules_come_from_the_driver(spark):
+    release, files = zones.rules()
+    assert release and len(files["Europe/Paris"]) > 100
+    zones.use({"Europe/Paris": files["Asia/Kolkata"]})
+    try:
+        assert zones.transitions("Europe/Paris")[1][-1] == 19800 and zones.transitions("America/New_York") is None
+    finally:
+        zones.use(files)
+    rows = spark.createDataFrame([(1, "2020-01-01", "x", None, 1, "c"), (2, "2020-01-01 10:00", "x", None, 1, "c"), (3, "soon", "x", None, 1, "c")], DOC)
+    got = {r.doc_id: (r.precision, r.confidence, r.zone_rules) for r in timestamps.normalised_timestamps(rows.withColumn("sure", timestamps.F.lit(" Exact")), spark.createDataFrame([], SRC), confidence_col="sure").collect()}
+    assert got == {1: ("day", "day", release), 2: ("second", "exact", release), 3: (None, None, release)}
+
+
+def test_dated_takes_retrieval_only_without_an_instant(spark):
+    rows = spark.createDataFrame([(1, "1 March 2020", None, "fr", datetime(2021, 1, 1, tzinfo=UTC)), (2, "soon", None, None, datetime(2021, 1, 1, tzinfo=UTC)), (3, None, None, "fr", None)], "doc_id long, published_at string, date_provenance string, source_id string, retrieved_at timestamp")
+    src = spark.createDataFrame([("fr", {"tz": "Europe/Paris"}), (None, {"tz": "Asia/Tokyo"})], SRC)
+    assert {r.doc_id: (r.ts, r.told) for r in store.dated(rows, src).collect()} == {1: (epoch(2020, 3, 1, tz=PARIS), True), 2: (epoch(2021, 1, 1), False), 3: (None, False)}

@@ -44,14 +44,14 @@ def test_feeds(spark, tmp_path):
 
 
 def test_snapshots(spark, tmp_path):
-    d = spark.createDataFrame([(1, "2020-01-01T00:00:00Z", None), (2, None, None)], "doc_id int, published_at string, retrieved_at timestamp")
-    tables = {"documents": d, "claims": spark.createDataFrame([], "id string")}
+    d = spark.createDataFrame([(1, "2020-01-01T00:00:00Z", None, None, None), (2, None, None, None, "s")], "doc_id int, published_at string, retrieved_at timestamp, date_provenance string, source_id string")
+    tables = {"documents": d, "sources": spark.createDataFrame([("s", {"tz": "Europe/Paris"})], "id string, metadata map<string,string>"), "claims": spark.createDataFrame([], "id string")}
     m = {r["name"]: (r["rows"], r.first_ts) for r in snapshots.snapshot(tables, str(tmp_path / "s")).collect()}
-    assert m == {"documents": (2, 1577836800), "claims": (0, None)}
+    assert m == {"documents": (2, 1577836800), "sources": (1, None), "claims": (0, None)}
     with pytest.raises(AnalysisException):
         snapshots.snapshot(tables, str(tmp_path / "s"))
     snapshots.snapshot(tables, str(tmp_path / "s"), force=True)
-    assert snapshots.restore(spark, str(tmp_path / "s"), str(tmp_path / "r")).count() == 2
+    assert snapshots.restore(spark, str(tmp_path / "s"), str(tmp_path / "r")).count() == 3
     with pytest.raises(AnalysisException):
         snapshots.restore(spark, str(tmp_path / "s"), str(tmp_path / "r"))
 
@@ -153,21 +153,28 @@ def test_prevalence(spark):
     assert (s.baseline, s.peak, s.adoption, s.surprisal, s.lead_days) == (0.0, 1.0, 1.0, 1.0, 45)
     s = prevalence.summary(c, least=2).first()
     assert (s.baseline, s.peak, s.adoption, s.lead_days) == (None, 1.0, None, None)
-    top = prevalence.candidates(claims, docs, pool=1)
-    assert {(r.win, r.doc_id) for r in top.collect()} == {(1, 10), (0, 18), (2, 11), (3, 13)}
-    same = spark.createDataFrame([(11, 12), (12, 12)], "doc_id long, canonical long")
-    assert {r.doc_id for r in prevalence.chosen(prevalence.candidates(claims, docs), same).collect()} == {10, 18, 12, 13}
-    assert prevalence.curve(claims, docs.where("false")).count() == 0 and prevalence.candidates(claims.where("false"), docs).count() == 0
+    none = spark.createDataFrame([], "doc_id long, canonical long")
+    top = prevalence.candidates(claims, docs, none, pool=1)
+    assert {(r.win, r.doc_id, r.n_topical) for r in top.collect()} == {(1, 10, 1), (0, 18, 1), (2, 12, 2), (3, 13, 1)}
+    # of one story the most similar document stands for all, in one place of the pool
+    same = spark.createDataFrame([(11, 12), (12, 12), (10, 12)], "doc_id long, canonical long")
+    found = prevalence.candidates(claims, docs, same, block=1)
+    assert {(r.win, r.doc_id, r.n_topical) for r in found.collect()} == {(1, 10, 1), (0, 18, 1), (2, 12, 2), (3, 13, 1)}
+    assert {(r.win, r.doc_id, r.in_trail) for r in prevalence.chosen(found).collect()} == {(1, 10, True), (0, 18, True), (2, 12, True), (3, 13, True)}
+    assert prevalence.curve(claims, docs.where("false")).count() == 0 and prevalence.candidates(claims.where("false"), docs, none).count() == 0
 
 
 def test_first_use(spark):
-    cols = "claim_id string, doc_id long, direction string, relation string, conf double, quote string, ts long, anchor_ts long, source_id string, own_source string"
+    cols = "claim_id string, doc_id long, direction string, relation string, conf double, quote string, ts long, anchor_ts long, lag long, source_id string, own_source string, own_doc long"
     q = "the very same words"
-    rows = [("a", 1, "prior", "identical", 0.9, q, 100, 86400 * 3, "s", "s"), ("a", 2, "prior", "identical", 0.9, q, 50, 86400 * 3, "t", "s"), ("a", 3, "prior", "identical", 0.5, q, 10, 86400 * 3, "s", "s"), ("a", 4, "prior", "paraphrase", 0.6, "not in the text at all", 20, 86400 * 3, "s", "s"), ("a", 1, "prior", "identical", 0.9, q, 100, 86400 * 3, "s", "s"), ("b", 1, "prior", "partial", 0.9, q, 100, 900, "s", "s"), ("c", 1, "prior", "identical", 0.9, None, 100, 900, "s", "s"), ("d", 1, "prior", "identical", 0.9, q, 100, 100, None, None)]
-    docs = spark.createDataFrame([(1, "He used The Very same words.", 7), (2, q, 7), (3, q, 7), (4, None, 7)], "doc_id long, text string, ts long")
-    got = [(r.claim_id, r.doc_id, r.first_ts, r.moved_days) for r in anchors.first_use(spark.createDataFrame(rows, cols), docs).collect()]
-    assert got == [("a", 1, 100, 2)]
-    assert anchors.first_use(spark.createDataFrame(rows, cols), docs, most=2).count() == 0
+    end = 86400 * 3
+    row = lambda c, d, r, s, quote, ts, src="s": (c, d, "prior", r, s, quote, ts, end, ts - end, src, "s" if src else None, 99)
+    # seven earlier verdicts that say nothing don't hide the one that does
+    rows = [row("a", 20 + i, "topical", 0.9, q, i) for i in range(7)] + [row("a", 1, "identical", 0.9, q, 100), row("a", 2, "identical", 0.9, q, 50, "t"), row("a", 3, "identical", 0.5, q, 10), row("a", 4, "paraphrase", 0.6, "not in the text at all", 20), row("a", 99, "identical", 0.9, q, 5), row("b", 1, "partial", 0.9, q, 100), row("c", 1, "identical", 0.9, None, 100), row("d", 1, "identical", 0.9, q, end), row("e", 1, "identical", 0.9, q, 100, None)]
+    docs = spark.createDataFrame([(1, "He used The Very same words.", 7), (2, q, 7), (3, q, 7), (4, None, 7), (99, q, 7)], "doc_id long, text string, ts long")
+    got = [(r.claim_id, r.doc_id, r.first_ts, r.statements, r.moved_days) for r in anchors.first_use(spark.createDataFrame(rows, cols), docs).collect()]
+    assert got == [("a", 1, 100, 1, 2)]
+    assert anchors.first_use(spark.createDataFrame([], cols), docs).count() == 0
 
 
 def test_ablation_is_never_zero_without_decoy(spark):
