@@ -147,10 +147,11 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int =
     """
     sliced = "ts" in vectors.columns
     never = lambda c: F.lit(None).cast(c)
-    v = vectors.select("id", "vec", *(["ts", F.xxhash64("source_id").alias("src")] if sliced else [F.lit(0).cast("long").alias("ts"), never("long").alias("src")])).where("ts is not null")
+    v = vectors.select("id", "vec", *(["ts", F.when(F.col("source_id").isNotNull(), F.xxhash64("source_id")).otherwise(1).alias("src")] if sliced else [F.lit(0).cast("long").alias("ts"), F.lit(1).cast("long").alias("src")])).where("ts is not null")
     v = v.withColumn("tb", F.floor(F.col("ts") / BUCKET))
     has = lambda c: F.col(c).cast("long") if sliced and c in queries.columns else never("long")
-    src = F.when(F.col("exclude_source").isNotNull(), F.xxhash64("exclude_source")) if sliced and "exclude_source" in queries.columns else never("long")
+    # 0 excludes nothing, 1 is no source
+    src = F.when(F.col("exclude_source").isNotNull(), F.xxhash64("exclude_source")).otherwise(0) if sliced and "exclude_source" in queries.columns else F.lit(0).cast("long")
     q = queries.select("id", "vec", F.coalesce(has("after"), F.lit(-_EVER)).alias("lo"), F.coalesce(has("before"), F.lit(_EVER)).alias("hi"), src.alias("src"))
     span = v.agg(F.min("tb").alias("first"), F.max("tb").alias("last"))
     q = q.join(F.broadcast(span), F.lit(True)).withColumn("from", F.greatest(F.floor(F.col("lo") / BUCKET), "first")).withColumn("to", F.least(F.floor(F.col("hi") / BUCKET), "last")).where(F.col("from") <= F.col("to")).drop("first", "last")
@@ -160,11 +161,10 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int =
         out = []
         for a, x, l, h, s1, b, y, t, s2 in zip(qi, qv, lo, hi, qs, di, dv, dt, ds, strict=True):
             a, b, t = np.asarray(a), np.asarray(b), np.asarray(t)
-            own = [np.array([None if z is None or z != z else int(z) for z in s], object) for s in (s1, s2)]
             sims = np.stack(x).astype(np.float64) @ np.stack(y).astype(np.float64).T
             bad = (a[:, None] == b[None, :]) | (t[None, :] <= np.asarray(l)[:, None]) | (t[None, :] >= np.asarray(h)[:, None])
-            told = np.array([z is not None for z in own[0]])
-            bad |= told[:, None] & (own[0][:, None] == own[1][None, :]).astype(bool)
+            s1, s2 = np.asarray(s1), np.asarray(s2)
+            bad |= (s1 != 0)[:, None] & (s1[:, None] == s2[None, :])
             sims[bad] = -np.inf
             rows = []
             for i, s in zip(a, sims, strict=True):
