@@ -3,13 +3,18 @@
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolex import scratch
+
 HASHES, WORDS, LEAST = 64, 6, 20
+#: texts hashed at once
+ROWS = 512
 _WORD = re.compile(r"[A-Za-z][A-Za-z'-]+")
 
 
@@ -26,16 +31,23 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed = seeds()
+        md5 = partial(hashlib.md5, usedforsecurity=False)
         for batch in batches:
-            keep, n, rows = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                w = _WORD.findall(text.lower())
-                shingles = {" ".join(w[k : k + WORDS]) for k in range(len(w) - WORDS + 1)}
-                if len(shingles) >= LEAST:
-                    base = np.array([int(hashlib.md5(s.encode()).hexdigest()[:8], 16) for s in shingles], np.uint32)
-                    keep.append(i)
-                    n.append(len(shingles))
-                    rows.append(np.array([(base ^ s).min() for s in seed], np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(n, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], [id_col, "shingles", "signature"])
-
-    return docs.select(id_col, F.col(text_col).alias("text")).where("text is not null").mapInArrow(sign, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, shingles long, signature array<long>")
+            texts = batch.column(1).to_pylist()
+            for lo in range(0, len(texts), ROWS):
+                keep, sizes, heads = [], [], []
+                for i, text in enumerate(texts[lo : lo + ROWS], lo):
+                    w = _WORD.findall(text.lower())
+                    shingles = {" ".join(w[k : k + WORDS]) for k in range(len(w) - WORDS + 1)}
+                    if len(shingles) >= LEAST:
+                        keep.append(i)
+                        sizes.append(len(shingles))
+                        heads += [md5(s.encode()).digest()[:4] for s in shingles]
+                if keep:
+                    base = np.frombuffer(b"".join(heads), ">u4").astype(np.uint32)
+                    first = np.cumsum([0, *sizes[:-1]])
+                    rows = np.stack([np.minimum.reduceat(base ^ s, first) for s in seed], axis=1).astype(np.int64)
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), HASHES).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int64()), lists], [id_col, "shingles", "signature"])
+
+    return scratch.spread(docs.select(id_col, F.col(text_col).alias("text")).where("text is not null")).mapInArrow(sign, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, shingles long, signature array<long>")

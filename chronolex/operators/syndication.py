@@ -3,11 +3,13 @@
 Texts without a signature (null, empty, fewer than 20 shingles) are copies of nothing and stand for themselves.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolex import scratch
-from chronolex.operators import minhash
+from chronolex.operators import buckets, minhash
 from chronolex.operators.graph import connected_components
 
 BANDS, SIMILAR = 16, 0.55
@@ -23,11 +25,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
     Two documents are linked if they share a band of their signatures and agree in `similar` of its places. No bucket
     is left out for its size: equal signatures collapse first, every row is then checked against the least member of
-    each of its buckets, and pairs are made only between members whose components still differ.
+    each of its buckets, and pairs are made only between members whose components still differ, in hot buckets only by
+    places that are rare among them (buckets.cross_pairs).
     """
+    return scratch.settled(lambda: _classes(docs, id_col, text_col, similar), "classes")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
     sig = scratch.written(minhash.signatures(docs, id_col, text_col).select(F.col(id_col).alias("id"), "signature", F.xxhash64("signature").alias("whole")), "signatures")
     rep = sig.groupBy("whole").agg(F.min("id").alias("rep"))
-    copies = sig.join(rep, "whole").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    copies = sig.select("id", "whole").join(rep, "whole").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = sig.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "signature")
     wide = minhash.HASHES // BANDS
     keys = F.array(*[F.xxhash64(F.lit(i), F.slice("signature", i * wide + 1, wide)) for i in range(BANDS)])
@@ -43,9 +50,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     comp = scratch.written(connected_components(links), "components")
     placed = shared.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    left = placed.join(mixed, "key", "left_semi")
-    x, y = (left.select("key", F.col("id").alias(i), F.col("c").alias(c)) for i, c in (("a", "ca"), ("b", "cb")))
-    rest = check(x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct())
+    left = scratch.written(placed.join(mixed, "key", "left_semi"), "open")
+    if left.isEmpty():
+        rest = links.where("false")
+    else:
+        places = F.transform("signature", lambda v, i: F.xxhash64(i, v))
+        sets = lambda ids: reps.join(ids, "id", "left_semi").select("id", places.alias("elements"))
+        rest = check(buckets.cross_pairs(left, sets, F.lit(math.ceil(similar * minhash.HASHES))))
     return connected_components(links.unionByName(rest).unionByName(copies)).select(F.col("id").alias(id_col), F.col("component").alias("class_id"))
 
 

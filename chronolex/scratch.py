@@ -47,6 +47,12 @@ def written(df: DataFrame, name: str = "table", partition_by: list[str] | None =
     return back
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its scan has fewer splits than there are; a table of many files stays as it is and isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a path that new_path() made; any other path is left alone."""
     if path in _made:
