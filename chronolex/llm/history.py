@@ -3,15 +3,18 @@
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronolex import scratch
 from chronolex.llm import dart_minhash, linking, textvec
+from chronolex.operators import buckets
 
-#: keys of the index lie in so many folders by hash
-BUCKETS = 16
+#: folders of keys and of run sets, by hash, where the index's maker names no number; keys of a folder
+BUCKETS, FILE = 64, 60_000
 #: up to so many pairs of rows that share a band are written at once; more are first thinned round by round
 PAIRS = 5_000_000
 #: thinning ends after so many rounds without a tenth fewer pairs
@@ -41,7 +44,7 @@ def same_url(url: str | Column) -> Column:
 def _sketch(words: int, min_runs: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(3).to_pylist()
             for lo, hi in textvec.slices(texts):
                 h, doc = textvec.run_sets(texts[lo:hi], words)
                 n = np.bincount(doc, minlength=hi - lo)
@@ -55,49 +58,70 @@ def _sketch(words: int, min_runs: int):
                 short = (h >> np.uint64(22)).astype("<u4")
                 bands = [keys[place[i]] if keep[i] else None for i in range(hi - lo)]
                 runs = [np.sort(short[cut[i] : cut[i + 1]]).tobytes() if keep[i] else None for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(whole.view(np.int64), mask=~keep), pa.array(bands, pa.list_(pa.int64())), pa.array(runs, pa.binary())], ["ref", "set_hash", "bands", "runs"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), pa.array(whole.view(np.int64), mask=~keep), pa.array(bands, pa.list_(pa.int64())), pa.array(runs, pa.binary())], _NAMES)
 
     return sketch
 
 
+_NAMES = ["ref", "url_key", "hash_key", "set_hash", "bands", "runs"]
+_PREPARED = "ref long, url_key long, hash_key long, set_hash long, bands array<long>, runs binary"
+
+
 class History:
     """An index, in a folder, of what was accepted: exact keys, band keys and run sets by row.
 
-    keys: (bucket, key, exact, ref), in folders by hash of the key; sets: (ref, set_hash, runs). A batch's rows meet
-    only index rows of the same key; no text of the history is read again.
+    keys: (bucket, key, exact, ref), in folders by hash of the key; sets: (part, ref, set_hash, runs), in folders by hash of the row.
+    A batch reads only the folders that its own keys fall into, then only those of the rows it met; no text of the
+    history is read again. `buckets` is fixed when the index is made: with buckets_for(rows expected) a folder holds some 60,000 keys,
+    so what a batch reads follows its own size, not that of the history.
     """
 
-    def __init__(self, spark: SparkSession, path: str, words: int = 5, threshold: float = 0.8, min_runs: int = 1):
-        self.spark, self.path, self.words, self.threshold, self.min_runs = spark, path.rstrip("/"), words, threshold, min_runs
+    def __init__(self, spark: SparkSession, path: str, words: int = 5, threshold: float = 0.8, min_runs: int = 1, buckets: int = BUCKETS):
+        self.spark, self.path, self.words, self.threshold, self.min_runs, self.buckets = spark, path.rstrip("/"), words, threshold, min_runs, buckets
+
+    def _raw(self, rows: DataFrame) -> DataFrame:
+        keys = rows.select("ref", F.when(same_url("url").isNotNull(), F.xxhash64(F.lit("url"), same_url("url"))).alias("url_key"), F.when(F.trim("text_hash") != "", F.xxhash64(F.lit("hash"), F.lower(F.trim("text_hash")))).alias("hash_key"), "text")
+        return scratch.spread(keys).mapInArrow(_sketch(self.words, self.min_runs), _PREPARED)
 
     def prepared(self, rows: DataFrame) -> DataFrame:
-        """(ref, url_key, hash_key, set_hash, bands, runs) of rows (ref, url, text_hash, text), written for reuse."""
-        texts = rows.where("text is not null").select("ref", "text").mapInArrow(_sketch(self.words, self.min_runs), "ref long, set_hash long, bands array<long>, runs binary")
-        keys = rows.select("ref", F.xxhash64(F.lit("url"), same_url("url")).alias("u"), same_url("url").isNotNull().alias("has"), F.lower(F.trim("text_hash")).alias("t"))
-        keys = keys.select("ref", F.when(F.col("has"), F.col("u")).alias("url_key"), F.when(F.col("t") != "", F.xxhash64(F.lit("hash"), "t")).alias("hash_key"))
-        return scratch.written(keys.join(texts, "ref", "left"), "prepared")
-
-    @staticmethod
-    def _keys(p: DataFrame) -> DataFrame:
+        """(ref, url_key, hash_key, set_hash, bands, runs) of rows (ref, url, text_hash, text), written for reuse; one pass, no shuffle."""
+        return scratch.written(self._raw(rows), "prepared")
+
+    def _keys(self, p: DataFrame) -> DataFrame:
         exact = F.filter(F.array("url_key", "hash_key", F.when(F.col("set_hash").isNotNull(), F.xxhash64(F.lit("set"), "set_hash"))), lambda k: k.isNotNull())
         keys = p.select("ref", F.explode(exact).alias("key"), F.lit(True).alias("exact")).unionByName(p.select("ref", F.explode("bands").alias("key"), F.lit(False).alias("exact")))
-        return keys.select(F.pmod("key", F.lit(BUCKETS)).cast("int").alias("bucket"), "key", "exact", "ref")
+        return keys.select(F.pmod("key", F.lit(self.buckets)).cast("int").alias("bucket"), "key", "exact", "ref")
 
     def append(self, prepared: DataFrame) -> None:
-        """Adds accepted rows to the index."""
-        self._keys(prepared).write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/keys")
-        prepared.where("runs is not null").select("ref", "set_hash", "runs").write.mode("append").parquet(f"{self.path}/sets")
+        """Adds accepted rows to the index: each folder gets a file, or more where its rows are very many."""
+        keys, sets = self._keys(prepared), prepared.where("runs is not null").select("ref", "set_hash", "runs")
+        sets = sets.withColumn("part", self._part("ref"))
+        for name, rows, by in (("keys", keys, "bucket"), ("sets", sets, "part")):
+            # a folder's rows are spread over more tasks once they are over FILE on average, or one key is hot
+            spread = F.pmod(F.xxhash64("ref"), F.lit(1 + prepared.count() * (1 + linking.BANDS) // (self.buckets * FILE)))
+            rows.repartition(by, spread).write.mode("append").partitionBy(by).option("compression", "zstd").parquet(f"{self.path}/{name}")
+
+    def _part(self, ref: str) -> Column:
+        return F.pmod(F.xxhash64(ref), F.lit(self.buckets)).cast("int")
 
-    def keys(self) -> DataFrame:
-        return self.spark.read.schema("key long, exact boolean, ref long, bucket int").parquet(f"{self.path}/keys")
+    def _pruned(self, table: DataFrame, by: str, values: DataFrame) -> DataFrame:
+        """The folders of a table that the values fall into; their numbers, at most `buckets`, come to the driver."""
+        some = [r[0] for r in values.select(by).distinct().collect()]
+        return table if 2 * len(some) > self.buckets else table.where(F.col(by).isin(some))
 
-    def sets(self) -> DataFrame:
-        return self.spark.read.schema("ref long, set_hash long, runs binary").parquet(f"{self.path}/sets")
+    def keys(self, own: DataFrame | None = None) -> DataFrame:
+        table = self.spark.read.schema("key long, exact boolean, ref long, bucket int").parquet(f"{self.path}/keys")
+        return table if own is None else self._pruned(table, "bucket", own)
 
-    def _linked(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose run sets are similar enough."""
+    def sets(self, refs: DataFrame | None = None) -> DataFrame:
+        """The run sets, or those of the folders that some refs lie in."""
+        table = self.spark.read.schema("ref long, set_hash long, runs binary, part int").parquet(f"{self.path}/sets")
+        return (table if refs is None else self._pruned(table, "part", refs.select(self._part("ref").alias("part")))).drop("part")
+
+    def _linked(self, pairs: DataFrame, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b), written already, whose run sets are similar enough; b is of the history unless right is given."""
         wanted = pairs.select(F.col("b").alias("ref")).distinct()
-        right = right.join(wanted, "ref", "left_semi")
+        right = (self.sets(wanted) if right is None else right).join(wanted, "ref", "left_semi")
         both = pairs.join(left.select(F.col("ref").alias("a"), F.col("runs").alias("x")), "a").join(right.select(F.col("ref").alias("b"), F.col("runs").alias("y")), "b")
         return both.where(linking.jaccard("x", "y") >= self.threshold).select("a", "b")
 
@@ -108,7 +132,7 @@ class History:
         if n <= PAIRS:
             return [met]
         # rows of one set link alike
-        kinds = self.sets().select(F.col("ref").alias("b"), F.coalesce("set_hash", "ref").alias("set_hash")).join(met.select("b").distinct(), "b", "left_semi")
+        kinds = self.sets(met.select(F.col("b").alias("ref"))).select(F.col("ref").alias("b"), F.coalesce("set_hash", "ref").alias("set_hash")).join(met.select("b").distinct(), "b", "left_semi")
         met = scratch.written(met.join(kinds, "b").groupBy(*by, "set_hash").agg(F.min("b").alias("b")).select(*by, "b"), "met")
         part = lambda k: F.pmod(F.xxhash64("b"), F.lit(k)) == 0
         steps = [4096, 512, 64, 8, 1]
@@ -122,10 +146,13 @@ class History:
         text. Nulls and blanks agree with nothing, short texts (fewer than min_runs runs) are never
         linked; refs must be unique in batch and index. An empty batch rejects nothing.
         """
+        return scratch.settled(lambda: self._rejected(batch, accept), "rejected")
+
+    def _rejected(self, batch: DataFrame, accept: bool) -> DataFrame:
         p = self.prepared(batch)
         own = scratch.written(self._keys(p), "batch-keys")
         # against the history: equal keys; then the least row of each shared bucket; then its other rows
-        index = self.keys()
+        index = self.keys(own)
         by = ["bucket", "key"]
         gone = scratch.written(own.where("exact").join(index.where("exact").select(*by), by, "left_semi").select("ref").distinct(), "equal")
         left = own.join(gone, "ref", "left_anti").where("not exact")
@@ -133,14 +160,14 @@ class History:
         met = scratch.written(met, "met")
         lead = met.groupBy(*by).agg(F.min("b").alias("b"))
         first = scratch.written(left.join(lead, by).select(F.col("ref").alias("a"), "b").distinct(), "first")
-        near = scratch.written(self._linked(first, p, self.sets()).select(F.col("a").alias("ref")).distinct(), "near")
+        near = scratch.written(self._linked(first, p).select(F.col("a").alias("ref")).distinct(), "near")
         left = left.join(near, "ref", "left_anti")
         gone = gone.unionByName(near)
         for part in self._slices(left, met):
             more = left.join(part, by).select(F.col("ref").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
             more = scratch.written(more, "more")
             if not more.isEmpty():
-                near = scratch.written(self._linked(more, p, self.sets()).select(F.col("a").alias("ref")).distinct(), "near")
+                near = scratch.written(self._linked(more, p).select(F.col("a").alias("ref")).distinct(), "near")
                 gone, left = gone.unionByName(near), left.join(near, "ref", "left_anti")
         gone = scratch.written(gone.distinct(), "against-history")
         # among the batch itself
@@ -176,9 +203,10 @@ class History:
             # who kept out a bucket's next row may be decided now
             lead = open_.groupBy(*by).agg(F.min("ref").alias("b"))
             shared = scratch.written(open_.join(lead, by), "shared")
-        bands = open_.where("not exact")
-        x, y = bands.select(*by, F.col("ref").alias("b")), bands.select(*by, F.col("ref").alias("a"))
-        links = scratch.written(self._linked(x.join(y, by).where("b < a").select("a", "b").distinct(), p, p), "links")
+        members = open_.where("not exact").select("key", F.col("ref").alias("id"), F.col("ref").alias("c"))
+        lists = lambda ids: p.select(F.col("ref").alias("id"), _elements("runs").alias("elements")).join(ids, "id", "left_semi")
+        pairs = buckets.cross_pairs(members, lists, F.ceil(self.threshold * F.size("elements"))).select(F.col("b").alias("a"), F.col("a").alias("b"))
+        links = scratch.written(self._linked(scratch.written(pairs, "pairs"), p, p), "links")
         exact = open_.where("exact").select("key", "ref").distinct()
         undecided = scratch.written(links.select(F.col("a").alias("ref")).unionByName(links.select(F.col("b").alias("ref"))).unionByName(exact.select("ref")).distinct(), "undecided")
         accepted = None
@@ -197,10 +225,41 @@ class History:
         return gone
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _elements(runs: pd.Series) -> pd.Series:
+    """The hashes of a run set, four bytes each."""
+    return runs.map(lambda b: None if b is None else np.frombuffer(b, "<u4").astype(np.int64))
+
+
+def buckets_for(rows: int) -> int:
+    """Folders of an index that is to hold so many rows, some 60,000 keys each."""
+    return min(max(16, rows * (2 + linking.BANDS) // FILE), 1 << 16)
+
+
+def _start(spark: SparkSession, sf: str) -> tuple[History, DataFrame]:
+    """A history of all documents, and the arrivals; refs keep the two kinds of ids apart."""
+    docs, incoming = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "incoming"))
+    history = History(spark, scratch.new_path(spark, "history"), words=6, threshold=0.5, min_runs=20, buckets=buckets_for(docs.count()))
+    first = history.prepared(docs.select((F.col("doc_id") * 2).alias("ref"), "url", "text_hash", "text"))
+    history.append(first)
+    scratch.drop(first)
+    return history, incoming.select((F.col("arrival_id") * 2 + 1).alias("ref"), "url", "text_hash", "text", "batch_no")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """The arrivals of all batches, in order of arrival_id, that aren't to be accepted; the index starts from documents."""
-    docs, incoming = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "incoming"))
-    history = History(spark, scratch.new_path(spark, "history"), words=6, threshold=0.5, min_runs=20)
-    history.append(history.prepared(docs.select((F.col("doc_id") * 2).alias("ref"), "url", "text_hash", "text")))
-    found = history.rejected(incoming.select((F.col("arrival_id") * 2 + 1).alias("ref"), "url", "text_hash", "text"))
-    return found.select(F.expr("(ref - 1) div 2").alias("arrival_id"))
+    history, rows = _start(spark, sf)
+    return history.rejected(rows.drop("batch_no")).select(F.expr("(ref - 1) div 2").alias("arrival_id"))
+
+
+def p4_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """(batch_no, arrival_id): the same with the batches handed over one after the other, each against all that was accepted before it.
+
+    Batches are few; each is looked up in the folders that its keys fall into, decided, and its accepted rows appended.
+    """
+    history, rows = _start(spark, sf)
+    found = None
+    for n in sorted(r[0] for r in rows.where("batch_no is not null").select("batch_no").distinct().collect()):
+        part = history.rejected(rows.where(F.col("batch_no") == n).drop("batch_no")).select(F.lit(n).alias("batch_no"), F.expr("(ref - 1) div 2").alias("arrival_id"))
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else rows.where("false").select("batch_no", F.col("ref").alias("arrival_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronolex import scratch
 from chronolex.llm import dart_minhash, textvec
 
 #: coordinates are BANDS * ROWS; two texts of similarity s share a band with 1 - (1 - s**ROWS)**BANDS
@@ -43,7 +44,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, min_runs:
                     ["id", "n", "set_hash", "bands"],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").mapInArrow(sketch, f"id {docs.schema[id_col].dataType.simpleString()}, n long, set_hash long, bands array<long>")
+    return scratch.spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")).mapInArrow(sketch, f"id {docs.schema[id_col].dataType.simpleString()}, n long, set_hash long, bands array<long>")
 
 
 def _run_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -62,6 +63,21 @@ def _run_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(sets, ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), "runs binary"]))
 
 
+def run_lists(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, elements): the runs of the texts of some ids, as arrays of 54-bit hashes."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for lo, hi in textvec.slices(texts):
+                h, doc = textvec.run_sets(texts[lo:hi], words)
+                cut = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64)))], ["id", "elements"])
+
+    return rows.mapInArrow(lists, f"id {rows.schema['id'].dataType.simpleString()}, elements array<long>")
+
+
 def jaccard_of(kind: type):
     """The Jaccard similarity of two sorted sets, given as bytes of numbers; 0 where either is empty or null."""
 

@@ -9,6 +9,7 @@ def queries() -> dict:
         "p1_classes": near_duplicates.p1_classes,
         "p2_found": boilerplate.p2_found,
         "p4_found": history.p4_found,
+        "p4_batches": history.p4_batches,
         "p5_found": languages.p5_found,
         "p5_languages": languages.p5_languages,
         "p6_found": repeated_lines.p6_found,

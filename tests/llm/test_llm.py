@@ -103,6 +103,41 @@ def test_batches_one_by_one_are_as_all_at_once(spark, corpus):
         assert got == want
 
 
+def test_what_a_batch_reads_follows_its_own_size(spark):
+    schema = "ref long, url string, text_hash string, text string"
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    batch = [(10**6, "https://new.example/1", None, text(3)), (10**6 + 1, "https://new.example/2", None, text(-1))]
+    read = []
+    for n in (60, 600):
+        h = history.History(spark, scratch.new_path(spark, "test-history"), words=3, threshold=0.5, min_runs=20, buckets=512)
+        h.append(h.prepared(spark.createDataFrame([(i, f"https://a.example/{i}", None, text(i)) for i in range(n)], schema)))
+        own = h._keys(h.prepared(spark.createDataFrame(batch, schema)))
+        files = lambda df: {r[0] for r in df.select("_metadata.file_path").distinct().collect()}
+        read.append(len(files(h.keys(own))))
+        assert len(files(h.keys())) > 3 * read[-1]
+        assert len(files(h.sets(spark.createDataFrame([(3,)], "ref long")))) == 1
+        assert {r.ref for r in h.rejected(spark.createDataFrame(batch, schema)).collect()} == {10**6}
+        assert h.sets().count() == n + 1
+    assert read[1] <= 1.2 * read[0] + 2
+
+
+def test_string_ids_and_hot_buckets_of_near_duplicates(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    head = [word() for _ in range(60)]
+    texts = [" ".join(head + [word() for _ in range(90)]) for _ in range(60)]
+    for i in (0, 10, 20):  # linked to one text each, while all share the head
+        w = texts[i].split()
+        texts.append(" ".join(w[:100] + [word() for _ in range(3)] + w[103:]))
+    rows = [(f"id{i:03d}", t, "clash") for i, t in enumerate(texts)]
+    monkeypatch.setattr(near_duplicates.buckets.cross_pairs, "__defaults__", (None, 8))
+    seen, check = [], near_duplicates.linking.verified
+    monkeypatch.setattr(near_duplicates.linking, "verified", lambda pairs, *a: (seen.append(pairs.count()), check(pairs, *a))[1])
+    got = {r.id: r.class_id for r in near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, "id string, text string, key string"), id_col="id", words=3, threshold=0.5, min_runs=20).collect()}
+    assert got == {"id000": "id000", "id060": "id000", "id010": "id010", "id061": "id010", "id020": "id020", "id062": "id020"}
+    assert sum(seen) < 4 * len(rows)
+
+
 def test_a_hot_group_costs_a_check_per_row(spark, monkeypatch):
     rng = random.Random(8)
     word = lambda: f"v{rng.randrange(10**6)}"
@@ -119,7 +154,7 @@ def test_a_hot_group_costs_a_check_per_row(spark, monkeypatch):
     assert {10, 11} == {a[0] for a in accepted}
     seen, linked = [], history.History._linked
 
-    def counted(self, pairs, left, right):
+    def counted(self, pairs, left, right=None):
         seen.append(pairs.count())
         return linked(self, pairs, left, right)
 
