@@ -1,7 +1,7 @@
 """Problem 5: languages of documents and of their lines, by naive Bayes over hashed character n-grams."""
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -152,8 +152,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     the first round only the lines count that the model so far gives the language of their document.
     """
     rows = labelled(docs, label_col, languages).where(F.col("language").isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), "language", F.col(text_col).alias("text"))
-    parts = [sampling.bounded(rows.where(F.col("language") == code), sample, "doc_id").select("language", "text") for code in languages]
-    chosen = scratch.written(reduce(DataFrame.unionByName, parts), "sample")
+    # one scan of the labels, and one of the texts, for all languages
+    counts = {r["language"]: r["count"] for r in labelled(docs, label_col, languages).where("language is not null").groupBy("language").count().collect()}
+    chosen = scratch.written(sampling.bounded_by(rows, sample, "language", counts, "doc_id").select("language", "text"), "sample")
     table = None
     for _ in range(rounds):
         found = chosen.mapInArrow(_counter(languages, table), "language long, feature long, n long").groupBy("language", "feature").agg(F.sum("n").alias("n")).toPandas()

@@ -17,6 +17,7 @@ def queries() -> dict:
         "p7_proximity": leakage.p7_proximity,
         "p8_usage": mixing.p8_usage,
         "p8_shares": mixing.p8_shares,
+        "p8_shards": mixing.p8_shards,
         "p9_found": subjects.p9_found,
         "p9_composition": subjects.p9_composition,
     }

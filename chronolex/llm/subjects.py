@@ -3,7 +3,8 @@
 A document is cut into passages (lines joined until they are long enough), each a small document of its own, so that a document on two
 areas doesn't blur them. Normalised term vectors of a bounded sample's passages are clustered by bisecting
 k-means; a leaf gets the subject that its discriminative terms stand for in the labelled documents, or none.
-Every document of the corpus is then a mixture of leaves.
+Every passage of the corpus is then a mixture of leaves, and a document the mixture of its passages by their letters.
+The weights of terms use the labels too: without that, leaves follow language and style.
 """
 
 import io
@@ -15,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolex import scratch
 from chronolex.llm import sampling, textvec
 
 #: fitting takes at most so many labelled documents
 SAMPLE = 3000
 LEAVES, LEAST = 160, 12
 #: letters from which a passage is complete, and the least share of an area beside another one
-PASSAGE, SHARE = 80, 0.22
+PASSAGE, SHARE = 80, 0.25
+#: how sharply a passage prefers its nearest leaves: the factor of the cosine in the exponent
+SHARP = 25.0
 #: log odds by which a term has to tell a subject
 TELLING = 0.7
 
@@ -157,25 +161,32 @@ class SubjectModel:
         return SubjectModel(vocabulary=vocabulary, idf=idf, centroids=centroids, subject=subject)
 
     def shares(self, texts: list, n_subjects: int) -> tuple[np.ndarray, np.ndarray]:
-        """Letters of each text by subject (the last column: by none), as shares of its passages."""
+        """Letters of each text by subject (the last column: by none), as shares of its passages.
+
+        A passage belongs to every leaf that it shares a term with, by the exponential of SHARP times their cosine.
+        """
         p = _Passages(texts)
         out = np.zeros((len(texts), n_subjects + 1))
         line, term = p.terms(self.vocabulary)
-        if len(line):
+        told = np.zeros((len(p.letters), n_subjects + 1), np.float32)
+        if len(line) and len(self.centroids):
             key = line * len(self.vocabulary) + term
             key, times = np.unique(key, return_counts=True)
             line, term = key // len(self.vocabulary), key % len(self.vocabulary)
             weight = (np.log1p(times) * self.idf[term]).astype(np.float32)
-            total = np.zeros((len(p.letters), len(self.centroids)), np.float32)
             head = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+            length = np.sqrt(np.add.reduceat(weight**2, head))
             rows = self.centroids.T[term]
             rows *= weight[:, None]
-            total[line[head]] = np.add.reduceat(rows, head, axis=0)
-            best = total.argmax(1)
-            subject = np.where(total.max(1) > 0, self.subject[best], -1)
-        else:
-            subject = np.full(len(p.letters), -1)
-        np.add.at(out, (p.doc, np.where(subject < 0, n_subjects, subject)), p.letters)
+            cosine = np.add.reduceat(rows, head, axis=0) / np.maximum(length, 1e-9)[:, None]
+            near = np.exp(SHARP * (cosine - cosine.max(1, keepdims=True)))
+            near[cosine <= 0] = 0
+            near /= np.maximum(near.sum(1, keepdims=True), 1e-9)
+            leaf_of = np.zeros((len(self.subject), n_subjects + 1), np.float32)
+            leaf_of[np.arange(len(self.subject)), np.where(self.subject < 0, n_subjects, self.subject)] = 1
+            told[line[head]] = near @ leaf_of
+        told[:, n_subjects] += 1 - told.sum(1)
+        np.add.at(out, p.doc, told * p.letters[:, None])
         return out / np.maximum(out.sum(1, keepdims=True), 1), p.letters
 
 
@@ -187,7 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], sample: int =
     """
     known = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(subjects))
     votes = known.groupBy("doc_id", "subject").count().groupBy("doc_id").agg(F.max_by("subject", F.struct("count", "subject")).alias("subject"))
-    rows = docs.where("text is not null").select("doc_id", "text").join(votes, "doc_id").where(F.length("text") < 200_000)
+    votes = scratch.written(sampling.bounded(votes, sample, "doc_id", n=votes.count()), "labelled")
+    # the sample's labels, at most `sample` of them, travel to the texts
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(votes), "doc_id")
 
     def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [p for p in parts if len(p)]
@@ -197,7 +210,10 @@ def train(docs: DataFrame, labels: DataFrame, subjects: list[str], sample: int =
         model = SubjectModel.fit(pdf["text"].tolist(), pdf["subject"].map(subjects.index).to_numpy(), len(subjects))
         yield pd.DataFrame({"model": [model.dump()]})
 
-    found = sampling.bounded(rows, sample, "doc_id").coalesce(1).mapInPandas(fit, "model binary").collect()
+    chosen = scratch.written(rows, "sample")
+    found = chosen.coalesce(1).mapInPandas(fit, "model binary").collect()
+    scratch.drop(chosen)
+    scratch.drop(votes)
     return bytes(found[0].model) if found else SubjectModel.fit([], np.zeros(0, np.int64), len(subjects)).dump()
 
 
@@ -225,7 +241,7 @@ def document_subjects(docs: DataFrame, model: bytes, subjects: list[str], id_col
                     d = np.flatnonzero(on)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[lo + d]), pa.array(names[order[d, k]], pa.string()), pa.array(top[d, k])], ["doc_id", "subject", "share"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null").mapInArrow(assign, "doc_id long, subject string, share double")
+    return scratch.spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")).mapInArrow(assign, "doc_id long, subject string, share double")
 
 
 def _assigned(spark: SparkSession, sf: str) -> DataFrame:

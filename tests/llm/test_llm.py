@@ -1,13 +1,14 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from chronolex import scratch
-from chronolex.llm import dart_minhash, history, languages, leakage, mixing, near_duplicates, repeated_lines, textvec
+from chronolex.llm import boilerplate, dart_minhash, history, languages, leakage, mixing, near_duplicates, repeated_lines, textvec
 from chronolex.llm.subjects import PASSAGE, SubjectModel, _Passages
 
 DOC = "doc_id long, source_id string, url string, text_hash string, text string, id string, n long"
@@ -221,12 +222,35 @@ def test_permutation_is_one():
 
 def test_mixing(spark):
     rows = [(i, ["A ", "b", None][i % 3], 10 + i % 7) for i in range(300)] + [(1000, "b", 0)]
-    usage, shares = mixing.mixed_usage(spark.createDataFrame(rows, "doc_id long, source string, tokens long"), spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3), ("gone", 0.0, 2)], "source string, target_share double, max_repeats int"), total_tokens=4000, block=16, shard=8)
+    usage, shares, shards = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, tokens long"), spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3), ("gone", 0.0, 2)], "source string, target_share double, max_repeats int"), total_tokens=4000, block=16, shard=8)
     got = {r.doc_id: r for r in usage.collect()}
     assert len(got) == 301 and got[2].uses_max == 0 and got[1000].tokens_used == 0
     assert max(r.uses_max for r in got.values() if r.source == "a") <= 1 and max(r.uses_max for r in got.values() if r.source == "b") <= 3
     real = {r.source: r for r in shares.collect()}
     assert real["gone"].tokens_used == 0 and abs(real["a"].actual_share + real["b"].actual_share - 1) < 1e-9
+    assert (real["a"].reachable, real["b"].reachable, real["gone"].reachable) == (False, True, True)
+    # the packed shards hold exactly the used tokens, a slot one block's, and each document's pieces are whole
+    used, slots = {}, {}
+    for r in shards.collect():
+        used[r.doc_id] = used.get(r.doc_id, 0) + r.n_tokens
+        slots.setdefault((r.shard, r.slot), []).append(r)
+        assert 0 <= r.first_token and r.first_token + r.n_tokens <= got[r.doc_id].tokens
+    assert used == {k: r.tokens_used for k, r in got.items() if r.tokens_used}
+    assert all(len({r.source for r in s}) == 1 and sum(r.n_tokens for r in s) <= 16 and k[1] < 8 for k, s in slots.items())
+
+
+def test_reachable_shares_are_met(spark):
+    rows = [(i, "abc"[i % 3], 100) for i in range(3000)]
+    shares = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, tokens long"), spark.createDataFrame([("a", 0.2, 2), ("b", 0.3, 2), ("c", 0.5, 2)], "source string, target_share double, max_repeats int"), block=64).shares.collect()
+    assert all(r.reachable and abs(r.actual_share - r.target_share) <= r.tolerance < 0.03 for r in shares)
+
+
+def test_joins_that_grow_are_merged(spark):
+    for n in (30, 3000):
+        rows = spark.range(n).selectExpr("id as doc_id", "'a' as source", "100L as tokens")
+        m = mixing.mixed(rows, spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int"), block=64)
+        plan = m.shards._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
 def test_subject_leaves():
@@ -253,4 +277,48 @@ def test_passages_hold_every_letter():
     model = SubjectModel.fit([line(i % 3, 30) for i in range(240)], np.arange(240) % 3, 3, leaves=12, least=8)
     wrapped = "\n".join([line(0, 8) for _ in range(6)] + [""] + [line(2, 8) for _ in range(6)])
     share, _ = model.shares([wrapped, line(1, 9)], 3)
-    assert share[0][0] > 0.3 and share[0][2] > 0.3 and share[1][1] == 1
+    assert share[0][0] > 0.3 and share[0][2] > 0.3 and share[1][1] > 0.9
+
+
+def test_furniture_is_what_different_stories_share():
+    story = lambda k: 'long words ' * 20 + 'abcdefghij'[k]
+    texts = [f"Menu\nPublished daily in the old port\nBy Ann{'abc'[k]} Smith, who writes about harbours\n{story(k)}\nsaid so" for k in range(3)] + [f"Copied line of the story\n{story(9)}" for _ in range(5)] + ["Menu\nelse", "", None]
+    urls = [f"https://www.a.example/{k}" for k in range(8)] + ["https://b.example/", None, "no address"]
+    found = boilerplate.furniture(texts, urls)
+    assert {k for k in found[0] if k[0] != "~"} == {"menu", "publisheddailyintheoldport", "saidso"} and found[3] == set() and found[8:] == [set()] * 3
+    labels = boilerplate.weak_labels(texts[0], None, found[0], cues=None)
+    assert labels[:4] == [0, 0, 0, 1]
+
+
+def _pages(n=700):
+    rows = duckdb.sql("SELECT text, url, title FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL AND url IS NOT NULL ORDER BY doc_id").fetchall()
+    unseen = lambda u: sum(map(ord, u.split("/")[2].removeprefix("www."))) % 4 == 0 if "//" in u else False
+    return [r for r in rows if not unseen(r[1])][:n], [r for r in rows if unseen(r[1])]
+
+
+@pytest.mark.parametrize(("cues", "family", "least"), [(boilerplate._CUE, r"share|partager|teilen|comparti|· email|courriel|correo|e-mail|copy link", 0.7), (None, r"cookie|privacy|datenschutz|confidentialité|privacidad|©|rights|droits|rechte|derechos|direitos", 0.7)])
+def test_lines_without_their_cues_on_sites_never_seen(cues, family, least):
+    """Furniture whose cue phrases, and whose sites, the labeller was never shown; without cues it has only layout and repetition."""
+    seen, unseen = _pages()
+    held = re.compile(family)
+    again = boilerplate.furniture([r[0] for r in seen], [r[1] for r in seen])
+    labels = np.concatenate([np.array(boilerplate.weak_labels(t, h, k, cues, held)) for (t, _, h), k in zip(seen, again, strict=True)])
+    model = boilerplate.Labeller().fit(boilerplate.Leaves([r[0] for r in seen], [r[1] for r in seen]), labels)
+    off = model.predict(boilerplate.Leaves([r[0] for r in unseen], [r[1] for r in unseen])) < 0
+    want = np.concatenate([np.array(boilerplate.weak_labels(t, h)) for t, _, h in unseen])
+    low = [re.sub(r"\s+", " ", x).strip().lower() for t, _, _ in unseen for x in t.split("\n")]
+    on = np.array([bool(held.search(x)) for x in low]) & (want == 0)
+    assert on.sum() > 50 and off[on].mean() > least
+    assert off[want == 1].mean() < 0.05
+
+
+def test_long_pages_are_learnt_in_pieces():
+    first, size = boilerplate._pieces(np.array([0, 5, 905]), np.array([5, 900, 0]))
+    assert first.tolist() == [0, 5, 405, 805, 905] and size.tolist() == [5, 400, 400, 100, 0]
+
+
+def test_page_lines_of_odd_rows(spark):
+    rows = [(1, None, None), (2, "", "x"), (None, "Menu", "https://a.example/"), (4, "12\n--", None), (5, "Accept all cookies\nMenu\n" + "A paragraph of the author with many words in it. " * 8, "https://a.example/"), (5, "Menu", "::")]
+    docs = spark.createDataFrame([(*r, None, 1) for r in rows], "doc_id long, text string, url string, title string, line_no int")
+    got = {tuple(r) for r in boilerplate.page_lines(docs, boilerplate.train(docs)).collect()}
+    assert all(d == 5 for d, _ in got) and boilerplate.page_lines(docs.where("false"), boilerplate.train(docs.where("false"))).count() == 0
