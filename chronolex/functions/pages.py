@@ -15,6 +15,10 @@ BLOCKS = "p|h[1-6]|li|blockquote|pre|td|dd|dt|div|br|tr|section|article|main"
 META_DATES = {"article:published_time": "exact", "og:article:published_time": "exact", "datePublished": "exact", "date": "day", "dc.date.issued": "day", "parsely-pub-date": "exact", "sailthru.date": "exact", "article:modified_time": "inferred"}
 
 
+#: fixed values: keys of a page's date in JSON-LD, best first
+LD_DATES = ["datePublished", "dateCreated", "uploadDate"]
+
+
 def unescaped(text: Column) -> Column:
     """text with the five named entities, the apostrophe by number and the no-break space resolved."""
     for name, char in (("&nbsp;|&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#0?39;|&apos;", "'"), ("&amp;", "&")):
@@ -77,14 +81,29 @@ def links(html: Column) -> Column:
 
 
 def date(html: Column, url: Column) -> Column:
-    """struct(value, confidence, provenance): the page's date as written, from JSON-LD, else meta keys, else <time>, else the path of the url; null without."""
+    """struct(value, confidence, provenance): the page's date as written, from JSON-LD (at any depth), else meta keys, else <time>, else the path of the url; null without."""
 
     def some(value: Column, confidence: str, provenance: str) -> Column:
         return _once(F.trim(value), lambda x: F.when(x != "", F.struct(x.alias("value"), F.lit(confidence).alias("confidence"), F.lit(provenance).alias("provenance"))))
 
-    ld = F.regexp_extract(html, r'(?is)<script\b[^>]*application/ld\+json[^>]*>.*?"datePublished"\s*:\s*"([^"]+)"', 1)
+    ld = [some(F.regexp_extract(html, rf'(?is)<script\b[^>]*application/ld\+json[^>]*>(?:(?!</script).)*?"{key}"\s*:\s*"([^"]+)"', 1), "exact", "jsonld:datePublished") for key in LD_DATES]
     metas = [some(_attribute(html, "meta", "property|name|itemprop", key.replace(".", r"\."), "content"), sure, f"meta:{key}") for key, sure in META_DATES.items()]
     day = [F.regexp_extract(url, r"/(20\d{2})[/-](\d{1,2})[/-](\d{1,2})(?:/|-|\z)", i) for i in (1, 2, 3)]
     path = F.when(day[0] != "", F.concat_ws("-", day[0], F.lpad(day[1], 2, "0"), F.lpad(day[2], 2, "0")))
     time = F.regexp_extract(html, r"""(?is)<time\b[^>]*\bdatetime\s*=\s*["']([^"']+)["']""", 1)
-    return F.coalesce(some(ld, "exact", "jsonld"), *metas, some(time, "exact", "time"), some(path, "day", "url"))
+    return F.coalesce(*ld, *metas, some(time, "day", "time[datetime]"), some(path, "inferred", "url:path-date"))
+
+
+def plausible(ts: Column) -> Column:
+    """Epoch seconds from 1990 to a year from now; null outside."""
+    return F.when((ts >= 631152000) & (ts <= F.unix_timestamp(F.current_timestamp()) + 366 * 86400), ts)
+
+
+def plain_marks(text: Column) -> Column:
+    """text with typographic quotes, dashes and blanks as their plain ones, and the ellipsis as three full stops."""
+    return F.replace(F.translate(text, "\u2018\u2019\u201a\u201c\u201d\u201e\u2013\u2014\u2212\u00a0", "''\'\"\"\"--- "), F.lit("\u2026"), F.lit("..."))
+
+
+def quoted(text: Column) -> Column:
+    """text for a query string: what isn't a letter, a digit or one of -._~ by its bytes in percent form."""
+    return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

@@ -87,3 +87,42 @@ def top_per(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of every key in order, with their `place` from 1. Spark cuts each key to n rows before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("place", place).where(F.col("place") <= n)
+
+
+def updated_vectors(existing: DataFrame, new: DataFrame, order: list) -> DataFrame:
+    """existing (key, model, dim, vec) with new vectors and models; a key that is there keeps its dim. Of several new ones the last in order."""
+    last = last_wins(new, ["key"], order).select("key", F.col("model").alias("_m"), F.col("dim").alias("_d"), F.col("vec").alias("_v"))
+    both = existing.join(last, "key", "full_outer")
+    return both.select("key", F.coalesce("_m", "model").alias("model"), F.coalesce("dim", "_d").alias("dim"), F.coalesce("_v", "vec").alias("vec"))
+
+
+def finished_runs(runs: DataFrame, ends: DataFrame) -> DataFrame:
+    """runs (run_id, started_at, finished_at, ...) with the last end told for each; runs without one stay as they are, ends of unknown runs are ignored."""
+    last = ends.where("ended_at is not null").groupBy("run_id").agg(F.max("ended_at").alias("_end"))
+    return runs.join(last, "run_id", "left").withColumn("finished_at", F.coalesce("_end", "finished_at")).drop("_end").select(*runs.columns)
+
+
+def found_sources(sources: DataFrame, names: DataFrame) -> DataFrame:
+    """(asked, id): the sources whose name is asked for, letter case aside; sources: (id, name), names: (asked)."""
+    n = names.select("asked", F.lower("asked").alias("_k")).distinct()
+    return sources.select("id", F.lower("name").alias("_k")).distinct().join(n, "_k").select("asked", "id")
+
+
+def scorable(docs: DataFrame, chars: int, days: int, oldest: int) -> DataFrame:
+    """(doc_id, ts, fallback): long documents at least `days` older than the newest; where there are none, the `oldest` long ones.
+
+    docs: (doc_id, ts, text).
+    """
+    last = F.broadcast(docs.agg(F.max("ts").alias("_last")))
+    long = docs.where((F.length("text") >= chars) & F.col("ts").isNotNull()).select("doc_id", "ts")
+    good = long.join(last, F.col("ts") <= F.col("_last") - days * 86400).select("doc_id", "ts", F.lit(False).alias("fallback"))
+    none = F.broadcast(good.limit(1).agg((F.count("*") == 0).alias("_none")))
+    rest = long.orderBy("ts", "doc_id").limit(oldest).join(none, F.col("_none")).select("doc_id", "ts", F.lit(True).alias("fallback"))
+    return good.unionByName(rest)
+
+
+def config_hash(metadata: Column) -> Column:
+    """16 hex digits of the SHA-256 of a map as JSON with sorted keys; null for null."""
+    entry = lambda e: F.concat(F.lit('"'), e["key"], F.lit('": "'), e["value"], F.lit('"'))
+    json = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(metadata)), entry), ", "), F.lit("}"))
+    return F.substring(F.sha2(json, 256), 1, 16)

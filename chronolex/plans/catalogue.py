@@ -1,7 +1,7 @@
 """All queries of the core library by name, and the SQL that says the same."""
 
 from chronolex.operators import timestamps
-from chronolex.plans import base, dated, extra, instants, pages, scores, search, store  # noqa: F401  (the plans register themselves)
+from chronolex.plans import base, dated, extra, ingest, instants, pages, scores, search, store  # noqa: F401  (the plans register themselves)
 
 
 def queries() -> dict:

@@ -17,11 +17,11 @@ def _pages(t):
     body = F.array_join(F.transform(F.split("text", "\n"), lambda p: F.concat(F.lit("<p class='x'>"), pages.escaped(p), F.lit("</p>"))), "\n")
     head = F.concat(F.lit("<html><head><title>"), pages.escaped(F.col("title")), F.lit("</title><script>var a = '<p>no</p>';</script>"), F.lit('<meta content="'), F.col("published_at"), F.lit('" property="article:published_time"></head><body><nav><p>Menu</p></nav>'))
     link = F.concat(F.lit('<aside><a class="s" href="'), pages.escaped(F.col("url")), F.lit('">Share</a><a href="#top">Up</a></aside>'))
-    d = t.documents.where("title is not null and text is not null and url is not null and published_at is not null")
+    d = t.documents.where("text is not null").withColumns({c: F.coalesce(c, F.lit("")) for c in ("title", "url", "published_at")})
     return d.select("doc_id", "url", F.concat(head, F.lit("<article>"), body, F.lit("</article>"), link, F.lit("</body></html>")).alias("html"))
 
 
-WHOLE = "title IS NOT NULL AND text IS NOT NULL AND url IS NOT NULL AND published_at IS NOT NULL"
+WHOLE = "text IS NOT NULL"
 TIDY = lambda c: rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({c}, chr(160), ' '), '[\x{{200b}}-\x{{200d}}\x{{feff}}\x{{2060}}]', '', 'g'), '[ \t\r\n]+', ' ', 'g'), ' ([,.;:!?%)\]])', '\1', 'g'), '([(\[]) ', '\1', 'g'), ' *\n *', chr(10), 'g'), '\n{{2,}}', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
@@ -81,7 +81,7 @@ def best_excerpt(spark, sf):
     return excerpts.best_excerpt(rows).select("claim_id", "doc_id", "direction", F.md5("excerpt").alias("excerpt_md5"), F.length("excerpt").alias("chars"))
 
 
-@query()
+@query("WITH c AS (SELECT doc_id, text, list_reduce(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {'done': []::VARCHAR[], 'cur': p}), lambda a, b: CASE WHEN length(a.cur) + length(b.cur) + 2 > 2000 AND a.cur <> '' THEN {'done': list_append(a.done, a.cur), 'cur': b.cur} ELSE {'done': a.done, 'cur': CASE WHEN a.cur = '' THEN b.cur ELSE a.cur || chr(10) || chr(10) || b.cur END} END) AS r FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, CASE WHEN length(text) <= 2000 THEN [text] WHEN r.cur <> '' THEN list_append(r.done, r.cur) ELSE r.done END AS x FROM c) SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_no, CAST(length(x[i]) AS INTEGER) AS chars, md5(x[i]) AS chunk_md5 FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM l)")
 def paragraph_chunks(spark, sf):
     chunk = excerpts.paragraph_chunks(F.col("text"), 2000)
     return Tables(spark, sf).documents.where("text is not null").select("doc_id", F.posexplode(chunk).alias("chunk_no", "chunk")).select("doc_id", "chunk_no", F.length("chunk").alias("chars"), F.md5("chunk").alias("chunk_md5"))

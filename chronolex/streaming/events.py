@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolex import scratch
+from chronolex.operators import store
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -32,3 +33,22 @@ def drained(stream: DataFrame, name: str, keys: list[str] | None = None) -> Data
         return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_row")).select(*keys, "_row.*").select(*stream.columns)
     stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def upserted(stream: DataFrame, name: str, keys: list[str], order: list) -> DataFrame:
+    """The last row in order of each key, kept up batch by batch: each micro-batch is merged into the table so far.
+
+    A version of the table is written per micro-batch and read by the next, so that a repeated batch gives the same version; the
+    last one is returned. A stream without rows gives an empty table.
+    """
+    spark: SparkSession = stream.sparkSession
+    path, state = scratch.new_path(spark, name), scratch.new_path(spark, f"{name}-state")
+    done: list[int] = []
+
+    def merge(rows: DataFrame, n: int) -> None:
+        old = spark.read.schema(rows.schema).parquet(f"{path}/v={done[-1]}") if done else rows.where("false")
+        store.last_wins(old.unionByName(rows), keys, order).write.mode("overwrite").parquet(f"{path}/v={n}")
+        done.append(n)
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/v={done[-1]}") if done else spark.createDataFrame([], stream.schema)

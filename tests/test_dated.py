@@ -29,7 +29,7 @@ def test_pages(spark):
     assert len(got[6].text) == 249999
     assert [got[i].t for i in range(1, 6)] == [None, None, "One two", 'Shared "title"', None]
     assert got[3].links == ["https://b.test/x?a=1&b=2", "https://a.test/"] and got[1].links == []
-    assert [got[i].d and (got[i].d.value, got[i].d.confidence, got[i].d.provenance) for i in range(1, 6)] == [None, None, ("2021-03-04", "day", "url"), ("2020-02-03", "day", "meta:date"), ("2018-05-06T07:08:09Z", "exact", "jsonld")]
+    assert [got[i].d and (got[i].d.value, got[i].d.confidence, got[i].d.provenance) for i in range(1, 6)] == [None, None, ("2021-03-04", "inferred", "url:path-date"), ("2020-02-03", "day", "meta:date"), ("2018-05-06T07:08:09Z", "exact", "jsonld:datePublished")]
 
 
 def test_feeds(spark, tmp_path):
