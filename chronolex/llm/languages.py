@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ FEATURES = 1 << 16
 SAMPLE = 1500
 #: log odds are divided by this for the confidence, as neighbouring n-grams aren't independent
 TEMPERATURE = 12.0
+#: the code of a text in none of the languages, whose n-grams are on average less likely than its language's by so much in the logarithm
+UNKNOWN, MARGIN = "und", 2.0
 #: a cell of so many words, two of them no names by their case, is prose and not a cell of a table
 PROSE = 5
 
@@ -32,6 +35,15 @@ def _lower() -> np.ndarray:
     return out
 
 
+class Model(NamedTuple):
+    """table: log-probability of each n-gram by language, less their mean; base: that mean; floor: the mean log-probability of an
+    n-gram below which a text is in none of the languages, by language."""
+
+    table: np.ndarray
+    base: np.ndarray
+    floor: np.ndarray
+
+
 class _Text:
     """Lines of some texts with the n-gram features that start at each character (-1: none)."""
 
@@ -79,6 +91,17 @@ class _Text:
                 out[:, k] += total[self.end] - total[self.start]
         return out
 
+    def level(self, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the base over the n-grams of each line, and their number."""
+        out, count = np.zeros(len(self.start)), np.zeros(len(self.start))
+        padded, total = np.append(base, 0), np.zeros(len(self.raw) + 1)
+        for n in ORDERS:
+            f = self.features(n)
+            np.cumsum(padded[f], out=total[1:])
+            out += total[self.end] - total[self.start]
+            count += self.count(f >= 0)
+        return out, count
+
     def wordless(self) -> np.ndarray:
         """Lines that have no language: rows of tables, program code, lists of names."""
         raw = self.raw
@@ -113,6 +136,9 @@ class _Text:
         return (bars >= 2) & (framed | ~prose)
 
 
+_OUT = ["doc_id", "line_no", "lang", "confidence"]
+
+
 def labelled(docs: DataFrame, label_col: str, languages: tuple[str, ...]) -> DataFrame:
     """docs with `language`: the code that a label's part before - or _ stands for, else null."""
     head = F.lower(F.trim(F.split(F.col(label_col), "[-_]")[0]))
@@ -145,8 +171,33 @@ def _counter(languages: tuple[str, ...], table: np.ndarray | None):
     return count
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", languages: tuple[str, ...] = tuple(NAMES), sample: int = SAMPLE, rounds: int = 2) -> np.ndarray:
-    """The log-probability matrix (languages x FEATURES), from labelled documents.
+def _leveller(languages: tuple[str, ...], table: np.ndarray, base: np.ndarray):
+    """Number and sum, by language, of the mean log-probabilities of the texts' n-grams."""
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(languages)))
+        for batch in batches:
+            labels = np.array([languages.index(x) for x in batch.column(0).to_pylist()])
+            texts = batch.column(1).to_pylist()
+            for lo, hi in textvec.slices(texts):
+                t = _Text(texts[lo:hi])
+                lang = labels[lo:hi][t.doc]
+                scores = t.scores(table)
+                use = ~t.wordless() & (t.letters >= 20) & (scores.argmax(1) == lang)
+                low, count = t.level(base)
+                sums = np.bincount(t.doc[use], weights=(low + scores[np.arange(len(lang)), lang])[use], minlength=hi - lo)
+                n = np.bincount(t.doc[use], weights=count[use], minlength=hi - lo)
+                on = n >= 100
+                mean = sums[on] / n[on]
+                for k, x in enumerate((np.ones(on.sum()), mean)):
+                    total[k] += np.bincount(labels[lo:hi][on], weights=x, minlength=len(languages))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(languages))), *map(pa.array, total)], ["language", "n", "s"])
+
+    return level
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", languages: tuple[str, ...] = tuple(NAMES), sample: int = SAMPLE, rounds: int = 2) -> Model:
+    """The model of labelled documents: a log-probability matrix (languages x FEATURES), its mean, and floors.
 
     At most `sample` documents of each language, taken by hash. Labels may be wrong: after
     the first round only the lines count that the model so far gives the language of their document.
@@ -162,63 +213,77 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         counts[found["language"], found["feature"]] = found["n"]
         counts += 0.5
         table = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
-        table -= table.mean(0)
-    return table
+        base = table.mean(0)
+        table -= base
+    level = chosen.mapInArrow(_leveller(languages, table, base), "language long, n double, s double").groupBy("language").agg(*[F.sum(c).alias(c) for c in "ns"]).toPandas().sort_values("language")
+    n, s = (level[c].to_numpy() if len(level) == len(languages) else np.zeros(len(languages)) for c in "ns")
+    floor = np.where(n > 0, s / np.maximum(n, 1) - MARGIN, -np.inf)
+    scratch.drop(chosen)
+    return Model(table, base, floor)
 
 
-def language_lines(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text", languages: tuple[str, ...] = tuple(NAMES), min_letters: int = 100, min_line: int = 60) -> DataFrame:
+def language_lines(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None, languages: tuple[str, ...] = tuple(NAMES), min_letters: int = 100, min_line: int = 60) -> DataFrame:
     """(doc_id, line_no, lang, confidence): the language of each document (line_no -1) and of its foreign lines.
 
     A document's language is that of most of its letters; documents with fewer than min_letters letters and
     null texts have no rows. A line of min_line letters or more has a row if its language is another one.
-    Tables, lists of names and program code have none. confidence: for a document, the share of its letters
-    in the language; for a line, the tempered posterior probability. The matrix is the only broadcast
-    (languages x FEATURES floats); one pass without a shuffle.
+    Tables, lists of names and program code have none. confidence: for a document, the probability of a letter of its prose to be in
+    the language, for a line, that of its language; both tempered, with equal priors, so that a rare language isn't swallowed.
+    A document whose n-grams are far less likely than those of its language's training texts is in none of the languages: it has
+    the language UNKNOWN, confidence 0, and no lines. carry: a column that comes along as `carry`.
+    The model is the only broadcast (languages x FEATURES floats); one pass without a shuffle.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(table)
+    sent = spark.sparkContext.broadcast(model)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(languages)
+        names = np.array([*languages, UNKNOWN])
+        table, base, floor = sent.value
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for lo, hi in textvec.slices(texts):
                 t = _Text(texts[lo:hi])
                 n = hi - lo
-                scores = t.scores(sent.value)
+                scores = t.scores(table)
                 lang = scores.argmax(1)
                 spoken = ~t.wordless()
                 weight = np.where(spoken, t.letters, 0)
-                share = np.zeros((n, len(names)))
+                share = np.zeros((n, len(languages)))
                 np.add.at(share, (t.doc, lang), weight)
                 total = np.bincount(t.doc, weights=t.letters, minlength=n)
                 has = (total >= min_letters) & (share.sum(1) > 0)
                 main = share.argmax(1)
+                low, count = t.level(base)
+                own = main[t.doc]
+                grams = np.bincount(t.doc, weights=np.where(spoken, count, 0), minlength=n)
+                mean = np.bincount(t.doc, weights=np.where(spoken, low + scores[np.arange(len(own)), lang], 0), minlength=n) / np.maximum(grams, 1)
+                strange = has & (grams >= 100) & (mean < floor[main])
                 d = np.flatnonzero(has)
-                foreign = np.flatnonzero(spoken & (t.letters >= min_line) & has[t.doc] & (lang != main[t.doc]))
-                odds = scores[foreign] / TEMPERATURE
-                odds = np.exp(odds - odds.max(1, keepdims=True)) if len(foreign) else odds
-                sure = odds.max(1) / odds.sum(1) if len(foreign) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate((ids[lo + d], ids[lo + t.doc[foreign]]))), pa.array(np.concatenate((np.full(len(d), -1), t.number[foreign])).astype(np.int32)), pa.array(np.concatenate((names[main[d]], names[lang[foreign]])).astype(object)), pa.array(np.concatenate((share[d, main[d]] / share[d].sum(1), sure)))],
-                    ["doc_id", "line_no", "lang", "confidence"],
-                )
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null").mapInArrow(lines, "doc_id long, line_no int, lang string, confidence double")
-
-
-def _all(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+                odds = scores / TEMPERATURE
+                odds = np.exp(odds - odds.max(1, keepdims=True)) if len(odds) else odds
+                odds /= np.maximum(odds.sum(1, keepdims=True), 1e-9)
+                sure = np.bincount(t.doc, weights=weight * odds[np.arange(len(own)), own], minlength=n) / np.maximum(share.sum(1), 1)
+                foreign = np.flatnonzero(spoken & (t.letters >= min_line) & (has & ~strange)[t.doc] & (lang != own))
+                told = np.where(strange[d], len(languages), main[d])
+                rows = np.concatenate((d, t.doc[foreign]))
+                out = [pa.array(ids[lo + rows]), pa.array(np.concatenate((np.full(len(d), -1), t.number[foreign])).astype(np.int32)), pa.array(np.concatenate((names[told], names[lang[foreign]])).astype(object), pa.string()), pa.array(np.concatenate((np.where(strange[d], 0.0, sure[d]), odds[foreign, lang[foreign]])))]
+                yield pa.RecordBatch.from_arrays([*out, *([batch.column(2).take(pa.array(lo + rows))] if carry else [])], _OUT + ["carry"] * bool(carry))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(carry).cast("string").alias("carry")] if carry else [])).where("doc_id is not null and text is not null")
+    return scratch.spread(rows).mapInArrow(lines, "doc_id long, line_no int, lang string, confidence double" + ", carry string" * bool(carry))
+
+
+def _all(spark: SparkSession, sf: str) -> DataFrame:
+    """language_lines() of all documents, with their labels."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
-    return docs, language_lines(docs, train(docs))
+    return language_lines(docs, train(docs), carry="lang")
 
 
 def p5_languages(spark: SparkSession, sf: str) -> DataFrame:
-    return _all(spark, sf)[1]
+    return _all(spark, sf).drop("carry")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Languages of documents whose label says otherwise, and of lines in another language than their document."""
-    docs, lines = _all(spark, sf)
-    told = docs.select(F.col("doc_id").alias("d"), F.lower(F.split("lang", "[-_]")[0]).alias("told"))
-    whole = lines.where("line_no = -1").join(told, F.col("d") == F.col("doc_id")).where("told is null or told <> lang")
-    return lines.where("line_no >= 0").select("doc_id", "line_no", "lang").unionByName(whole.select("doc_id", "line_no", "lang"))
+    told = F.lower(F.split("carry", "[-_]")[0])
+    return _all(spark, sf).where(F.col("lang") != UNKNOWN).where((F.col("line_no") >= 0) | told.isNull() | (told != F.col("lang"))).select("doc_id", "line_no", "lang")

@@ -1,5 +1,6 @@
 """Problem 7: passages of evaluation items in training text, by a distributed positional inverted index."""
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,11 @@ ITEM_WORDS = 2_000_000
 _INDEX = "segment long, term long, n int, positions binary"
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
+def _segments(tag: int):
+    return lambda batches: _tagged_segments(batches, (tag << 40) + (TaskContext.get().partitionId() << 20))
+
+
+def _tagged_segments(batches: Iterator[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
         for lo, hi in textvec.slices(texts):
@@ -43,9 +47,11 @@ def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A word is a run of letters and digits of the lower-case text without invisible characters; null texts
     and ids are left out. Segments are built where the text is read; nothing is shuffled. The table can be
-    stored and asked again with other items.
+    stored, asked again with other items, and have the index of further documents appended: the numbers of the segments
+    of one call begin with 23 random bits of its own.
     """
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").mapInArrow(_segments, _INDEX)
+    rows = scratch.spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"))
+    return rows.mapInArrow(_segments(uuid.uuid4().int & 0x7FFFFF), _INDEX)
 
 
 def _item_words(items: list[tuple[int, str | None]], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,6 +108,17 @@ def _with_run(there: np.ndarray, start: np.ndarray, words: int) -> np.ndarray:
     return np.flatnonzero(sums[np.maximum(start[1:] - words + 1, start[:-1])] > sums[start[:-1]])
 
 
+def _in_order(lists: list, start: int, slop: int) -> bool:
+    """Whether the words of a window follow each other, each within slop of its place after `start`."""
+    last = -1
+    for k, x in enumerate(lists):
+        i = np.searchsorted(x, max(start + k - slop, last + 1))
+        if i == len(x) or x[i] > start + k + slop:
+            return False
+        last = x[i]
+    return True
+
+
 def _passages(lists: list, words: int, slop: int) -> np.ndarray:
     """Positions in the segment where `words` neighbouring words of the item stand in order.
 
@@ -135,14 +152,17 @@ def _passages(lists: list, words: int, slop: int) -> np.ndarray:
                     alive &= hit[sides].any(0)
         for o in windows:
             full = hit[o - lo : o - lo + words].all(0)
-            found.append(base[full] + o)
+            at = base[full] + o
+            if slop:
+                at = at[[_in_order(lists[o : o + words], int(x), slop) for x in at]] if len(at) else at
+            found.append(at)
     return np.maximum(np.concatenate(found), 0) if found else np.zeros(0, np.int64)
 
 
 def leaked_items(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", words: int = 13, slop: int = 0) -> DataFrame:
     """(item_id, doc_id): documents that have `words` or more consecutive words of an item in the same order.
 
-    slop 0: exactly consecutive; else each word may stand up to slop positions off its place (proximity).
+    slop 0: exactly consecutive; else each word may stand up to slop positions off its place, in the same order (proximity).
     Shorter, empty and null items match nothing; rows of one id count together, and pairs are distinct.
 
     The items are the small side: they are looked up in blocks of at most ITEM_WORDS words, and only the

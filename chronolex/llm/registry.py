@@ -13,6 +13,7 @@ def queries() -> dict:
         "p5_found": languages.p5_found,
         "p5_languages": languages.p5_languages,
         "p6_found": repeated_lines.p6_found,
+        "p6_clean": repeated_lines.p6_clean,
         "p7_found": leakage.p7_found,
         "p7_proximity": leakage.p7_proximity,
         "p8_usage": mixing.p8_usage,
@@ -24,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": repeated_lines.P6_SQL}
+    return {"p6_found": repeated_lines.P6_SQL, "p6_clean": repeated_lines.P6_CLEAN_SQL}

@@ -132,11 +132,36 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
     return some.join(cases, by, "left_semi").select("container", "n", "bitmap", "lines").mapInArrow(_rows, "doc_id long, line_no int")
 
 
+@F.pandas_udf(T.StringType())
+def _cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines whose bits are set; a text without such lines comes as it is."""
+    out = []
+    for text, lines in zip(texts, gone, strict=True):
+        if text is None or lines is None:
+            out.append(text)
+            continue
+        own = text.split("\n")
+        bits = np.zeros(len(own), bool)
+        lines = np.asarray(lines)
+        bits[lines[lines < len(own)]] = True
+        out.append("\n".join(x for x, off in zip(own, bits, strict=True) if not off))
+    return pd.Series(out, dtype=object)
+
+
 def without_lines(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the given (doc_id, line_no) lines taken out of their text; all columns stay, null texts stay null."""
+    """docs with the given (doc_id, line_no) lines taken out of their text; all columns stay, null texts stay null.
+
+    The lines of a document meet it as one row and are looked up as the bits of a map of its lines.
+    """
     gone = lines.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
-    kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_gone", i))
-    return docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left").withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("_gone", "_gone_id")
+    met = docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left")
+    return met.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(_cut(F.col(text_col), F.col("_gone")))).drop("_gone", "_gone_id")
+
+
+def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, chars, text_md5) of every document after its source's repeated lines are taken out."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source_id", "text")
+    return without_lines(docs, repeated_lines(docs)).select("doc_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,3 +174,7 @@ k AS (SELECT doc_id, source_id, line_no, regexp_replace(lower(line), '[^\p{L}]',
 often AS (SELECT source_id, key FROM k WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 6)
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN often USING (source_id, key)
 """
+
+P6_CLEAN_SQL = P6_SQL.split("SELECT doc_id, CAST(line_no AS INTEGER)")[0] + """, gone AS (SELECT DISTINCT doc_id, line_no FROM k JOIN often USING (source_id, key)),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS t FROM lines l LEFT JOIN gone USING (doc_id, line_no) WHERE gone.line_no IS NULL GROUP BY 1), out AS (SELECT d.doc_id, CASE WHEN d.text IS NULL OR d.source_id IS NULL THEN d.text ELSE coalesce(kept.t, '') END AS t FROM documents d LEFT JOIN kept USING (doc_id))
+SELECT doc_id, length(t) AS chars, md5(t) AS text_md5 FROM out"""

@@ -195,6 +195,17 @@ def test_leaks(spark):
     assert leakage.leaked_items(leakage.positional_index(docs.where("false")), items).count() == 0
 
 
+def test_proximity_keeps_the_order(spark):
+    item = [f"t{i}" for i in range(13)]
+    swap = item[:5] + [item[6], item[5]] + item[7:]
+    gap = item[:6] + ["x"] + item[6:]
+    docs = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(swap)), (3, " ".join(gap))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    index = leakage.positional_index(docs).unionByName(leakage.positional_index(docs.selectExpr("doc_id + 10 as doc_id", "text")))
+    found = lambda slop: {r.doc_id for r in leakage.leaked_items(index, items, slop=slop).collect()}
+    assert found(0) == {1, 11} and found(2) == {1, 3, 11, 13}
+
+
 def test_languages_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     table = languages.train(docs.where("doc_id % 2 = 0"), sample=200)
@@ -204,6 +215,17 @@ def test_languages_on_held_out_documents(spark):
     assert n > 100 and right / n > 0.9  # some labels are wrong
 
 
+def test_a_language_that_it_never_met(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = languages.train(docs, sample=200)
+    odd = ["Город вчера решил, что новый мост через реку будет построен в следующем году. " * 4, "Ma kaupunki on eilen päättänyt, että uusi silta joen yli rakennetaan ensi vuonna kyllä. " * 4]
+    rows = spark.createDataFrame([*enumerate(odd), (2, "The city decided yesterday that the new bridge over the river will be built next year. " * 4), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang, r.confidence) for r in languages.language_lines(rows, model).collect()}
+    assert got[0] == ("und", 0.0) and got[1][0] == "und" and got[2][0] == "en" and got[2][1] > 0.9 and len(got) == 3
+    n = languages.language_lines(docs, model).where("lang = 'und'").count()
+    assert n < 5
+
+
 def test_lines_with_bars_are_prose_or_rows(spark):
     lines = ["Signal is published weekly by a small office in the old port. | Imprint | Sitemap", "Tasbren Union | 15 | 52 | New Velden", "| the first cell holds a long note | and the second one too |", "Home\tArts\tArchive", "", "a | plain line of words with one bar", "||", "\t\t\n  | x |  ", "THE SIGNAL IS PUBLISHED WEEKLY IN PORT VELDEN. | IMPRINT | SITEMAP"]
     t = languages._Text(["\n".join(lines[:4]), None, "\n".join(lines[4:])])
