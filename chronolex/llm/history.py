@@ -70,7 +70,7 @@ _PREPARED = "ref long, url_key long, hash_key long, set_hash long, bands array<l
 class History:
     """An index, in a folder, of what was accepted: exact keys, band keys and run sets by row.
 
-    keys: (bucket, key, exact, ref), in folders by hash of the key; sets: (part, ref, set_hash, runs), in folders by hash of the row.
+    keys: (bucket, key, exact, ref), in folders by hash of the key; sets: (part, ref, keys, set_hash, bands, runs), in folders by hash of the row.
     A batch reads only the folders that its own keys fall into, then only those of the rows it met; no text of the
     history is read again. `buckets` is fixed when the index is made: with buckets_for(rows expected) a folder holds some 60,000 keys,
     so what a batch reads follows its own size, not that of the history.
@@ -93,13 +93,26 @@ class History:
         return keys.select(F.pmod("key", F.lit(self.buckets)).cast("int").alias("bucket"), "key", "exact", "ref")
 
     def append(self, prepared: DataFrame) -> None:
-        """Adds accepted rows to the index: each folder gets a file, or more where its rows are very many."""
-        keys, sets = self._keys(prepared), prepared.where("runs is not null").select("ref", "set_hash", "runs")
-        sets = sets.withColumn("part", self._part("ref"))
-        for name, rows, by in (("keys", keys, "bucket"), ("sets", sets, "part")):
-            # a folder's rows are spread over more tasks once they are over FILE on average, or one key is hot
-            spread = F.pmod(F.xxhash64("ref"), F.lit(1 + prepared.count() * (1 + linking.BANDS) // (self.buckets * FILE)))
-            rows.repartition(by, spread).write.mode("append").partitionBy(by).option("compression", "zstd").parquet(f"{self.path}/{name}")
+        """Adds accepted rows to the index."""
+        n = prepared.count()
+        self._write("sets", prepared.withColumn("part", self._part("ref")), "part", n)
+        self._write("keys", self._keys(prepared), "bucket", n * (2 + linking.BANDS))
+
+    def load(self, rows: DataFrame) -> None:
+        """append() of all of an empty index's rows (ref, url, text_hash, text); their run sets are written once, and the keys read back from them."""
+        n = rows.count()
+        self._write("sets", self._raw(rows).withColumn("part", self._part("ref")), "part", n)
+        self._write("keys", self._keys(self._table("sets")), "bucket", n * (2 + linking.BANDS))
+
+    def _write(self, name: str, rows: DataFrame, by: str, n: int) -> None:
+        """Appends n rows: each folder gets a file, or more where its rows are over FILE on average; a task gets some 500,000 rows at most."""
+        spread = F.pmod(F.xxhash64("ref"), F.lit(1 + n // (self.buckets * FILE)))
+        tasks = max(1 + n // (8 * FILE), min(self.buckets, self.spark.sparkContext.defaultParallelism))
+        rows.repartition(tasks, by, spread).write.mode("append").partitionBy(by).option("compression", "zstd").parquet(f"{self.path}/{name}")
+
+    def _table(self, name: str) -> DataFrame:
+        schema = {"keys": "key long, exact boolean, ref long, bucket int", "sets": f"{_PREPARED}, part int"}[name]
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def _part(self, ref: str) -> Column:
         return F.pmod(F.xxhash64(ref), F.lit(self.buckets)).cast("int")
@@ -110,13 +123,14 @@ class History:
         return table if 2 * len(some) > self.buckets else table.where(F.col(by).isin(some))
 
     def keys(self, own: DataFrame | None = None) -> DataFrame:
-        table = self.spark.read.schema("key long, exact boolean, ref long, bucket int").parquet(f"{self.path}/keys")
+        table = self._table("keys")
         return table if own is None else self._pruned(table, "bucket", own)
 
     def sets(self, refs: DataFrame | None = None) -> DataFrame:
-        """The run sets, or those of the folders that some refs lie in."""
-        table = self.spark.read.schema("ref long, set_hash long, runs binary, part int").parquet(f"{self.path}/sets")
-        return (table if refs is None else self._pruned(table, "part", refs.select(self._part("ref").alias("part")))).drop("part")
+        """(ref, set_hash, runs) of the rows with a run set, or of those in the folders that some refs lie in."""
+        table = self._table("sets")
+        table = table if refs is None else self._pruned(table, "part", refs.select(self._part("ref").alias("part")))
+        return table.where("runs is not null").select("ref", "set_hash", "runs")
 
     def _linked(self, pairs: DataFrame, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
         """The pairs (a, b), written already, whose run sets are similar enough; b is of the history unless right is given."""
@@ -240,9 +254,7 @@ def _start(spark: SparkSession, sf: str) -> tuple[History, DataFrame]:
     """A history of all documents, and the arrivals; refs keep the two kinds of ids apart."""
     docs, incoming = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "incoming"))
     history = History(spark, scratch.new_path(spark, "history"), words=6, threshold=0.5, min_runs=20, buckets=buckets_for(docs.count()))
-    first = history.prepared(docs.select((F.col("doc_id") * 2).alias("ref"), "url", "text_hash", "text"))
-    history.append(first)
-    scratch.drop(first)
+    history.load(docs.select((F.col("doc_id") * 2).alias("ref"), "url", "text_hash", "text"))
     return history, incoming.select((F.col("arrival_id") * 2 + 1).alias("ref"), "url", "text_hash", "text", "batch_no")
 
 

@@ -184,8 +184,9 @@ def leaked_items(index: DataFrame, items: DataFrame, item_id: str = "item_id", i
 
 
 def _leaks(spark: SparkSession, sf: str, slop: int) -> DataFrame:
-    index = scratch.written(positional_index(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")), "index")
-    return leaked_items(index, spark.read.parquet(f"{sf}/eval_items.parquet"), slop=slop)
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "eval_items"))
+    index = lambda: scratch.written(positional_index(docs.select("doc_id", "text")), "index")
+    return scratch.settled(lambda: leaked_items(index(), items, slop=slop), "leaks")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -93,7 +93,7 @@ def line_bitmaps(docs: DataFrame, id_col: str, source_col: str, text_col: str) -
     united in the batch, before any shuffle: a line of a third of all documents makes one row per batch
     and container. turn: the bitmap of 0 has the documents, 1 those that have the line once more, ...
     """
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source_id"), F.col(text_col).alias("text")).where("id is not null and source_id is not null and text is not null").mapInArrow(_bitmaps, _SCHEMA)
+    return scratch.spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source_id"), F.col(text_col).alias("text")).where("id is not null and source_id is not null and text is not null")).mapInArrow(_bitmaps, _SCHEMA)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -123,6 +123,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
     the threshold are united (at most 65,536 documents each) for the exact cardinality. No text is
     shuffled and nothing is broadcast unless the adaptive planner finds it small.
     """
+    return scratch.settled(lambda: _repeated(docs, id_col, source_col, text_col, min_documents), "repeated-lines")
+
+
+def _repeated(docs: DataFrame, id_col: str, source_col: str, text_col: str, min_documents: int) -> DataFrame:
     maps = scratch.written(line_bitmaps(docs, id_col, source_col, text_col), "bitmaps")
     by = ["source_id", "line_key"]
     often = maps.where("turn = 0").groupBy(*by).agg(F.sum("n").alias("n")).where(F.col("n") >= min_documents).select(*by)
