@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from chronolex.functions import stemming
 
 K1, B = 1.2, 0.75
+SLICE = ["before", "after", "exclude_source", "exclude_doc"]
 RRF_K, FINGERPRINT_BONUS = 60, 0.5
 #: tokens of a query that take part, and the least length of one
 MOST, SHORT = 40, 3
@@ -43,12 +44,13 @@ def _words(stem: bool):
 
 
 def postings(docs: DataFrame, stem: bool = False) -> DataFrame:
-    """(doc_id, dl, term, tf): how often each word stands in title and text of a document, and the words it has in all.
+    """(doc_id, ts, source_id, dl, term, tf): how often each word stands in title and text of a document, and the words it has in all.
 
-    A document without words has one row with null term, so that it counts. One pass; the count is combined map-side.
+    docs: (doc_id, title, text, ts, source_id). A document without words has one row with null term, so that it counts. One pass; the
+    count is combined map-side.
     """
-    w = docs.select("doc_id", _words(stem)(F.concat_ws(" ", "title", "text")).alias("w"))
-    return w.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    w = docs.select("doc_id", "ts", "source_id", _words(stem)(F.concat_ws(" ", "title", "text")).alias("w"))
+    return w.select("doc_id", "ts", "source_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).groupBy("doc_id", "ts", "source_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
 def lengths(index: DataFrame) -> DataFrame:
@@ -56,12 +58,11 @@ def lengths(index: DataFrame) -> DataFrame:
     return index.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def in_slice(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """hits (query_id, doc_id, before, after, exclude_source, exclude_doc, ...) whose document lies in the query's slice."""
-    rows = hits.join(docs.select("doc_id", "ts", "source_id"), "doc_id")
+def in_slice(rows: DataFrame) -> DataFrame:
+    """Rows with a query's before, after, exclude_source, exclude_doc and a document's doc_id, ts, source_id, whose document lies in the query's slice."""
     for out in (F.col("ts") >= F.col("before"), F.col("ts") <= F.col("after"), F.col("source_id") == F.col("exclude_source"), F.col("doc_id") == F.col("exclude_doc")):
         rows = rows.where(~F.coalesce(out, F.lit(False)))
-    return rows.drop("ts", "source_id")
+    return rows.drop("ts", "source_id", *SLICE)
 
 
 def _bm25(tf: Column, df: Column) -> Column:
@@ -69,22 +70,19 @@ def _bm25(tf: Column, df: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
-SLICE = ["before", "after", "exclude_source", "exclude_doc"]
-
-
-def bm25(queries: DataFrame, index: DataFrame, docs: DataFrame, k: int = 10, stem: bool = False) -> DataFrame:
+def bm25(queries: DataFrame, index: DataFrame, k: int = 10, stem: bool = False) -> DataFrame:
     """(query_id, doc_id, score, place): the k best documents of each query by BM25 over the OR of its first words of SHORT letters or more.
 
-    index: postings() with the same stem; docs: (doc_id, ts, source_id). Only the lists of words that some query has are read on;
-    a word in very many lists is split by the adaptive skew join, and each task cuts a query to k rows before the last shuffle.
+    index: postings() with the same stem. Only the lists of words that some query has are read on, and only what lies in a query's slice
+    is added up; a word in very many lists is split by the adaptive skew join, and each task cuts a query to k rows before the last shuffle.
     """
     words = F.array_distinct(F.slice(F.filter(_words(stem)("text"), lambda w: F.length(w) >= SHORT), 1, MOST))
     q = queries.select("query_id", *SLICE, F.explode(words).alias("term"))
     post = index.join(q.select("term").distinct(), "term", "left_semi")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    rows = post.join(df, "term").join(F.broadcast(lengths(index)), F.lit(True)).select("term", "doc_id", _bm25(F.col("tf"), F.col("df")).alias("part"))
-    scored = rows.join(q.select("query_id", "term"), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return ranked(in_slice(scored.join(queries.select("query_id", *SLICE), "query_id"), docs).drop(*SLICE), k)
+    rows = post.join(df, "term").join(F.broadcast(lengths(index)), F.lit(True)).select("term", "doc_id", "ts", "source_id", _bm25(F.col("tf"), F.col("df")).alias("part"))
+    hits = in_slice(rows.join(q, "term")).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return ranked(hits, k)
 
 
 def ranked(scored: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -110,7 +108,7 @@ def phrase_search(phrases: DataFrame, docs: DataFrame, texts: DataFrame, index:
     found = found.select("_p", "doc_id", "dl", ((F.length("_t") - F.length(F.replace("_t", "_p", F.lit("")))) / F.length("_p")).alias("tf"))
     df = found.groupBy("_p").agg(F.count("*").alias("df"))
     rows = found.join(df, "_p").join(F.broadcast(lengths(index)), F.lit(True)).select("_p", "doc_id", F.round(_bm25(F.col("tf"), F.col("df")), 6).alias("score"))
-    hits = in_slice(rows.join(p.drop("_h"), "_p"), docs).select("query_id", "phrase", "doc_id", "score")
+    hits = in_slice(rows.join(p.drop("_h"), "_p").join(docs.select("doc_id", "ts", "source_id"), "doc_id")).select("query_id", "phrase", "doc_id", "score")
     return ranked(hits, k, "phrase")
 
 

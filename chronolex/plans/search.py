@@ -26,7 +26,7 @@ PER_QUERY, LIMIT = 15, 20
 
 def _index(t: Tables, stem: bool = False) -> DataFrame:
     """The corpus's posting lists, written once per session."""
-    return scratch.once(t._spark, ("postings", t._sf, stem), lambda: search.postings(t.documents, stem))
+    return scratch.once(t._spark, ("postings", t._sf, stem), lambda: search.postings(t.dated, stem))
 
 
 def _asked(t: Tables) -> DataFrame:
@@ -35,7 +35,7 @@ def _asked(t: Tables) -> DataFrame:
 
 
 def _lexical(t: Tables, stem: bool = False) -> DataFrame:
-    return search.bm25(_asked(t), _index(t, stem), t.times, PER_QUERY, stem)
+    return search.bm25(_asked(t), _index(t, stem), PER_QUERY, stem)
 
 
 def _phrases(t: Tables) -> DataFrame:

@@ -21,7 +21,7 @@ def test_bm25_in_slices(spark):
     d, index = _docs(spark)
     q = spark.createDataFrame([(1, "quick fox", 45, 10, None, None), (2, "quick fox", None, None, "a", 2), (3, "ete", None, None, None, None), (4, "a of", None, None, None, None), (5, None, None, None, None, None)], Q)
     got = {}
-    for r in search.bm25(q, index, d).orderBy("query_id", "place").collect():
+    for r in search.bm25(q, index).orderBy("query_id", "place").collect():
         got.setdefault(r.query_id, []).append(r.doc_id)
     assert got == {1: [4, 2], 2: [6], 3: [1]}
 
