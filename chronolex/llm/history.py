@@ -105,9 +105,9 @@ class History:
         self._write("keys", self._keys(self._table("sets")), "bucket", n * (2 + linking.BANDS))
 
     def _write(self, name: str, rows: DataFrame, by: str, n: int) -> None:
-        """Appends n rows: each folder gets a file, or more where its rows are over FILE on average; a task gets some 500,000 rows at most."""
+        """Appends n rows: each folder gets a file, or more where its rows are over FILE on average; a task gets some 40 MB."""
         spread = F.pmod(F.xxhash64("ref"), F.lit(1 + n // (self.buckets * FILE)))
-        tasks = max(1 + n // (8 * FILE), min(self.buckets, self.spark.sparkContext.defaultParallelism))
+        tasks = max(1 + n // (FILE // 2 if name == "sets" else 32 * FILE), min(self.buckets, self.spark.sparkContext.defaultParallelism))
         rows.repartition(tasks, by, spread).write.mode("append").partitionBy(by).option("compression", "zstd").parquet(f"{self.path}/{name}")
 
     def _table(self, name: str) -> DataFrame:
