@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronolex import scratch
 from chronolex.functions import stemming
 
 K1, B = 1.2, 0.75
@@ -43,14 +44,18 @@ def _words(stem: bool):
     return (lambda c: stemming.stems(tokens(c))) if stem else tokens
 
 
-def postings(docs: DataFrame, stem: bool = False) -> DataFrame:
-    """(doc_id, ts, source_id, dl, term, tf): how often each word stands in title and text of a document, and the words it has in all.
+def words(docs: DataFrame, stem: bool = False) -> DataFrame:
+    """(doc_id, ts, source_id, w): the words of title and text of each document, over all cores; docs: (doc_id, title, text, ts, source_id)."""
+    return scratch.spread(docs.select("doc_id", "ts", "source_id", F.concat_ws(" ", "title", "text").alias("_t"))).select("doc_id", "ts", "source_id", _words(stem)("_t").alias("w"))
 
-    docs: (doc_id, title, text, ts, source_id). A document without words has one row with null term, so that it counts. One pass; the
-    count is combined map-side.
+
+def postings(told: DataFrame) -> DataFrame:
+    """(doc_id, ts, source_id, dl, term, tf): how often each word stands in a document of words(), and the words it has in all.
+
+    A document without words has one row with null term, so that it counts. The count is combined map-side.
     """
-    w = docs.select("doc_id", "ts", "source_id", _words(stem)(F.concat_ws(" ", "title", "text")).alias("w"))
-    return w.select("doc_id", "ts", "source_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).groupBy("doc_id", "ts", "source_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    by = ["doc_id", "ts", "source_id"]
+    return told.select(*by, F.size("w").alias("dl"), F.explode_outer("w").alias("term")).groupBy(*by, "dl", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
 def lengths(index: DataFrame) -> DataFrame:
@@ -90,25 +95,26 @@ def ranked(scored: DataFrame, k: int, *keys: str) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def phrase_search(phrases: DataFrame, docs: DataFrame, texts: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
+def phrase_search(phrases: DataFrame, told: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, phrase, doc_id, score, place): the k best documents that have a whole phrase, word for word, by BM25 of the phrase.
 
-    phrases: (query_id, phrase, *SLICE), of which those of two words or more count; texts: (doc_id, title, text). A document is a candidate
+    phrases: (query_id, phrase, *SLICE), of which those of two words or more count; told: words(), index: its postings(). A document is a candidate
     if a hashed pair of its neighbouring words begins a phrase (the phrases are the small side, broadcast by the planner if they are);
     only candidates are searched for the whole phrase. Occurrences are counted without overlap.
     """
     spaced = lambda w: F.array_join(F.transform(w, lambda x: F.concat(F.lit(" "), x, F.lit(" "))), "")
     pair = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1))
     p = phrases.withColumn("_w", tokens("phrase")).where(F.size("_w") >= 2).withColumn("_p", spaced(F.col("_w"))).withColumn("_h", pair(F.col("_w"), F.lit(0))).drop("_w").distinct()
-    d = texts.select("doc_id", tokens(F.concat_ws(" ", "title", "text")).alias("_w"))
+    d = told.select("doc_id", "ts", "source_id", F.col("w").alias("_w"))
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 2, F.lit(0))), lambda i: pair(F.col("_w"), i)))
     heads = d.where(F.size("_w") >= 2).select("doc_id", F.explode(pairs).alias("_h"))
-    met = heads.join(p.select("_h", "_p").distinct(), "_h").select("doc_id", "_p")
-    found = met.join(d.select("doc_id", F.size("_w").alias("dl"), spaced(F.col("_w")).alias("_t")), "doc_id").where(F.contains("_t", "_p"))
-    found = found.select("_p", "doc_id", "dl", ((F.length("_t") - F.length(F.replace("_t", "_p", F.lit("")))) / F.length("_p")).alias("tf"))
+    met = scratch.written(heads.join(p.select("_h", "_p").distinct(), "_h").select("doc_id", "_p"), "candidates")
+    asked = d.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = met.join(asked.select("doc_id", "ts", "source_id", F.size("_w").alias("dl"), spaced(F.col("_w")).alias("_t")), "doc_id").where(F.contains("_t", "_p"))
+    found = found.select("_p", "doc_id", "ts", "source_id", "dl", ((F.length("_t") - F.length(F.replace("_t", "_p", F.lit("")))) / F.length("_p")).alias("tf"))
     df = found.groupBy("_p").agg(F.count("*").alias("df"))
-    rows = found.join(df, "_p").join(F.broadcast(lengths(index)), F.lit(True)).select("_p", "doc_id", F.round(_bm25(F.col("tf"), F.col("df")), 6).alias("score"))
-    hits = in_slice(rows.join(p.drop("_h"), "_p").join(docs.select("doc_id", "ts", "source_id"), "doc_id")).select("query_id", "phrase", "doc_id", "score")
+    rows = found.join(df, "_p").join(F.broadcast(lengths(index)), F.lit(True)).select("_p", "doc_id", "ts", "source_id", F.round(_bm25(F.col("tf"), F.col("df")), 6).alias("score"))
+    hits = in_slice(rows.join(p.drop("_h"), "_p")).select("query_id", "phrase", "doc_id", "score")
     return ranked(hits, k, "phrase")
 
 

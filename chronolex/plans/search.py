@@ -24,9 +24,14 @@ DENSE = f"dn AS (SELECT * FROM (SELECT query_id, tok.doc_id, list_inner_product(
 PER_QUERY, LIMIT = 15, 20
 
 
+def _told(t: Tables, stem: bool = False) -> DataFrame:
+    """The corpus's words, read once per session."""
+    return scratch.once(t._spark, ("words", t._sf, stem), lambda: search.words(t.dated, stem))
+
+
 def _index(t: Tables, stem: bool = False) -> DataFrame:
     """The corpus's posting lists, written once per session."""
-    return scratch.once(t._spark, ("postings", t._sf, stem), lambda: search.postings(t.dated, stem))
+    return scratch.once(t._spark, ("postings", t._sf, stem), lambda: search.postings(_told(t, stem)))
 
 
 def _asked(t: Tables) -> DataFrame:
@@ -40,7 +45,7 @@ def _lexical(t: Tables, stem: bool = False) -> DataFrame:
 
 def _phrases(t: Tables) -> DataFrame:
     p = _asked(t).select("query_id", F.explode("fingerprints").alias("phrase"), *search.SLICE)
-    return search.phrase_search(p, t.times, t.documents, _index(t), PER_QUERY)
+    return search.phrase_search(p, _told(t), _index(t), PER_QUERY)
 
 
 def _dense(t: Tables) -> DataFrame:

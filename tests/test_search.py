@@ -9,7 +9,8 @@ DOCS = [(1, "Été", "the quick brown fox", 10, "a", 1), (2, None, "Quick quick
 
 def _docs(spark):
     d = spark.createDataFrame(DOCS, D)
-    return d, search.postings(d)
+    told = search.words(d)
+    return told, search.postings(told)
 
 
 def test_tokens_fold_and_keep_letters(spark):
@@ -30,7 +31,7 @@ def test_phrases_are_whole_and_sliced(spark):
     d, index = _docs(spark)
     p = spark.createDataFrame([(1, "Brown FOX", None, None, None, None), (1, "quick", None, None, None, None), (2, "brown fox", 50, 10, None, None), (3, "the quick brown fox jumps", None, None, None, None), (4, "quick brown dogs", None, None, "a", None), (5, None, None, None, None, None)], "query_id long, phrase string, before long, after long, exclude_source string, exclude_doc long")
     got = {}
-    for r in search.phrase_search(p, d, d, index).collect():
+    for r in search.phrase_search(p, d, index).collect():
         got.setdefault(r.query_id, set()).add(r.doc_id)
     assert got == {1: {1, 4, 6}, 2: {4}, 4: {2}}
 
@@ -64,4 +65,4 @@ def test_queries_and_windows(spark):
     assert [(r.n, r.text) for r in search.distinct_queries(t, 2).orderBy("n").collect()] == [(0, "The claim"), (1, "other")]
     f = spark.createDataFrame([(1, 0, 7, 0.2), (1, 1, 7, 0.5), (1, 2, 7, 0.5), (1, 0, 8, 0.5), (1, 0, 9, 0.1)], "query_id long, win int, doc_id long, score double")
     assert [(r.doc_id, r.win, r.score) for r in search.best_over_windows(f, 2).orderBy("place").collect()] == [(7, 1, 0.5), (8, 0, 0.5)]
-    assert search.postings(spark.createDataFrame([], D)).count() == 0
+    assert search.postings(search.words(spark.createDataFrame([], D))).count() == 0
