@@ -12,8 +12,8 @@ def test_paper_examples():
 
 
 def test_search_by_stem(spark):
-    docs = spark.createDataFrame([(1, "They were hoping for relations", 1), (2, "A hope", 2), (3, None, 3), (4, "nothing here", 4)], "doc_id long, text string, ts long")
-    q = spark.createDataFrame([(9, "hopes relational", 100), (8, None, 100)], "query_id long, text string, before long")
-    assert {r.doc_id for r in search.bm25(q, docs, stem=True).collect()} == {1, 2}
-    assert search.bm25(q, docs).count() == 0
+    docs = spark.createDataFrame([(1, None, "They were hoping for relations", 1, "a"), (2, None, "A hope", 2, "a"), (3, None, None, 3, None), (4, "nothing", "here", 4, "a")], "doc_id long, title string, text string, ts long, source_id string")
+    q = spark.createDataFrame([(9, "hopes relational", 100, None, None, None), (8, None, 100, None, None, None)], "query_id long, text string, before long, after long, exclude_source string, exclude_doc long")
+    assert {r.doc_id for r in search.bm25(q, search.postings(search.words(docs, stem=True)), stem=True).collect()} == {1, 2}
+    assert search.bm25(q, search.postings(search.words(docs))).count() == 0
     assert spark.createDataFrame([(None,)], "w array<string>").select(stemming.stems(F.col("w")).alias("s")).first().s is None
