@@ -5,9 +5,12 @@ both sides, documents without a source stay unless excluded by id. Statistics ar
 """
 
 import unicodedata
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,27 +43,93 @@ def tokens(text: str | Column) -> Column:
     return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _words(stem: bool):
-    return (lambda c: stemming.stems(tokens(c))) if stem else tokens
+#: words of a block, queries and phrases that meet a block at once
+BLOCK, ASKED, PHRASES = 1 << 22, 4096, 1 << 16
+_DOCS = "docs array<bigint>, ts array<bigint>, sources array<string>, dl binary"
+_NEVER = -(2**63)
 
 
 def words(docs: DataFrame, stem: bool = False) -> DataFrame:
-    """(doc_id, ts, source_id, w): the words of title and text of each document, over all cores; docs: (doc_id, title, text, ts, source_id)."""
-    return scratch.spread(docs.select("doc_id", "ts", "source_id", F.concat_ws(" ", "title", "text").alias("_t"))).select("doc_id", "ts", "source_id", _words(stem)("_t").alias("w"))
+    """The words of title and text of each document in blocks, over all cores; docs: (doc_id, title, text, ts, source_id).
+
+    A block has some BLOCK words: its documents by ts (docs, ts, sources, and in dl their numbers of words), its different words (terms),
+    and for each place in the texts, one after the other, the number of its word (at). Binary columns are 32-bit numbers.
+    """
+    rows = scratch.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ts").cast("long").alias("ts"), "source_id", F.concat_ws(" ", "title", "text").alias("_t"))).select("doc_id", "ts", "source_id", tokens("_t").alias("w"))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch.column(3).flatten())
+            if n >= BLOCK:
+                yield _block(held)
+                held, n = [], 0
+        if sum(len(x) for x in held):
+            yield _block(held)
+
+    told = rows.mapInArrow(coded, f"{_DOCS}, terms array<string>, at binary")
+    return stemmed(told) if stem else told
+
+
+def _row(names: list[str], *values: pa.Array | bytes) -> pa.RecordBatch:
+    """One row; an array stands in it as a list."""
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) if isinstance(v, bytes) else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values], names)
+
+
+def _block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    doc, ts, source, w = (c.combine_chunks() for c in pa.Table.from_batches(held).columns)
+    found = w.flatten().dictionary_encode()
+    dl = w.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((doc.to_numpy(zero_copy_only=False), ts.fill_null(_NEVER).to_numpy(zero_copy_only=False)))
+    moved = dl[order]
+    at = found.indices.to_numpy(zero_copy_only=False)[np.repeat((np.cumsum(dl) - dl)[order] - (np.cumsum(moved) - moved), moved) + np.arange(moved.sum())]
+    return _row(["docs", "ts", "sources", "dl", "terms", "at"], doc.take(pa.array(order)), ts.take(pa.array(order)), source.take(pa.array(order)), moved.astype("<i4").tobytes(), found.dictionary, at.astype("<i4").tobytes())
+
+
+def stemmed(told: DataFrame) -> DataFrame:
+    """Blocks of words() with each word's stem in its place; a block's different words are stemmed once."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                to = pa.array([stemming.stem(w) for w in row["terms"].as_py()], pa.string()).dictionary_encode()
+                at = to.indices.to_numpy(zero_copy_only=False)[np.frombuffer(row["at"].as_py(), "<i4")]
+                yield _row([*row], row["docs"].values, row["ts"].values, row["sources"].values, row["dl"].as_py(), to.dictionary, at.astype("<i4").tobytes())
+
+    return told.mapInArrow(each, told.schema)
 
 
 def postings(told: DataFrame) -> DataFrame:
-    """(doc_id, ts, source_id, dl, term, tf): how often each word stands in a document of words(), and the words it has in all.
+    """The lists of each block of words(): in pos the documents of each word, one word after the other, by their place in the block, and in tf how often it stands there.
 
-    A document without words has one row with null term, so that it counts. The count is combined map-side.
+    dfs has the lengths of the lists. Nothing is shuffled, and a word's lists are never put together.
     """
-    by = ["doc_id", "ts", "source_id"]
-    return told.select(*by, F.size("w").alias("dl"), F.explode_outer("w").alias("term")).groupBy(*by, "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                dl = np.frombuffer(row["dl"].as_py(), "<i4")
+                key = np.frombuffer(row["at"].as_py(), "<i4").astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl)
+                key.sort()
+                head = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+                tf, key = np.diff(np.append(head, len(key))), key[head]
+                dfs = np.bincount(key // len(dl), minlength=len(row["terms"].values))
+                yield _row([*row][:5] + ["dfs", "pos", "tf"], row["docs"].values, row["ts"].values, row["sources"].values, row["dl"].as_py(), row["terms"].values, pa.array(dfs, pa.int64()), (key % len(dl)).astype("<i4").tobytes(), tf.astype("<i4").tobytes())
+
+    return told.mapInArrow(listed, f"{_DOCS}, terms array<string>, dfs array<bigint>, pos binary, tf binary")
 
 
 def lengths(index: DataFrame) -> DataFrame:
     """(n, avgdl) of an index: its documents and their mean length."""
-    return index.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+    @F.pandas_udf("long")
+    def total(dl: pd.Series) -> pd.Series:
+        return dl.map(lambda x: int(np.frombuffer(x, "<i4").sum(dtype=np.int64)))
+
+    return index.select(F.size("docs").alias("n"), total("dl").alias("words")).agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
 
 
 def in_slice(rows: DataFrame) -> DataFrame:
@@ -75,21 +144,99 @@ def _bm25(tf: Column, df: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
+def _chunks(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """One column of arrays of some `most` rows each, as structs."""
+    n = rows.agg(F.ceil(F.count("*") / most).alias("_n"))
+    return rows.join(F.broadcast(n), F.lit(True)).groupBy(F.pmod(F.xxhash64(rows.columns[0]), "_n").alias("_c")).agg(F.collect_list(F.struct(*rows.columns)).alias(name)).drop("_c")
+
+
 def bm25(queries: DataFrame, index: DataFrame, k: int = 10, stem: bool = False) -> DataFrame:
     """(query_id, doc_id, score, place): the k best documents of each query by BM25 over the OR of its first words of SHORT letters or more.
 
-    index: postings() with the same stem. Only the lists of words that some query has are read on, and only what lies in a query's slice
-    is added up; a word in very many lists is split by the adaptive skew join, and each task cuts a query to k rows before the last shuffle.
+    index: postings() with the same stem. Queries, each with its words and their numbers of documents, go to the blocks of the index, where
+    the parts of its words are added up over the documents before its end; a block gives k rows per query, so hits are never written out.
     """
-    words = F.array_distinct(F.slice(F.filter(_words(stem)("text"), lambda w: F.length(w) >= SHORT), 1, MOST))
-    q = queries.select("query_id", *SLICE, F.explode(words).alias("term"))
-    post = index.join(q.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    rows = post.join(df, "term").join(F.broadcast(lengths(index)), F.lit(True)).select("term", "doc_id", "ts", "source_id", _bm25(F.col("tf"), F.col("df")).alias("part"))
-    hits = in_slice(rows.join(q, "term")).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    split = (lambda c: stemming.stems(tokens(c))) if stem else tokens
+    own = F.array_distinct(F.slice(F.filter(split("text"), lambda w: F.length(w) >= SHORT), 1, MOST))
+    q = queries.select("query_id", *SLICE, F.explode(own).alias("term"))
+    df = index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.dfs").alias("df"))
+    df = df.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    asked = q.join(df, "term").groupBy("query_id", *SLICE).agg(F.sort_array(F.collect_list(F.struct("term", "df"))).alias("w"))
+    asked = asked.select("query_id", F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"), "exclude_source", F.col("exclude_doc").cast("long").alias("exclude_doc"), F.col("w.term").alias("terms"), F.col("w.df").alias("dfs"))
+    met = scratch.spread(index).crossJoin(F.broadcast(_chunks(asked, ASKED, "q").crossJoin(lengths(index))))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                who, doc, score = _best(row, k)
+                yield pa.RecordBatch.from_arrays([row["q"].values.field("query_id").take(pa.array(who)), row["docs"].values.take(pa.array(doc)), pa.array(score)], ["query_id", "doc_id", "score"])
+
+    hits = met.mapInArrow(best, T.StructType([queries.schema["query_id"], T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())]))
     return ranked(hits, k)
 
 
+def _best(row: dict[str, pa.Scalar], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's documents the k best of each query that meets it: the query's number, the document's place in the block, the score."""
+    doc = row["docs"].values.to_numpy(zero_copy_only=False)
+    ts = row["ts"].values.fill_null(_NEVER).to_numpy(zero_copy_only=False)
+    untimed = int(np.searchsorted(ts, _NEVER, "right"))
+    at = {w: i for i, w in enumerate(row["terms"].as_py())}
+    ends = np.cumsum(row["dfs"].values.to_numpy(zero_copy_only=False))
+    pos, tfs = (np.frombuffer(row[c].as_py(), "<i4") for c in ("pos", "tf"))
+    n, norm = row["n"].as_py(), K1 * (1 - B + B * np.frombuffer(row["dl"].as_py(), "<i4") / row["avgdl"].as_py())
+    sources, ids = row["sources"].values.dictionary_encode(), np.argsort(doc, kind="stable")
+    source_at = {s: j for j, s in enumerate(sources.dictionary.to_pylist())}
+    source_of = sources.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+    @cache
+    def part(term: str, df: int) -> tuple[np.ndarray | None, np.ndarray] | None:
+        """Documents and what the word adds to each; for a word of many documents None and what it adds to every one."""
+        if (j := at.get(term)) is None:
+            return None
+        hi = ends[j]
+        lo = ends[j - 1] if j else 0
+        p, tf = pos[lo:hi], tfs[lo:hi]
+        v = max(np.log((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * (K1 + 1) / (tf + norm[p])
+        if len(p) * 8 < len(doc):
+            return p, v
+        every = np.zeros(len(doc))
+        every[p] = v
+        return None, every
+
+    at_source = cache(lambda j: np.flatnonzero(source_of == j))
+    q = row["q"].values
+    got = []
+    for i, (before, after, source, own, terms, dfs) in enumerate(zip(*(q.field(c).to_pylist() for c in (*SLICE, "terms", "dfs")), strict=True)):
+        end = len(doc) if before is None else int(np.searchsorted(ts, max(before, _NEVER + 1), "left"))
+        sums = np.zeros(end)
+        for term, df in zip(terms, dfs, strict=True):
+            if (x := part(term, df)) is None:
+                continue
+            p, v = x
+            if p is None:
+                sums += v[:end]
+            else:
+                m = np.searchsorted(p, end)
+                sums[p[:m]] += v[:m]
+        if after is not None:
+            sums[untimed : np.searchsorted(ts, after, "right")] = 0
+        if source is not None and (j := source_at.get(source)) is not None:
+            gone = at_source(j)
+            sums[gone[: np.searchsorted(gone, end)]] = 0
+        if own is not None:
+            gone = ids[np.searchsorted(doc, own, "left", sorter=ids) : np.searchsorted(doc, own, "right", sorter=ids)]
+            sums[gone[gone < end]] = 0
+        # all that may be among the k once sums are rounded
+        least = np.partition(sums, end - k)[end - k] - 2e-6 if end > k else 0.0
+        c = np.flatnonzero(sums > max(least, 0.0))
+        score = np.floor(sums[c] * 1e6 + 0.5) / 1e6
+        top = np.lexsort((doc[c], -score))[:k]
+        got.append((np.full(len(top), i), c[top], score[top]))
+    who, where, score = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return who, where, score
+
+
 def ranked(scored: DataFrame, k: int, *keys: str) -> DataFrame:
     w = Window.partitionBy("query_id", *keys).orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
@@ -98,26 +245,85 @@ def ranked(scored: DataFrame, k: int, *keys: str) -> DataFrame:
 def phrase_search(phrases: DataFrame, told: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, phrase, doc_id, score, place): the k best documents that have a whole phrase, word for word, by BM25 of the phrase.
 
-    phrases: (query_id, phrase, *SLICE), of which those of two words or more count; told: words(), index: its postings(). A document is a candidate
-    if a hashed pair of its neighbouring words begins a phrase (the phrases are the small side, broadcast by the planner if they are);
-    only candidates are searched for the whole phrase. Occurrences are counted without overlap.
+    phrases: (query_id, phrase, *SLICE), of which those of two words or more count; told: words(), index: its postings(). The different
+    phrases go to the blocks, where each is looked up with all its words at once; only documents that have it leave their block.
+    Occurrences are counted without overlap.
     """
-    spaced = lambda w: F.array_join(F.transform(w, lambda x: F.concat(F.lit(" "), x, F.lit(" "))), "")
-    pair = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1))
-    p = phrases.withColumn("_w", tokens("phrase")).where(F.size("_w") >= 2).withColumn("_p", spaced(F.col("_w"))).withColumn("_h", pair(F.col("_w"), F.lit(0))).drop("_w").distinct()
-    d = told.select("doc_id", "ts", "source_id", F.col("w").alias("_w"))
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 2, F.lit(0))), lambda i: pair(F.col("_w"), i)))
-    heads = d.where(F.size("_w") >= 2).select("doc_id", F.explode(pairs).alias("_h"))
-    met = scratch.written(heads.join(p.select("_h", "_p").distinct(), "_h").select("doc_id", "_p"), "candidates")
-    asked = d.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = met.join(asked.select("doc_id", "ts", "source_id", F.size("_w").alias("dl"), spaced(F.col("_w")).alias("_t")), "doc_id").where(F.contains("_t", "_p"))
-    found = found.select("_p", "doc_id", "ts", "source_id", "dl", ((F.length("_t") - F.length(F.replace("_t", "_p", F.lit("")))) / F.length("_p")).alias("tf"))
+    p = phrases.withColumn("_w", tokens("phrase")).where(F.size("_w") >= 2).distinct()
+    different = scratch.written(p.select("_w").distinct().withColumn("_p", F.monotonically_increasing_id()), "phrases")
+    met = scratch.spread(told).crossJoin(F.broadcast(_chunks(different.select("_p", "_w"), PHRASES, "q")))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                which, doc, tf = _occurrences(row)
+                doc_at = pa.array(doc)
+                dl = np.frombuffer(row["dl"].as_py(), "<i4")[doc]
+                yield pa.RecordBatch.from_arrays([row["q"].values.field("_p").take(pa.array(which)), row["docs"].values.take(doc_at), row["ts"].values.take(doc_at), row["sources"].values.take(doc_at), pa.array(dl.astype(np.int32)), pa.array(tf.astype(np.int32))], ["_p", "doc_id", "ts", "source_id", "dl", "tf"])
+
+    found = scratch.written(met.mapInArrow(search, "_p long, doc_id long, ts long, source_id string, dl int, tf int"), "found")
     df = found.groupBy("_p").agg(F.count("*").alias("df"))
     rows = found.join(df, "_p").join(F.broadcast(lengths(index)), F.lit(True)).select("_p", "doc_id", "ts", "source_id", F.round(_bm25(F.col("tf"), F.col("df")), 6).alias("score"))
-    hits = in_slice(rows.join(p.drop("_h"), "_p")).select("query_id", "phrase", "doc_id", "score")
+    hits = in_slice(rows.join(p.join(different, "_w").drop("_w"), "_p")).select("query_id", "phrase", "doc_id", "score")
     return ranked(hits, k, "phrase")
 
 
+def _occurrences(row: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase's number, document's place in the block, occurrences): where a block has the phrases that meet it."""
+    code = {w: i for i, w in enumerate(row["terms"].as_py())}
+    at = np.frombuffer(row["at"].as_py(), "<i4").astype(np.uint64)
+    ends = np.cumsum(np.frombuffer(row["dl"].as_py(), "<i4"), dtype=np.int64)
+    by: dict[int, list[tuple[int, list[int]]]] = {}
+    for i, ws in enumerate(row["q"].values.field("_w").to_pylist()):
+        if None not in (cs := [code.get(w) for w in ws]):
+            by.setdefault(len(cs), []).append((i, cs))
+    out = [(np.zeros(0, np.int64),) * 3]
+    mixed, mix = at, np.uint64(0x9E3779B97F4A7C15)
+    for size in range(2, max(by, default=0) + 1):
+        if size > len(at):
+            break
+        mixed = mixed[:-1] * mix + at[size - 1 :]
+        if size not in by:
+            continue
+        ps = np.array([cs for _, cs in by[size]], np.uint64)
+        key = ps[:, 0]
+        for j in range(1, size):
+            key = key * mix + ps[:, j]
+        seen, short = np.zeros(1 << 20, bool), lambda x: (x * mix) >> np.uint64(44)
+        seen[short(key)] = True
+        place = np.flatnonzero(seen[short(mixed)])
+        order = np.argsort(key, kind="stable")
+        first = np.searchsorted(key, mixed[place], "left", sorter=order)
+        times = np.searchsorted(key, mixed[place], "right", sorter=order) - first
+        # phrases of one hash, should there be any, are all compared
+        which = order[np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+        place = np.repeat(place, times)
+        doc = np.searchsorted(ends, place, "right")
+        same = place + size <= ends[doc]
+        for j in range(size):
+            same[same] = at[place[same] + j] == ps[which[same], j]
+        out.append(_counted(which[same], doc[same], place[same], size, np.array([i for i, _ in by[size]]), len(ends)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _counted(which: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int, number: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrences of phrases of one size per phrase and document, without overlap."""
+    key = which * docs + doc
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    new = np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1]))
+    keep = np.ones(len(key), bool)
+    # only where one occurrence reaches into the next are they walked through
+    for k in np.unique(key[1:][~new[1:] & (np.diff(place) < size)]):
+        free = -1
+        for i in range(np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")):
+            keep[i] = place[i] >= free
+            free = place[i] + size if keep[i] else free
+    head = np.flatnonzero(new)
+    return number[key[head] // docs], key[head] % docs, np.add.reduceat(keep.astype(np.int64), head) if len(head) else head
+
+
 def rank_fusion(placements: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, doc_id, score, best_rank, retrievers, hits, place): reciprocal ranks of all placements, summed.
 

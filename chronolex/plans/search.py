@@ -24,14 +24,14 @@ DENSE = f"dn AS (SELECT * FROM (SELECT query_id, tok.doc_id, list_inner_product(
 PER_QUERY, LIMIT = 15, 20
 
 
-def _told(t: Tables, stem: bool = False) -> DataFrame:
+def _told(t: Tables) -> DataFrame:
     """The corpus's words, read once per session."""
-    return scratch.once(t._spark, ("words", t._sf, stem), lambda: search.words(t.dated, stem))
+    return scratch.once(t._spark, ("words", t._sf), lambda: search.words(t.dated))
 
 
 def _index(t: Tables, stem: bool = False) -> DataFrame:
     """The corpus's posting lists, written once per session."""
-    return scratch.once(t._spark, ("postings", t._sf, stem), lambda: search.postings(_told(t, stem)))
+    return scratch.once(t._spark, ("postings", t._sf, stem), lambda: search.postings(search.stemmed(_told(t)) if stem else _told(t)))
 
 
 def _asked(t: Tables) -> DataFrame:

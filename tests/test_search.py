@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 from chronolex.operators import search
 
@@ -66,3 +68,32 @@ def test_queries_and_windows(spark):
     f = spark.createDataFrame([(1, 0, 7, 0.2), (1, 1, 7, 0.5), (1, 2, 7, 0.5), (1, 0, 8, 0.5), (1, 0, 9, 0.1)], "query_id long, win int, doc_id long, score double")
     assert [(r.doc_id, r.win, r.score) for r in search.best_over_windows(f, 2).orderBy("place").collect()] == [(7, 1, 0.5), (8, 0, 0.5)]
     assert search.postings(search.words(spark.createDataFrame([], D))).count() == 0
+
+
+def test_lists_stay_in_blocks_and_queries_come_to_them(spark):
+    rnd = random.Random(7)
+    word = [f"wo{i}" for i in range(40)]
+    docs = [(i, None, " ".join(rnd.choices(word, [1 / (j + 1) for j in range(40)], k=rnd.randrange(0, 30))), rnd.choice([None, *range(50)]), rnd.choice(["a", "b", None])) for i in range(120)]
+    qs = [(i, " ".join(["wo99", *rnd.choices(word, k=4)]), rnd.choice([None, 40]), rnd.choice([None, 10]), rnd.choice([None, "a"]), rnd.choice([None, i])) for i in range(20)]
+    told = search.words(spark.createDataFrame(docs, "doc_id long, title string, text string, ts long, source_id string").repartition(4))
+    index = search.postings(told)
+    assert index.count() <= 4
+    tf = {i: Counter(text.split()) for i, _, text, _, _ in docs}
+    n, avgdl = len(docs), sum(sum(c.values()) for c in tf.values()) / len(docs)
+    want = {}
+    for i, text, before, after, source, own in qs:
+        scores = []
+        for j, _, _, ts, s in docs:
+            if (ts is not None and (before is not None and ts >= before or after is not None and ts <= after)) or (source and s == source) or j == own:
+                continue
+            dl, x = sum(tf[j].values()), 0.0
+            for w in set(text.split()):
+                df = sum(w in c for c in tf.values())
+                x += max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6) * tf[j][w] * 2.2 / (tf[j][w] + 1.2 * (0.25 + 0.75 * dl / avgdl))
+            if any(w in tf[j] for w in text.split()):
+                scores.append((-round(x, 6), j))
+        want[i] = [(j, -x) for x, j in sorted(scores)[:5]]
+    got = {i: [] for i in want}
+    for r in search.bm25(spark.createDataFrame(qs, Q), index, 5).orderBy("query_id", "place").collect():
+        got[r.query_id].append((r.doc_id, r.score))
+    assert got == want
