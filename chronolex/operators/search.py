@@ -44,7 +44,7 @@ def tokens(text: str | Column) -> Column:
 
 
 #: words of a block, queries and phrases that meet a block at once
-BLOCK, ASKED, PHRASES = 1 << 22, 4096, 1 << 16
+BLOCK, ASKED, PHRASES = 1 << 22, 1 << 14, 1 << 16
 _DOCS = "docs array<bigint>, ts array<bigint>, sources array<string>, dl binary"
 _NEVER = -(2**63)
 
@@ -208,7 +208,7 @@ def _best(row: dict[str, pa.Scalar], k: int) -> tuple[np.ndarray, np.ndarray, np
     q = row["q"].values
     got = []
     for i, (before, after, source, own, terms, dfs) in enumerate(zip(*(q.field(c).to_pylist() for c in (*SLICE, "terms", "dfs")), strict=True)):
-        end = len(doc) if before is None else int(np.searchsorted(ts, max(before, _NEVER + 1), "left"))
+        end = len(doc) if before is None else int(ts.searchsorted(max(before, _NEVER + 1)))
         sums = np.zeros(end)
         for term, df in zip(terms, dfs, strict=True):
             if (x := part(term, df)) is None:
@@ -217,7 +217,7 @@ def _best(row: dict[str, pa.Scalar], k: int) -> tuple[np.ndarray, np.ndarray, np
             if p is None:
                 sums += v[:end]
             else:
-                m = np.searchsorted(p, end)
+                m = p.searchsorted(end)
                 sums[p[:m]] += v[:m]
         if after is not None:
             sums[untimed : np.searchsorted(ts, after, "right")] = 0

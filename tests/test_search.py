@@ -97,3 +97,16 @@ def test_lists_stay_in_blocks_and_queries_come_to_them(spark):
     for r in search.bm25(spark.createDataFrame(qs, Q), index, 5).orderBy("query_id", "place").collect():
         got[r.query_id].append((r.doc_id, r.score))
     assert got == want
+
+
+def test_stems_take_the_place_of_a_blocks_words(spark):
+    docs = [(1, "Running runs", "ponies été", 5, "a"), (2, None, "the pony ran; running", 2, None), (3, None, None, None, "a")]
+    told = search.words(spark.createDataFrame(docs, "doc_id long, title string, text string, ts long, source_id string"))
+    numbers = lambda x: list(memoryview(bytes(x)).cast("i"))
+    got = {}
+    for block in search.stemmed(told).collect():
+        assert len(block.terms) == len(set(block.terms)) and len(block.docs) == len(block.ts) == len(block.sources)
+        ws = iter([block.terms[i] for i in numbers(block.at)])
+        got |= {d: [next(ws) for _ in range(n)] for d, n in zip(block.docs, numbers(block.dl), strict=True)}
+    assert got == {1: ["run", "run", "poni", "et"], 2: ["the", "poni", "ran", "run"], 3: []}
+    assert search.stemmed(told).schema == told.schema
