@@ -132,18 +132,6 @@ def lengths(index: DataFrame) -> DataFrame:
     return index.select(F.size("docs").alias("n"), total("dl").alias("words")).agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
 
 
-def in_slice(rows: DataFrame) -> DataFrame:
-    """Rows with a query's before, after, exclude_source, exclude_doc and a document's doc_id, ts, source_id, whose document lies in the query's slice."""
-    for out in (F.col("ts") >= F.col("before"), F.col("ts") <= F.col("after"), F.col("source_id") == F.col("exclude_source"), F.col("doc_id") == F.col("exclude_doc")):
-        rows = rows.where(~F.coalesce(out, F.lit(False)))
-    return rows.drop("ts", "source_id", *SLICE)
-
-
-def _bm25(tf: Column, df: Column) -> Column:
-    idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-
-
 def _chunks(rows: DataFrame, most: int, name: str) -> DataFrame:
     """One column of arrays of some `most` rows each, as structs."""
     n = rows.agg(F.ceil(F.count("*") / most).alias("_n"))
@@ -246,29 +234,75 @@ def phrase_search(phrases: DataFrame, told: DataFrame, index: DataFrame, k: int
     """(query_id, phrase, doc_id, score, place): the k best documents that have a whole phrase, word for word, by BM25 of the phrase.
 
     phrases: (query_id, phrase, *SLICE), of which those of two words or more count; told: words(), index: its postings(). The different
-    phrases go to the blocks, where each is looked up with all its words at once; only documents that have it leave their block.
+    phrases go to the blocks, where each is looked up with all its words at once, first to count its documents, then for the k rows of
+    each query; the documents that have a phrase aren't written out.
     Occurrences are counted without overlap.
     """
     p = phrases.withColumn("_w", tokens("phrase")).where(F.size("_w") >= 2).distinct()
     different = scratch.written(p.select("_w").distinct().withColumn("_p", F.monotonically_increasing_id()), "phrases")
-    met = scratch.spread(told).crossJoin(F.broadcast(_chunks(different.select("_p", "_w"), PHRASES, "q")))
+    blocks_of = lambda q: scratch.spread(told).crossJoin(F.broadcast(q))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                row = {n: batch.column(n)[i] for n in batch.schema.names}
-                which, doc, tf = _occurrences(row)
-                doc_at = pa.array(doc)
-                dl = np.frombuffer(row["dl"].as_py(), "<i4")[doc]
-                yield pa.RecordBatch.from_arrays([row["q"].values.field("_p").take(pa.array(which)), row["docs"].values.take(doc_at), row["ts"].values.take(doc_at), row["sources"].values.take(doc_at), pa.array(dl.astype(np.int32)), pa.array(tf.astype(np.int32))], ["_p", "doc_id", "ts", "source_id", "dl", "tf"])
-
-    found = scratch.written(met.mapInArrow(search, "_p long, doc_id long, ts long, source_id string, dl int, tf int"), "found")
-    df = found.groupBy("_p").agg(F.count("*").alias("df"))
-    rows = found.join(df, "_p").join(F.broadcast(lengths(index)), F.lit(True)).select("_p", "doc_id", "ts", "source_id", F.round(_bm25(F.col("tf"), F.col("df")), 6).alias("score"))
-    hits = in_slice(rows.join(p.join(different, "_w").drop("_w"), "_p")).select("query_id", "phrase", "doc_id", "score")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            which, n = np.unique(_occurrences(row)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([row["q"].values.field("_p").take(pa.array(which)), pa.array(n)], ["_p", "df"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            number, doc, score = _best_with_phrase(row, k)
+            q = row["q"].values.field("asked").flatten().take(pa.array(number))
+            yield pa.RecordBatch.from_arrays([q.field("query_id"), q.field("phrase"), row["docs"].values.take(pa.array(doc)), pa.array(score)], ["query_id", "phrase", "doc_id", "score"])
+
+    df = scratch.written(blocks_of(_chunks(different.select("_p", "_w"), PHRASES, "q")).mapInArrow(counted, "_p long, df long").groupBy("_p").agg(F.sum("df").alias("df")), "phrase-df")
+    asked = F.struct("query_id", "phrase", *[F.col(c) if c == "exclude_source" else F.col(c).cast("long").alias(c) for c in SLICE])
+    q = p.join(different, "_w").groupBy("_p").agg(F.first("_w").alias("_w"), F.collect_list(asked).alias("asked")).join(df, "_p")
+    kinds = [phrases.schema["query_id"], phrases.schema["phrase"], T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())]
+    hits = blocks_of(_chunks(q, PHRASES, "q").crossJoin(lengths(index))).mapInArrow(best, T.StructType(kinds))
     return ranked(hits, k, "phrase")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
+    for batch in batches:
+        for i in range(len(batch)):
+            yield {n: batch.column(n)[i] for n in batch.schema.names}
+
+
+def _best_with_phrase(row: dict[str, pa.Scalar], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's documents the k best of each query and phrase: the query's number among all of the phrases', the document's place, the score."""
+    which, where, tf = _occurrences(row)
+    doc = row["docs"].values.to_numpy(zero_copy_only=False)
+    ts = row["ts"].values.fill_null(_NEVER).to_numpy(zero_copy_only=False)
+    untimed = ts.searchsorted(_NEVER, "right")
+    sources = row["sources"].values.dictionary_encode()
+    source_at = {s: j for j, s in enumerate(sources.dictionary.to_pylist())}
+    source_of = sources.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    n, norm = row["n"].as_py(), K1 * (1 - B + B * np.frombuffer(row["dl"].as_py(), "<i4") / row["avgdl"].as_py())
+    dfs, asked = row["q"].values.field("df").to_numpy(zero_copy_only=False), row["q"].values.field("asked")
+    numbers = np.cumsum([0, *asked.value_lengths().to_pylist()])
+    got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    heads = np.flatnonzero(np.concatenate((np.ones(min(len(which), 1), bool), which[1:] != which[:-1])))
+    for lo, hi in zip(heads, [*heads[1:], len(which)], strict=True):
+        p, i = where[lo:hi], which[lo]
+        score = max(np.log((n - dfs[i] + 0.5) / (dfs[i] + 0.5)), 1e-6) * tf[lo:hi] * (K1 + 1) / (tf[lo:hi] + norm[p])
+        score = np.floor(score * 1e6 + 0.5) / 1e6
+        order = np.lexsort((doc[p], -score))
+        p, score = p[order], score[order]
+        for j, x in enumerate(asked[int(i)].as_py(), numbers[i]):
+            before, after, source, own = (x[c] for c in SLICE)
+            ok = np.ones(len(p), bool)
+            if before is not None:
+                ok &= p < ts.searchsorted(max(before, _NEVER + 1))
+            if after is not None:
+                ok &= (p < untimed) | (p >= ts.searchsorted(after, "right"))
+            if source is not None:
+                ok &= source_of[p] != source_at.get(source, -2)
+            if own is not None:
+                ok &= doc[p] != own
+            top = np.flatnonzero(ok)[:k]
+            got.append((np.full(len(top), j), p[top], score[top]))
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+
 def _occurrences(row: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(phrase's number, document's place in the block, occurrences): where a block has the phrases that meet it."""
     code = {w: i for i, w in enumerate(row["terms"].as_py())}

@@ -110,3 +110,22 @@ def test_stems_take_the_place_of_a_blocks_words(spark):
         got |= {d: [next(ws) for _ in range(n)] for d, n in zip(block.docs, numbers(block.dl), strict=True)}
     assert got == {1: ["run", "run", "poni", "et"], 2: ["the", "poni", "ran", "run"], 3: []}
     assert search.stemmed(told).schema == told.schema
+
+
+def test_documents_with_a_phrase_stay_in_their_blocks(spark):
+    docs = [(i, None, f"{'x ' * (i % 7)}common words here and no no no no {'other' if i % 3 else 'word'}", i if i % 5 else None, "ab"[i % 2]) for i in range(200)]
+    told = search.words(spark.createDataFrame(docs, "doc_id long, title string, text string, ts long, source_id string"))
+    asked = [(1, "common words", None, None, None, None), (1, "no no", 150, 20, "a", 33), (2, "Common words", 30, None, None, 1), (3, "no other", None, 190, None, None), (4, "words common", None, None, None, None)]
+    hits = search.phrase_search(spark.createDataFrame(asked, "query_id long, phrase string, before long, after long, exclude_source string, exclude_doc long"), told, search.postings(told), 3)
+    got = {}
+    for r in hits.orderBy("query_id", "phrase", "place").collect():
+        got.setdefault((r.query_id, r.phrase), []).append((r.doc_id, r.score))
+    avgdl, want = sum(len(t.split()) for _, _, t, _, _ in docs) / 200, {}
+    for i, phrase, before, after, source, own in asked:
+        tf = {j: f" {t} ".replace(" ", "  ").count("".join(f" {w} " for w in phrase.lower().split())) for j, _, t, _, _ in docs}
+        df = sum(n > 0 for n in tf.values())
+        rows = [(-round(max(math.log((200 - df + 0.5) / (df + 0.5)), 1e-6) * tf[j] * 2.2 / (tf[j] + 1.2 * (0.25 + 0.75 * len(t.split()) / avgdl)), 6), j) for j, _, t, ts, s in docs if tf[j] and not (ts is not None and (before is not None and ts >= before or after is not None and ts <= after)) and s != source and j != own]
+        want |= {(i, phrase): [(j, -x) for x, j in sorted(rows)[:3]]} if rows else {}
+    assert got == want
+    plan = hits._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Generate explode" not in plan
