@@ -5,12 +5,13 @@ both sides, documents without a source stay unless excluded by id. Statistics ar
 """
 
 import unicodedata
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +48,8 @@ def tokens(text: str | Column) -> Column:
 BLOCK, ASKED, PHRASES = 1 << 22, 1 << 14, 1 << 16
 _DOCS = "docs array<bigint>, ts array<bigint>, sources array<string>, dl binary"
 _NEVER = -(2**63)
+#: partitions of blocks that one task reads at most, sums and words that are held at once, and what rounding may move a score by
+RUN, SUMS, PIECE, SLACK = 16, 1 << 18, 1 << 19, 2e-6
 
 
 def words(docs: DataFrame, stem: bool = False) -> DataFrame:
@@ -133,16 +136,22 @@ def lengths(index: DataFrame) -> DataFrame:
 
 
 def _chunks(rows: DataFrame, most: int, name: str) -> DataFrame:
-    """One column of arrays of some `most` rows each, as structs."""
+    """(chunk, {name}): arrays of some `most` rows each, as structs."""
     n = rows.agg(F.ceil(F.count("*") / most).alias("_n"))
-    return rows.join(F.broadcast(n), F.lit(True)).groupBy(F.pmod(F.xxhash64(rows.columns[0]), "_n").alias("_c")).agg(F.collect_list(F.struct(*rows.columns)).alias(name)).drop("_c")
+    return rows.join(F.broadcast(n), F.lit(True)).groupBy(F.pmod(F.xxhash64(rows.columns[0]), "_n").alias("chunk")).agg(F.collect_list(F.struct(*rows.columns)).alias(name))
+
+
+def _in_runs(blocks: DataFrame) -> DataFrame:
+    """Blocks over all cores, up to RUN partitions to a task: what the first of a task's blocks give spares work on the others."""
+    cores, n = blocks.sparkSession.sparkContext.defaultParallelism, blocks.rdd.getNumPartitions()
+    return scratch.spread(blocks).coalesce(max(cores, -(-n // RUN)))
 
 
 def bm25(queries: DataFrame, index: DataFrame, k: int = 10, stem: bool = False) -> DataFrame:
     """(query_id, doc_id, score, place): the k best documents of each query by BM25 over the OR of its first words of SHORT letters or more.
 
     index: postings() with the same stem. Queries, each with its words and their numbers of documents, go to the blocks of the index, where
-    the parts of its words are added up over the documents before its end; a block gives k rows per query, so hits are never written out.
+    the parts of its words are added up over the documents before its end; a task gives k rows per query, so hits are never written out.
     """
     split = (lambda c: stemming.stems(tokens(c))) if stem else tokens
     own = F.array_distinct(F.slice(F.filter(split("text"), lambda w: F.length(w) >= SHORT), 1, MOST))
@@ -151,78 +160,224 @@ def bm25(queries: DataFrame, index: DataFrame, k: int = 10, stem: bool = False)
     df = df.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     asked = q.join(df, "term").groupBy("query_id", *SLICE).agg(F.sort_array(F.collect_list(F.struct("term", "df"))).alias("w"))
     asked = asked.select("query_id", F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"), "exclude_source", F.col("exclude_doc").cast("long").alias("exclude_doc"), F.col("w.term").alias("terms"), F.col("w.df").alias("dfs"))
-    met = scratch.spread(index).crossJoin(F.broadcast(_chunks(asked, ASKED, "q").crossJoin(lengths(index))))
+    asked = scratch.written(asked, "asked")
+    met = _in_runs(index).crossJoin(F.broadcast(_chunks(asked, ASKED, "q").crossJoin(lengths(index))))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                row = {n: batch.column(n)[i] for n in batch.schema.names}
-                who, doc, score = _best(row, k)
-                yield pa.RecordBatch.from_arrays([row["q"].values.field("query_id").take(pa.array(who)), row["docs"].values.take(pa.array(doc)), pa.array(score)], ["query_id", "doc_id", "score"])
+        return _best_of_run(batches, k, _score, lambda q: q, ["query_id"])
 
     hits = met.mapInArrow(best, T.StructType([queries.schema["query_id"], T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())]))
     return ranked(hits, k)
 
 
-def _best(row: dict[str, pa.Scalar], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block's documents the k best of each query that meets it: the query's number, the document's place in the block, the score."""
-    doc = row["docs"].values.to_numpy(zero_copy_only=False)
-    ts = row["ts"].values.fill_null(_NEVER).to_numpy(zero_copy_only=False)
-    untimed = int(np.searchsorted(ts, _NEVER, "right"))
-    at = {w: i for i, w in enumerate(row["terms"].as_py())}
-    ends = np.cumsum(row["dfs"].values.to_numpy(zero_copy_only=False))
-    pos, tfs = (np.frombuffer(row[c].as_py(), "<i4") for c in ("pos", "tf"))
-    n, norm = row["n"].as_py(), K1 * (1 - B + B * np.frombuffer(row["dl"].as_py(), "<i4") / row["avgdl"].as_py())
-    sources, ids = row["sources"].values.dictionary_encode(), np.argsort(doc, kind="stable")
-    source_at = {s: j for j, s in enumerate(sources.dictionary.to_pylist())}
-    source_of = sources.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
+    for batch in batches:
+        for i in range(len(batch)):
+            yield {n: batch.column(n)[i] for n in batch.schema.names}
+
+
+def _best_of_run(batches: Iterator[pa.RecordBatch], k: int, score: Callable, of: Callable, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The k best of each query over all blocks of a task, one batch for each chunk of queries.
+
+    score(row, block, kept) adds a block's documents to kept; of(q) gives the queries of a chunk, of which the columns in names are returned.
+    """
+    found: dict[int, tuple[list[pa.Array], _Kept]] = {}
+    last, block = None, None
+    for row in _rows(batches):
+        # a block meets all chunks of queries one after the other
+        if last is None or not all(last[c].equals(row[c]) for c in last):
+            last = {c: row[c] for c in row if c not in ("chunk", "q", "n", "avgdl")}
+            block = _Block(row)
+        q, chunk = of(row["q"].values), row["chunk"].as_py()
+        if chunk not in found:
+            found[chunk] = [q.field(c).take(pa.array(np.arange(len(q)))) for c in names], _Kept(len(q), k)
+        score(row, block, found[chunk][1])
+    for columns, kept in found.values():
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(kept.who)) for c in columns), pa.array(kept.doc), pa.array(kept.score)], [*names, "doc_id", "score"])
+
+
+class _Kept:
+    """Of each of n queries the k best documents so far; least has the score of the k-th, 0 while there are fewer."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.zeros(n)
+        self.who, self.doc, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, who: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        ok = score >= self.least[who]
+        met = np.zeros(len(self.least), bool)
+        met[who[ok]] = True
+        old = met[self.who]
+        who, doc, score = (np.concatenate((a[old], b[ok])) for a, b in ((self.who, who), (self.doc, doc), (self.score, score)))
+        order = np.lexsort((doc, -score, who))
+        place = np.arange(len(who)) - np.searchsorted(who[order], who[order])
+        order, place = order[place < self.k], place[place < self.k]
+        who, doc, score = who[order], doc[order], score[order]
+        self.least[who[place == self.k - 1]] = score[place == self.k - 1]
+        self.who, self.doc, self.score = (np.concatenate((a[~old], b)) for a, b in ((self.who, who), (self.doc, doc), (self.score, score)))
+
+
+class _Block:
+    """A block's documents as arrays; for those of postings() its lists too, made when they are first asked for."""
+
+    def __init__(self, row: dict[str, pa.Scalar]):
+        self.row = row
+        self.ids = row["docs"].values.to_numpy(zero_copy_only=False)
+        self.ts = row["ts"].values.fill_null(_NEVER).to_numpy(zero_copy_only=False)
+        self.untimed = int(self.ts.searchsorted(_NEVER, "right"))
+        sources = row["sources"].values.dictionary_encode()
+        self.sources, self.source_of = sources.dictionary, sources.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        self.n, self.norm = row["n"].as_py(), K1 * (1 - B + B * np.frombuffer(row["dl"].as_py(), "<i4") / row["avgdl"].as_py())
+
+    def idf(self, df: pa.Array) -> np.ndarray:
+        df = df.to_numpy(zero_copy_only=False)
+        return np.maximum(np.log((self.n - df + 0.5) / (df + 0.5)), 1e-6)
+
+    @cached_property
+    def lists(self) -> tuple[np.ndarray, ...]:
+        """Documents and occurrences of all lists, the lists' lengths and starts, what each place is worth, and the most of each list."""
+        pos, tf = (np.frombuffer(self.row[c].as_py(), "<i4") for c in ("pos", "tf"))
+        size = self.row["dfs"].values.to_numpy(zero_copy_only=False)
+        start = np.cumsum(size) - size
+        value = tf * (K1 + 1) / (tf + self.norm[pos])
+        return pos, tf, size, start, value, np.maximum.reduceat(value, start) if len(size) else value
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        """Word and document of each place of the lists as one number, in order."""
+        pos, _, size, *_ = self.lists
+        return np.repeat(np.arange(len(size)) * len(self.ids), size) + pos
+
+    def slices(self, q: pa.StructArray) -> "_Slices":
+        return _Slices(self, *(q.field(c) for c in SLICE))
+
+
+class _Slices:
+    """The slices of queries in a block: places before `end`, but those from `untimed` to `to`, of a source, and of a document."""
+
+    def __init__(self, block: _Block, before: pa.Array, after: pa.Array, source: pa.Array, own: pa.Array):
+        given = lambda x: x.is_valid().to_numpy(zero_copy_only=False)
+        number = lambda x: x.fill_null(_NEVER).to_numpy(zero_copy_only=False)
+        self.block, self.has_own, self.own = block, given(own), number(own)
+        self.end = np.where(given(before), block.ts.searchsorted(np.maximum(number(before), _NEVER + 1)), len(block.ids))
+        self.to = np.where(given(after), block.ts.searchsorted(number(after), "right"), 0)
+        self.source = pc.index_in(source, value_set=block.sources).fill_null(-2).to_numpy(zero_copy_only=False)
+
+    def has(self, who: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Whether the slice of each query has the document at a place."""
+        ok = (where < self.end[who]) & ((where < self.block.untimed) | (where >= self.to[who])) & (self.block.source_of[where] != self.source[who])
+        return ok & ~(self.has_own[who] & (self.block.ids[where] == self.own[who]))
+
+
+def _rounded(score: np.ndarray) -> np.ndarray:
+    return np.floor(score * 1e6 + 0.5) / 1e6
+
+
+def _score(row: dict[str, pa.Scalar], block: _Block, kept: _Kept) -> None:
+    """Adds to kept the documents of a block that are among the k best of the queries that meet it.
+
+    A query with k documents needs no sum of a document that has only words whose most, together, stay under the k-th: the lists of its other
+    words are added up, and only documents that may still reach the k-th are looked up in the rest.
+    """
+    q = row["q"].values
+    terms, slices = q.field("terms"), block.slices(q)
+    code = pc.index_in(terms.flatten(), value_set=row["terms"].values).fill_null(-1).to_numpy(zero_copy_only=False)
+    who = np.repeat(np.arange(len(q)), terms.value_lengths().to_numpy(zero_copy_only=False))
+    here = np.flatnonzero(code >= 0)
+    if not len(here):
+        return
+    who, code, idf = who[here], code[here].astype(np.int64), block.idf(q.field("dfs").flatten())[here]
+    full = kept.least > 2 * SLACK
+    got = [*_whole(block, slices, who, code, idf, ~full, kept.k), *_pruned(block, slices, who, code, idf, np.where(full, kept.least - SLACK, np.inf))]
+    if got:
+        who, where, score = (np.concatenate(x) for x in zip(*got, strict=True))
+        kept.add(who, block.ids[where], score)
+
+
+def _whole(block: _Block, slices: _Slices, who: np.ndarray, code: np.ndarray, idf: np.ndarray, asked: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, place, score) of the k best of a block, for queries that are asked, over all of their lists."""
+    pos, tfs, size, start, *_ = block.lists
+    docs, ids = len(block.ids), np.argsort(block.ids, kind="stable")
 
     @cache
-    def part(term: str, df: int) -> tuple[np.ndarray | None, np.ndarray] | None:
+    def part(j: int, weight: float) -> tuple[np.ndarray | None, np.ndarray]:
         """Documents and what the word adds to each; for a word of many documents None and what it adds to every one."""
-        if (j := at.get(term)) is None:
-            return None
-        hi = ends[j]
-        lo = ends[j - 1] if j else 0
-        p, tf = pos[lo:hi], tfs[lo:hi]
-        v = max(np.log((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * (K1 + 1) / (tf + norm[p])
-        if len(p) * 8 < len(doc):
+        p, tf = pos[start[j] : start[j] + size[j]], tfs[start[j] : start[j] + size[j]]
+        v = weight * tf * (K1 + 1) / (tf + block.norm[p])
+        if len(p) * 8 < docs:
             return p, v
-        every = np.zeros(len(doc))
+        every = np.zeros(docs)
         every[p] = v
         return None, every
 
-    at_source = cache(lambda j: np.flatnonzero(source_of == j))
-    q = row["q"].values
-    got = []
-    for i, (before, after, source, own, terms, dfs) in enumerate(zip(*(q.field(c).to_pylist() for c in (*SLICE, "terms", "dfs")), strict=True)):
-        end = len(doc) if before is None else int(ts.searchsorted(max(before, _NEVER + 1)))
+    at_source = cache(lambda j: np.flatnonzero(block.source_of == j))
+    heads = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+    for lo, hi in zip(heads, [*heads[1:], len(who)], strict=True):
+        if not asked[i := who[lo]]:
+            continue
+        end = int(slices.end[i])
         sums = np.zeros(end)
-        for term, df in zip(terms, dfs, strict=True):
-            if (x := part(term, df)) is None:
-                continue
-            p, v = x
+        for j, weight in zip(code[lo:hi].tolist(), idf[lo:hi].tolist(), strict=True):
+            p, v = part(j, weight)
             if p is None:
                 sums += v[:end]
             else:
                 m = p.searchsorted(end)
                 sums[p[:m]] += v[:m]
-        if after is not None:
-            sums[untimed : np.searchsorted(ts, after, "right")] = 0
-        if source is not None and (j := source_at.get(source)) is not None:
-            gone = at_source(j)
+        sums[block.untimed : slices.to[i]] = 0
+        if slices.source[i] >= 0:
+            gone = at_source(int(slices.source[i]))
             sums[gone[: np.searchsorted(gone, end)]] = 0
-        if own is not None:
-            gone = ids[np.searchsorted(doc, own, "left", sorter=ids) : np.searchsorted(doc, own, "right", sorter=ids)]
+        if slices.has_own[i]:
+            gone = ids[np.searchsorted(block.ids, slices.own[i], "left", sorter=ids) : np.searchsorted(block.ids, slices.own[i], "right", sorter=ids)]
             sums[gone[gone < end]] = 0
         # all that may be among the k once sums are rounded
-        least = np.partition(sums, end - k)[end - k] - 2e-6 if end > k else 0.0
+        least = np.partition(sums, end - k)[end - k] - SLACK if end > k else 0.0
         c = np.flatnonzero(sums > max(least, 0.0))
-        score = np.floor(sums[c] * 1e6 + 0.5) / 1e6
-        top = np.lexsort((doc[c], -score))[:k]
-        got.append((np.full(len(top), i), c[top], score[top]))
-    who, where, score = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    return who, where, score
+        score = _rounded(sums[c])
+        top = np.lexsort((block.ids[c], -score))[:k]
+        yield np.full(len(top), i), c[top], score[top]
+
+
+def _pruned(block: _Block, slices: _Slices, who: np.ndarray, code: np.ndarray, idf: np.ndarray, need: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, place, score) of the documents of a block whose score is its query's need or more, and of few others; need is over 0."""
+    pos, tfs, size, start, value, most = block.lists
+    docs, keys = len(block.ids), block.keys
+    asked = np.isfinite(need[who])
+    who, code, idf = who[asked], code[asked], idf[asked]
+    # a query's words by their most, from the least; those whose most together stays under its need are the rest
+    top = idf * most[code]
+    order = np.lexsort((top, who))
+    w, up = who[order], np.cumsum(top[order])
+    first = np.searchsorted(w, w)
+    up = up - up[first] + top[order][first]
+    main = order[up >= need[w]]
+    rest = np.zeros(len(need))
+    under = order[up < need[w]]
+    np.maximum.at(rest, who[under], up[up < need[w]])
+    least, step = need - rest, max(1, SUMS // max(docs, 1))
+    for lo in range(0, len(need), step):
+        hi = min(len(need), lo + step)
+        mine = main[np.searchsorted(who[main], lo) : np.searchsorted(who[main], hi)]
+        if not len(mine):
+            continue
+        n = size[code[mine]]
+        at = np.repeat(start[code[mine]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        sums = np.bincount(np.repeat((who[mine] - lo) * docs, n) + pos[at], value[at] * np.repeat(idf[mine], n), (hi - lo) * docs)
+        i, where = np.divmod(np.flatnonzero(sums.reshape(-1, docs) >= least[lo:hi, None]), docs)
+        i += lo
+        ok = slices.has(i, where)
+        i, where = i[ok], where[ok]
+        # the whole score, of all words in their order
+        a = np.searchsorted(who, i)
+        n = np.searchsorted(who, i, "right") - a
+        each, word = np.repeat(np.arange(len(i)), n), np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key = code[word] * docs + where[each]
+        at = np.searchsorted(keys, key)
+        has = at < len(keys)
+        has[has] = keys[at[has]] == key[has]
+        each, word, tf = each[has], word[has], tfs[at[has]]
+        yield i, where, _rounded(np.bincount(each, idf[word] * tf * (K1 + 1) / (tf + block.norm[where[each]]), len(i)))
 
 
 def ranked(scored: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -240,105 +395,89 @@ def phrase_search(phrases: DataFrame, told: DataFrame, index: DataFrame, k: int
     """
     p = phrases.withColumn("_w", tokens("phrase")).where(F.size("_w") >= 2).distinct()
     different = scratch.written(p.select("_w").distinct().withColumn("_p", F.monotonically_increasing_id()), "phrases")
-    blocks_of = lambda q: scratch.spread(told).crossJoin(F.broadcast(q))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            which, n = np.unique(_occurrences(row)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([row["q"].values.field("_p").take(pa.array(which)), pa.array(n)], ["_p", "df"])
+            n = np.zeros(len(row["q"].values), np.int64)
+            for which, _, _ in _occurrences(row):
+                n += np.bincount(which, minlength=len(n))
+            which = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([row["q"].values.field("_p").take(pa.array(which)), pa.array(n[which])], ["_p", "df"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            number, doc, score = _best_with_phrase(row, k)
-            q = row["q"].values.field("asked").flatten().take(pa.array(number))
-            yield pa.RecordBatch.from_arrays([q.field("query_id"), q.field("phrase"), row["docs"].values.take(pa.array(doc)), pa.array(score)], ["query_id", "phrase", "doc_id", "score"])
+        return _best_of_run(batches, k, _score_phrases, lambda q: q.field("asked").flatten(), ["query_id", "phrase"])
 
-    df = scratch.written(blocks_of(_chunks(different.select("_p", "_w"), PHRASES, "q")).mapInArrow(counted, "_p long, df long").groupBy("_p").agg(F.sum("df").alias("df")), "phrase-df")
+    df = scratch.written_singly(scratch.spread(told).crossJoin(F.broadcast(_chunks(different.select("_p", "_w"), PHRASES, "q"))).mapInArrow(counted, "_p long, df long").groupBy("_p").agg(F.sum("df").alias("df")), "phrase-df")
     asked = F.struct("query_id", "phrase", *[F.col(c) if c == "exclude_source" else F.col(c).cast("long").alias(c) for c in SLICE])
-    q = p.join(different, "_w").groupBy("_p").agg(F.first("_w").alias("_w"), F.collect_list(asked).alias("asked")).join(df, "_p")
+    q = scratch.written(p.join(different, "_w").groupBy("_p").agg(F.first("_w").alias("_w"), F.collect_list(asked).alias("asked")).join(df, "_p"), "phrases-asked")
     kinds = [phrases.schema["query_id"], phrases.schema["phrase"], T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())]
-    hits = blocks_of(_chunks(q, PHRASES, "q").crossJoin(lengths(index))).mapInArrow(best, T.StructType(kinds))
+    hits = _in_runs(told).crossJoin(F.broadcast(_chunks(q, PHRASES, "q").crossJoin(lengths(index)))).mapInArrow(best, T.StructType(kinds))
     return ranked(hits, k, "phrase")
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
-    for batch in batches:
-        for i in range(len(batch)):
-            yield {n: batch.column(n)[i] for n in batch.schema.names}
-
-
-def _best_with_phrase(row: dict[str, pa.Scalar], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block's documents the k best of each query and phrase: the query's number among all of the phrases', the document's place, the score."""
-    which, where, tf = _occurrences(row)
-    doc = row["docs"].values.to_numpy(zero_copy_only=False)
-    ts = row["ts"].values.fill_null(_NEVER).to_numpy(zero_copy_only=False)
-    untimed = ts.searchsorted(_NEVER, "right")
-    sources = row["sources"].values.dictionary_encode()
-    source_at = {s: j for j, s in enumerate(sources.dictionary.to_pylist())}
-    source_of = sources.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    n, norm = row["n"].as_py(), K1 * (1 - B + B * np.frombuffer(row["dl"].as_py(), "<i4") / row["avgdl"].as_py())
-    dfs, asked = row["q"].values.field("df").to_numpy(zero_copy_only=False), row["q"].values.field("asked")
-    numbers = np.cumsum([0, *asked.value_lengths().to_pylist()])
-    got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    heads = np.flatnonzero(np.concatenate((np.ones(min(len(which), 1), bool), which[1:] != which[:-1])))
-    for lo, hi in zip(heads, [*heads[1:], len(which)], strict=True):
-        p, i = where[lo:hi], which[lo]
-        score = max(np.log((n - dfs[i] + 0.5) / (dfs[i] + 0.5)), 1e-6) * tf[lo:hi] * (K1 + 1) / (tf[lo:hi] + norm[p])
-        score = np.floor(score * 1e6 + 0.5) / 1e6
-        order = np.lexsort((doc[p], -score))
-        p, score = p[order], score[order]
-        for j, x in enumerate(asked[int(i)].as_py(), numbers[i]):
-            before, after, source, own = (x[c] for c in SLICE)
-            ok = np.ones(len(p), bool)
-            if before is not None:
-                ok &= p < ts.searchsorted(max(before, _NEVER + 1))
-            if after is not None:
-                ok &= (p < untimed) | (p >= ts.searchsorted(after, "right"))
-            if source is not None:
-                ok &= source_of[p] != source_at.get(source, -2)
-            if own is not None:
-                ok &= doc[p] != own
-            top = np.flatnonzero(ok)[:k]
-            got.append((np.full(len(top), j), p[top], score[top]))
-    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
-
-
-def _occurrences(row: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(phrase's number, document's place in the block, occurrences): where a block has the phrases that meet it."""
-    code = {w: i for i, w in enumerate(row["terms"].as_py())}
-    at = np.frombuffer(row["at"].as_py(), "<i4").astype(np.uint64)
-    ends = np.cumsum(np.frombuffer(row["dl"].as_py(), "<i4"), dtype=np.int64)
-    by: dict[int, list[tuple[int, list[int]]]] = {}
-    for i, ws in enumerate(row["q"].values.field("_w").to_pylist()):
-        if None not in (cs := [code.get(w) for w in ws]):
-            by.setdefault(len(cs), []).append((i, cs))
-    out = [(np.zeros(0, np.int64),) * 3]
-    mixed, mix = at, np.uint64(0x9E3779B97F4A7C15)
-    for size in range(2, max(by, default=0) + 1):
-        if size > len(at):
-            break
-        mixed = mixed[:-1] * mix + at[size - 1 :]
-        if size not in by:
+def _score_phrases(row: dict[str, pa.Scalar], block: _Block, kept: _Kept) -> None:
+    """Adds to kept the documents of a block that have a phrase, for each query that asks for it."""
+    q = row["q"].values
+    asked, idf = q.field("asked"), block.idf(q.field("df"))
+    slices, many = block.slices(asked.flatten()), asked.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(many) - many
+    for which, where, tf in _occurrences(row):
+        score, n = _rounded(idf[which] * tf * (K1 + 1) / (tf + block.norm[where])), many[which]
+        hit = np.repeat(np.arange(len(which)), n)
+        who = np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        ok = score[hit] >= kept.least[who]
+        hit, who = hit[ok], who[ok]
+        ok = slices.has(who, where[hit])
+        kept.add(who[ok], block.ids[where[hit[ok]]], score[hit[ok]])
+
+
+def _occurrences(row: dict[str, pa.Scalar]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(phrase's number, document's place in the block, occurrences): where a block has the phrases that meet it, some PIECE words at a time."""
+    ws, mix = row["q"].values.field("_w"), np.uint64(0x9E3779B97F4A7C15)
+    code = pc.index_in(ws.flatten(), value_set=row["terms"].values).fill_null(-1).to_numpy(zero_copy_only=False)
+    sizes = ws.value_lengths().to_numpy(zero_copy_only=False)
+    first = np.cumsum(sizes, dtype=np.int64) - sizes
+    short = lambda x: (x * mix) >> np.uint64(44)
+    by = {}
+    for size in np.unique(sizes).tolist():
+        number = np.flatnonzero(sizes == size)
+        ps = code[first[number][:, None] + np.arange(size)]
+        number, ps = number[(ps >= 0).all(1)], ps[(ps >= 0).all(1)].astype(np.uint64)
+        if not len(number):
             continue
-        ps = np.array([cs for _, cs in by[size]], np.uint64)
         key = ps[:, 0]
         for j in range(1, size):
             key = key * mix + ps[:, j]
-        seen, short = np.zeros(1 << 20, bool), lambda x: (x * mix) >> np.uint64(44)
+        seen = np.zeros(1 << 20, bool)
         seen[short(key)] = True
-        place = np.flatnonzero(seen[short(mixed)])
-        order = np.argsort(key, kind="stable")
-        first = np.searchsorted(key, mixed[place], "left", sorter=order)
-        times = np.searchsorted(key, mixed[place], "right", sorter=order) - first
-        # phrases of one hash, should there be any, are all compared
-        which = order[np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())]
-        place = np.repeat(place, times)
-        doc = np.searchsorted(ends, place, "right")
-        same = place + size <= ends[doc]
-        for j in range(size):
-            same[same] = at[place[same] + j] == ps[which[same], j]
-        out.append(_counted(which[same], doc[same], place[same], size, np.array([i for i, _ in by[size]]), len(ends)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        by[size] = number, ps, key, np.argsort(key, kind="stable"), seen
+    words, all_ends = np.frombuffer(row["at"].as_py(), "<i4"), np.cumsum(np.frombuffer(row["dl"].as_py(), "<i4"), dtype=np.int64)
+    lo = 0
+    while lo < len(all_ends):
+        base = int(all_ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(all_ends, base + PIECE, "right")))
+        at, ends = words[base : all_ends[hi - 1]].astype(np.uint64), all_ends[lo:hi] - base
+        mixed = at
+        for size in range(2, max(by, default=0) + 1):
+            if size > len(at):
+                break
+            mixed = mixed[:-1] * mix + at[size - 1 :]
+            if size not in by:
+                continue
+            number, ps, key, order, seen = by[size]
+            place = np.flatnonzero(seen[short(mixed)])
+            left = np.searchsorted(key, mixed[place], "left", sorter=order)
+            times = np.searchsorted(key, mixed[place], "right", sorter=order) - left
+            # phrases of one hash, should there be any, are all compared
+            which = order[np.repeat(left - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+            place = np.repeat(place, times)
+            doc = np.searchsorted(ends, place, "right")
+            same = place + size <= ends[doc]
+            for j in range(size):
+                same[same] = at[place[same] + j] == ps[which[same], j]
+            which, doc, tf = _counted(which[same], doc[same], place[same], size, number, len(ends))
+            yield which, doc + lo, tf
+        lo = hi
 
 
 def _counted(which: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int, number: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

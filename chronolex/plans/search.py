@@ -40,12 +40,12 @@ def _asked(t: Tables) -> DataFrame:
 
 
 def _lexical(t: Tables, stem: bool = False) -> DataFrame:
-    return search.bm25(_asked(t), _index(t, stem), PER_QUERY, stem)
+    return scratch.written_singly(search.bm25(_asked(t), _index(t, stem), PER_QUERY, stem), "words-found")
 
 
 def _phrases(t: Tables) -> DataFrame:
     p = _asked(t).select("query_id", F.explode("fingerprints").alias("phrase"), *search.SLICE)
-    return search.phrase_search(p, _told(t), _index(t), PER_QUERY)
+    return scratch.written_singly(search.phrase_search(p, _told(t), _index(t), PER_QUERY), "phrases-found")
 
 
 def _dense(t: Tables) -> DataFrame:

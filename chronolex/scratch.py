@@ -47,6 +47,17 @@ def written(df: DataFrame, name: str = "table", partition_by: list[str] | None =
     return back
 
 
+def written_singly(df: DataFrame, name: str = "table") -> DataFrame:
+    """written(), with rows handed to Python one by one: for rows of many MB, of which a batch would hold several in each worker and JVM."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = conf.get(key)
+    conf.set(key, "1")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, most)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, where its scan has fewer splits than there are; a table of many files stays as it is and isn't shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism

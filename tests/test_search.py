@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+from chronolex import scratch
 from chronolex.operators import search
 
 Q = "query_id long, text string, before long, after long, exclude_source string, exclude_doc long"
@@ -129,3 +130,35 @@ def test_documents_with_a_phrase_stay_in_their_blocks(spark):
     assert got == want
     plan = hits._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "Generate explode" not in plan
+
+
+def _from_python(node) -> int:
+    """Rows that a plan which has run got from Python."""
+    own = node.metrics().get("pythonNumRowsReceived")
+    return (own.get().value() if node.nodeName() == "MapInArrow" else 0) + sum(_from_python(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_a_task_keeps_the_best_of_all_its_blocks(spark):
+    rnd = random.Random(11)
+    word = [f"wo{i}" for i in range(60)]
+    docs = [(i, None, " ".join(rnd.choices(word, [1 / (j + 1) for j in range(60)], k=rnd.randrange(0, 40))), rnd.choice([None, *range(90)]), rnd.choice(["a", "b", None])) for i in range(900)]
+    qs = [(i, " ".join(["wo0", "wo1", *rnd.choices(word, k=5)]), rnd.choice([None, 80]), rnd.choice([None, 10]), rnd.choice([None, "a"]), rnd.choice([None, i])) for i in range(20)]
+    told = scratch.written(search.words(spark.createDataFrame(docs, "doc_id long, title string, text string, ts long, source_id string").repartition(12)))
+    index = search.postings(told)
+    asked = spark.createDataFrame(qs, Q)
+    phrases = spark.createDataFrame([(i, p, *rest) for i, text, *rest in qs for p in (text[:7], "wo0 wo0")], "query_id long, phrase string, before long, after long, exclude_source string, exclude_doc long").distinct()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))
+    try:
+        for found, most in ((lambda k: search.bm25(asked, index, k), 20), (lambda k: search.phrase_search(phrases, told, index, k), 40)):
+            every, few = {}, {}
+            for k, out in ((1000, every), (3, few)):
+                hits = found(k)
+                for r in sorted(hits.collect()):
+                    out.setdefault(r[:-3], []).append((r.place, r.doc_id, r.score))
+            assert {q: sorted(x) for q, x in few.items()} == {q: sorted(x)[:3] for q, x in every.items()}
+            # the lists are made in Python too, a row a block
+            assert _from_python(hits._jdf.queryExecution().executedPlan()) <= 4 * 3 * most + 2 * 12
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
