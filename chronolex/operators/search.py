@@ -6,7 +6,7 @@ both sides, documents without a source stay unless excluded by id. Statistics ar
 
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import cache, cached_property
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -45,11 +45,15 @@ def tokens(text: str | Column) -> Column:
 
 
 #: words of a block, queries and phrases that meet a block at once
-BLOCK, ASKED, PHRASES = 1 << 22, 1 << 14, 1 << 16
+BLOCK, ASKED, PHRASES = 1 << 22, 1 << 15, 1 << 16
 _DOCS = "docs array<bigint>, ts array<bigint>, sources array<string>, dl binary"
 _NEVER = -(2**63)
-#: partitions of blocks that one task reads at most, sums and words that are held at once, and what rounding may move a score by
-RUN, SUMS, PIECE, SLACK = 16, 1 << 18, 1 << 19, 2e-6
+#: partitions of blocks that one task reads at most, words that are held at once, and what rounding may move a score by
+RUN, PIECE, SLACK = 16, 1 << 19, 2e-6
+#: numbers in a block's rows that have a place for every document, the share of documents that makes a row of a list, hits that are held until they are added, and places of short lists that are read at once
+ROOM, DENSE, HELD, SHORTS = 1 << 23, 1 / 16, 1 << 18, 1 << 20
+#: what any sum of a document with a word is over
+LEAST = np.nextafter(0, 1)
 
 
 def words(docs: DataFrame, stem: bool = False) -> DataFrame:
@@ -227,6 +231,8 @@ class _Block:
         self.untimed = int(self.ts.searchsorted(_NEVER, "right"))
         sources = row["sources"].values.dictionary_encode()
         self.sources, self.source_of = sources.dictionary, sources.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        self.rows: list[np.ndarray] = []
+        self.row_of = np.full(len(row["terms"].values), -1)
         self.n, self.norm = row["n"].as_py(), K1 * (1 - B + B * np.frombuffer(row["dl"].as_py(), "<i4") / row["avgdl"].as_py())
 
     def idf(self, df: pa.Array) -> np.ndarray:
@@ -235,19 +241,32 @@ class _Block:
 
     @cached_property
     def lists(self) -> tuple[np.ndarray, ...]:
-        """Documents and occurrences of all lists, the lists' lengths and starts, what each place is worth, and the most of each list."""
+        """Documents of all lists, the lists' lengths and starts, what each place is worth, and the most of each list."""
         pos, tf = (np.frombuffer(self.row[c].as_py(), "<i4") for c in ("pos", "tf"))
         size = self.row["dfs"].values.to_numpy(zero_copy_only=False)
         start = np.cumsum(size) - size
         value = tf * (K1 + 1) / (tf + self.norm[pos])
-        return pos, tf, size, start, value, np.maximum.reduceat(value, start) if len(size) else value
+        return pos, size, start, value, np.maximum.reduceat(value, start) if len(size) else value
 
     @cached_property
     def keys(self) -> np.ndarray:
         """Word and document of each place of the lists as one number, in order."""
-        pos, _, size, *_ = self.lists
+        pos, size, *_ = self.lists
         return np.repeat(np.arange(len(size)) * len(self.ids), size) + pos
 
+    def rows_for(self, code: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Of each word the row with what it adds to every document; -1 where its list is short or no room is left, the words that are asked most first."""
+        pos, size, start, value, _ = self.lists
+        words, first, times = np.unique(code, return_index=True, return_counts=True)
+        new = np.flatnonzero((self.row_of[words] < 0) & (size[words] >= len(self.ids) * DENSE))
+        new = new[np.argsort(-times[new], kind="stable")][: max(0, ROOM // len(self.ids) - len(self.rows))]
+        for j, weight in zip(words[new].tolist(), idf[first[new]].tolist(), strict=True):
+            at, every = slice(start[j], start[j] + size[j]), np.zeros(len(self.ids))
+            every[pos[at]] = weight * value[at]
+            self.row_of[j] = len(self.rows)
+            self.rows.append(every)
+        return self.row_of[code]
+
     def slices(self, q: pa.StructArray) -> "_Slices":
         return _Slices(self, *(q.field(c) for c in SLICE))
 
@@ -269,6 +288,32 @@ class _Slices:
         return ok & ~(self.has_own[who] & (self.block.ids[where] == self.own[who]))
 
 
+    @cached_property
+    def of_source(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places by source, and where each source's begin."""
+        order = np.argsort(self.block.source_of, kind="stable")
+        return order, np.searchsorted(self.block.source_of[order], np.arange(len(self.block.sources) + 1))
+
+    @cached_property
+    def of_own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places by document, and of each query the first and last of its own."""
+        order = np.argsort(self.block.ids, kind="stable")
+        ids = self.block.ids[order]
+        return order, np.searchsorted(ids, self.own, "left"), np.where(self.has_own, np.searchsorted(ids, self.own, "right"), 0)
+
+    def clear(self, i: int, sums: np.ndarray) -> None:
+        """Sets to 0 the sums of documents, by place, that the slice of a query hasn't."""
+        sums[self.block.untimed : self.to[i]] = 0
+        if (j := self.source[i]) >= 0:
+            order, start = self.of_source
+            gone = order[start[j] : start[j + 1]]
+            sums[gone[: gone.searchsorted(len(sums))]] = 0
+        order, first, last = self.of_own
+        for place in order[first[i] : last[i]]:
+            if place < len(sums):
+                sums[place] = 0
+
+
 def _rounded(score: np.ndarray) -> np.ndarray:
     return np.floor(score * 1e6 + 0.5) / 1e6
 
@@ -276,108 +321,80 @@ def _rounded(score: np.ndarray) -> np.ndarray:
 def _score(row: dict[str, pa.Scalar], block: _Block, kept: _Kept) -> None:
     """Adds to kept the documents of a block that are among the k best of the queries that meet it.
 
-    A query with k documents needs no sum of a document that has only words whose most, together, stay under the k-th: the lists of its other
-    words are added up, and only documents that may still reach the k-th are looked up in the rest.
+    All lists of a query are added up over the documents before its end; a query with k documents leaves out a block whose lists, by their
+    most together, can't reach the k-th, and only documents that reach it are looked at any further.
     """
     q = row["q"].values
     terms, slices = q.field("terms"), block.slices(q)
     code = pc.index_in(terms.flatten(), value_set=row["terms"].values).fill_null(-1).to_numpy(zero_copy_only=False)
     who = np.repeat(np.arange(len(q)), terms.value_lengths().to_numpy(zero_copy_only=False))
-    here = np.flatnonzero(code >= 0)
+    here = np.flatnonzero((code >= 0) & (slices.end[who] > 0))
     if not len(here):
         return
     who, code, idf = who[here], code[here].astype(np.int64), block.idf(q.field("dfs").flatten())[here]
-    full = kept.least > 2 * SLACK
-    got = [*_whole(block, slices, who, code, idf, ~full, kept.k), *_pruned(block, slices, who, code, idf, np.where(full, kept.least - SLACK, np.inf))]
+    _, _, start, _, most = block.lists
+    need = np.where(kept.least > 2 * SLACK, kept.least - SLACK, 0.0)
+    here = np.flatnonzero((np.bincount(who, idf * most[code], len(q)) >= need)[who])
+    who, code, idf = who[here], code[here], idf[here]
+    if not len(who):
+        return
+    for who, where, score in _sums(block, slices, who, code, idf, need, kept.k):
+        ok = slices.has(who, where)
+        kept.add(who[ok], block.ids[where[ok]], _rounded(score[ok]))
+
+
+def _sums(block: _Block, slices: _Slices, who: np.ndarray, code: np.ndarray, idf: np.ndarray, need: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, place, sum) of some HELD documents at a time: those of each query whose sum is its need or more; where that is 0, all that may be among its k best."""
+    pos, _, start, value, _ = block.lists
+    mine = np.flatnonzero(np.bincount(who, minlength=len(need)))
+    row, rows = block.rows_for(code, idf), block.rows
+    long = row >= 0
+    row, ends_long = row[long].tolist(), np.searchsorted(who[long], mine, "right")
+    # of short lists the part that stands before their query's end
+    who, code, idf = who[~long], code[~long], idf[~long]
+    n = np.searchsorted(block.keys, code * len(block.ids) + slices.end[who]) - start[code]
+    ends = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(who, mine, "right")]
+    got, held, last, done = [], 0, 0, 0
+    for run in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(ends // SHORTS)) + 1):
+        some = slice(done, done := int(np.searchsorted(who, mine[run[-1]], "right")))
+        m = n[some]
+        at = np.repeat(start[code[some]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        where, worth = pos[at].astype(np.int64), value[at] * np.repeat(idf[some], m)
+        lo, base = 0, int(ends[run[-1]]) - len(at)
+        for i, hi, stop, end, least in zip(*(x.tolist() for x in (mine[run], ends[run] - base, ends_long[run], slices.end[mine[run]], need[mine[run]])), strict=True):
+            sums = np.bincount(where[lo:hi], worth[lo:hi], end) if hi > lo else np.zeros(end)
+            for r in row[last:stop]:
+                sums += rows[r][:end]
+            lo, last = hi, stop
+            if not least:
+                slices.clear(i, sums)
+                least = max(_least(sums, k) - SLACK, LEAST)
+            found = (sums >= least).nonzero()[0]
+            if len(found):
+                got.append((i, found, sums[found]))
+                held += len(found)
+            if held >= HELD:
+                yield _joined(got)
+                got, held = [], 0
     if got:
-        who, where, score = (np.concatenate(x) for x in zip(*got, strict=True))
-        kept.add(who, block.ids[where], score)
-
-
-def _whole(block: _Block, slices: _Slices, who: np.ndarray, code: np.ndarray, idf: np.ndarray, asked: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(query, place, score) of the k best of a block, for queries that are asked, over all of their lists."""
-    pos, tfs, size, start, *_ = block.lists
-    docs, ids = len(block.ids), np.argsort(block.ids, kind="stable")
-
-    @cache
-    def part(j: int, weight: float) -> tuple[np.ndarray | None, np.ndarray]:
-        """Documents and what the word adds to each; for a word of many documents None and what it adds to every one."""
-        p, tf = pos[start[j] : start[j] + size[j]], tfs[start[j] : start[j] + size[j]]
-        v = weight * tf * (K1 + 1) / (tf + block.norm[p])
-        if len(p) * 8 < docs:
-            return p, v
-        every = np.zeros(docs)
-        every[p] = v
-        return None, every
-
-    at_source = cache(lambda j: np.flatnonzero(block.source_of == j))
-    heads = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-    for lo, hi in zip(heads, [*heads[1:], len(who)], strict=True):
-        if not asked[i := who[lo]]:
-            continue
-        end = int(slices.end[i])
-        sums = np.zeros(end)
-        for j, weight in zip(code[lo:hi].tolist(), idf[lo:hi].tolist(), strict=True):
-            p, v = part(j, weight)
-            if p is None:
-                sums += v[:end]
-            else:
-                m = p.searchsorted(end)
-                sums[p[:m]] += v[:m]
-        sums[block.untimed : slices.to[i]] = 0
-        if slices.source[i] >= 0:
-            gone = at_source(int(slices.source[i]))
-            sums[gone[: np.searchsorted(gone, end)]] = 0
-        if slices.has_own[i]:
-            gone = ids[np.searchsorted(block.ids, slices.own[i], "left", sorter=ids) : np.searchsorted(block.ids, slices.own[i], "right", sorter=ids)]
-            sums[gone[gone < end]] = 0
-        # all that may be among the k once sums are rounded
-        least = np.partition(sums, end - k)[end - k] - SLACK if end > k else 0.0
-        c = np.flatnonzero(sums > max(least, 0.0))
-        score = _rounded(sums[c])
-        top = np.lexsort((block.ids[c], -score))[:k]
-        yield np.full(len(top), i), c[top], score[top]
-
-
-def _pruned(block: _Block, slices: _Slices, who: np.ndarray, code: np.ndarray, idf: np.ndarray, need: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(query, place, score) of the documents of a block whose score is its query's need or more, and of few others; need is over 0."""
-    pos, tfs, size, start, value, most = block.lists
-    docs, keys = len(block.ids), block.keys
-    asked = np.isfinite(need[who])
-    who, code, idf = who[asked], code[asked], idf[asked]
-    # a query's words by their most, from the least; those whose most together stays under its need are the rest
-    top = idf * most[code]
-    order = np.lexsort((top, who))
-    w, up = who[order], np.cumsum(top[order])
-    first = np.searchsorted(w, w)
-    up = up - up[first] + top[order][first]
-    main = order[up >= need[w]]
-    rest = np.zeros(len(need))
-    under = order[up < need[w]]
-    np.maximum.at(rest, who[under], up[up < need[w]])
-    least, step = need - rest, max(1, SUMS // max(docs, 1))
-    for lo in range(0, len(need), step):
-        hi = min(len(need), lo + step)
-        mine = main[np.searchsorted(who[main], lo) : np.searchsorted(who[main], hi)]
-        if not len(mine):
-            continue
-        n = size[code[mine]]
-        at = np.repeat(start[code[mine]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        sums = np.bincount(np.repeat((who[mine] - lo) * docs, n) + pos[at], value[at] * np.repeat(idf[mine], n), (hi - lo) * docs)
-        i, where = np.divmod(np.flatnonzero(sums.reshape(-1, docs) >= least[lo:hi, None]), docs)
-        i += lo
-        ok = slices.has(i, where)
-        i, where = i[ok], where[ok]
-        # the whole score, of all words in their order
-        a = np.searchsorted(who, i)
-        n = np.searchsorted(who, i, "right") - a
-        each, word = np.repeat(np.arange(len(i)), n), np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        key = code[word] * docs + where[each]
-        at = np.searchsorted(keys, key)
-        has = at < len(keys)
-        has[has] = keys[at[has]] == key[has]
-        each, word, tf = each[has], word[has], tfs[at[has]]
-        yield i, where, _rounded(np.bincount(each, idf[word] * tf * (K1 + 1) / (tf + block.norm[where[each]]), len(i)))
+        yield _joined(got)
+
+
+def _joined(got: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    who, where, score = zip(*got, strict=True)
+    return np.repeat(who, list(map(len, where))), np.concatenate(where), np.concatenate(score)
+
+
+def _least(sums: np.ndarray, k: int) -> float:
+    """A number that k of the sums or more reach, near the k-th; 0 if there are fewer sums."""
+    if len(sums) <= k:
+        return 0.0
+    if len(sums) < 32 * k:
+        return np.partition(sums, len(sums) - k)[len(sums) - k]
+    # the greatest of each of 8 k equal parts belong to different documents
+    n = len(sums) // (8 * k)
+    most = sums[: n * 8 * k].reshape(n, 8 * k).max(axis=0)
+    return np.partition(most, 7 * k)[7 * k]
 
 
 def ranked(scored: DataFrame, k: int, *keys: str) -> DataFrame:

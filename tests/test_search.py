@@ -2,6 +2,9 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
+from __spark_entry__ import oracle_sql, queries
 from chronolex import scratch
 from chronolex.operators import search
 
@@ -162,3 +165,29 @@ def test_a_task_keeps_the_best_of_all_its_blocks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_ends_sources_and_own_documents_hold_from_the_first_block(spark):
+    rnd = random.Random(5)
+    docs = [(i, None, " ".join(rnd.choices([f"wo{j}" for j in range(12)], k=rnd.randrange(1, 9))), rnd.choice([None, *range(60)]), rnd.choice(["a", "b", "c", None])) for i in range(3000)]
+    qs = [(i, "wo1 wo2 wo11", *x) for i, x in enumerate([(None, None, None, None), (0, None, None, None), (30, None, "a", None), (None, 20, "b", 7), (40, 39, None, None), (59, 10, "c", 8)])]
+    told = search.words(spark.createDataFrame(docs, "doc_id long, title string, text string, ts long, source_id string").repartition(4))
+    index, tf = search.postings(told), {i: Counter(text.split()) for i, _, text, _, _ in docs}
+    avgdl, dfs = sum(sum(c.values()) for c in tf.values()) / len(docs), {w: sum(w in c for c in tf.values()) for w in ("wo1", "wo2", "wo11")}
+    got = {}
+    for r in search.bm25(spark.createDataFrame(qs, Q), index, 4).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    for i, _, before, after, source, own in qs:
+        ok = [(j, tf[j]) for j, _, _, ts, s in docs if not (ts is not None and (before is not None and ts >= before or after is not None and ts <= after)) and not (source and s == source) and j != own]
+        score = lambda c: round(sum(max(math.log((3000 - n + 0.5) / (n + 0.5)), 1e-6) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / avgdl)) for w, n in dfs.items()), 6)
+        assert got.get(i, []) == [(j, -x) for x, j in sorted((-score(c), j) for j, c in ok if any(c[w] for w in dfs))[:4]]
+
+
+@pytest.mark.parametrize("name", ["bm25_search"])
+def test_every_claim_is_asked(spark, name):
+    sf = "/root/testdata/sf0.001"
+    claims = {r.id: r.doc_id for r in spark.read.parquet(f"{sf}/claims.parquet").collect()}
+    found = {r.query_id for r in queries()[name](spark, sf).collect()}
+    # only what has nothing before it may find nothing
+    assert len(found) > 0.9 * len(claims) and len({claims[i] % 20 for i in found}) > 15
+    assert "% 20" not in oracle_sql().get(name, "")
