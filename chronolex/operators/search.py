@@ -45,13 +45,13 @@ def tokens(text: str | Column) -> Column:
 
 
 #: words of a block, queries and phrases that meet a block at once
-BLOCK, ASKED, PHRASES = 1 << 22, 1 << 15, 1 << 16
+BLOCK, ASKED, PHRASES = 1 << 22, 1 << 15, 1 << 17
 _DOCS = "docs array<bigint>, ts array<bigint>, sources array<string>, dl binary"
 _NEVER = -(2**63)
 #: partitions of blocks that one task reads at most, words that are held at once, and what rounding may move a score by
 RUN, PIECE, SLACK = 16, 1 << 19, 2e-6
 #: numbers in a block's rows that have a place for every document, the share of documents that makes a row of a list, hits that are held until they are added, and places of short lists that are read at once
-ROOM, DENSE, HELD, SHORTS = 1 << 23, 1 / 16, 1 << 18, 1 << 20
+ROOM, DENSE, HELD, SHORTS = 1 << 23, 1 / 16, 1 << 17, 1 << 18
 #: what any sum of a document with a word is over
 LEAST = np.nextafter(0, 1)
 

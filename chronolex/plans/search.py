@@ -76,10 +76,10 @@ def porter_bm25(spark, sf):
     return _lexical(t, _part(_asked(t)), stem=True)
 
 
-@query(f"WITH {ASKED}, {TOK}, {PHRASE} SELECT query_id, phrase, doc_id, score, CAST(place AS INTEGER) AS place FROM pr")
+@query(f"WITH {EVERY}, {TOK}, {PHRASE} SELECT query_id, phrase, doc_id, score, CAST(place AS INTEGER) AS place FROM pr")
 def phrase_search(spark, sf):
     t = Tables(spark, sf)
-    return _phrases(t, _part(_asked(t)))
+    return _phrases(t, _asked(t))
 
 
 @query(f"WITH {ASKED}, {TOK}, {DENSE} SELECT query_id, doc_id, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM dn")

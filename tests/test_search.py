@@ -191,3 +191,10 @@ def test_every_claim_is_asked(spark, name):
     # only what has nothing before it may find nothing
     assert len(found) > 0.9 * len(claims) and len({claims[i] % 20 for i in found}) > 15
     assert "% 20" not in oracle_sql().get(name, "")
+
+
+def test_phrases_of_every_claim_are_asked(spark):
+    sf = "/root/testdata/sf0.001"
+    claims = {r.id: r.doc_id for r in spark.read.parquet(f"{sf}/claims.parquet").collect()}
+    found = {r.query_id for r in queries()["phrase_search"](spark, sf).collect()}
+    assert len({claims[i] % 20 for i in found}) > 5 and "% 20" not in oracle_sql()["phrase_search"]
