@@ -73,7 +73,7 @@ def bm25_search(spark, sf):
 def porter_bm25(spark, sf):
     """As bm25_search, with words met by their stems."""
     t = Tables(spark, sf)
-    return _lexical(t, _part(_asked(t)), stem=True)
+    return _lexical(t, _asked(t), stem=True)
 
 
 @query(f"WITH {EVERY}, {TOK}, {PHRASE} SELECT query_id, phrase, doc_id, score, CAST(place AS INTEGER) AS place FROM pr")
