@@ -88,13 +88,13 @@ def dense_sliced(spark, sf):
     return _dense(t, _part(_asked(t))).select("query_id", "doc_id", F.round("score", 6).alias("score"), "place")
 
 
-@query(f"WITH {ASKED}, {BM25}, {PHRASE}, {DENSE}, pl AS (SELECT query_id, doc_id, place, 'lexical' AS retriever, NULL AS hit FROM bm UNION ALL SELECT query_id, doc_id, place, 'dense', NULL FROM dn UNION ALL SELECT query_id, doc_id, place, 'fingerprint', phrase FROM pr), f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + place)) + CASE WHEN count(hit) > 0 THEN 0.5 ELSE 0 END, 6) AS score, min(place) AS best_rank, array_to_string(list_sort(list(DISTINCT retriever)), '+') AS retrievers, count(DISTINCT hit) AS hits FROM pl GROUP BY 1, 2) SELECT query_id, doc_id, score, CAST(best_rank AS INTEGER) AS best_rank, retrievers, hits, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM f) WHERE place <= 20")
+@query(f"WITH {EVERY}, {BM25}, {PHRASE}, {DENSE}, pl AS (SELECT query_id, doc_id, place, 'lexical' AS retriever, NULL AS hit FROM bm UNION ALL SELECT query_id, doc_id, place, 'dense', NULL FROM dn UNION ALL SELECT query_id, doc_id, place, 'fingerprint', phrase FROM pr), f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + place)) + CASE WHEN count(hit) > 0 THEN 0.5 ELSE 0 END, 6) AS score, min(place) AS best_rank, array_to_string(list_sort(list(DISTINCT retriever)), '+') AS retrievers, count(DISTINCT hit) AS hits FROM pl GROUP BY 1, 2) SELECT query_id, doc_id, score, CAST(best_rank AS INTEGER) AS best_rank, retrievers, hits, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM f) WHERE place <= 20")
 def rrf_fusion(spark, sf):
     """Words, vectors and fingerprints of each claim, all in the slice before it, fused by reciprocal ranks."""
     t = Tables(spark, sf)
     none = F.lit(None).cast("string")
     rows = lambda df, name, hit=none: df.select("query_id", "doc_id", "place", F.lit(name).alias("retriever"), hit.alias("hit"))
-    asked = _part(_asked(t))
+    asked = _asked(t)
     placed = rows(_lexical(t, asked), "lexical").unionByName(rows(_dense(t, asked), "dense")).unionByName(rows(_phrases(t, asked), "fingerprint", F.col("phrase")))
     return search.rank_fusion(placed, LIMIT).select("query_id", "doc_id", "score", "best_rank", F.array_join("retrievers", "+").alias("retrievers"), F.size("hits").cast("long").alias("hits"), "place")
 

@@ -183,7 +183,7 @@ def test_ends_sources_and_own_documents_hold_from_the_first_block(spark):
         assert got.get(i, []) == [(j, -x) for x, j in sorted((-score(c), j) for j, c in ok if any(c[w] for w in dfs))[:4]]
 
 
-@pytest.mark.parametrize("name", ["bm25_search", "porter_bm25"])
+@pytest.mark.parametrize("name", ["bm25_search", "porter_bm25", "rrf_fusion"])
 def test_every_claim_is_asked(spark, name):
     sf = "/root/testdata/sf0.001"
     claims = {r.id: r.doc_id for r in spark.read.parquet(f"{sf}/claims.parquet").collect()}
